@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, load
+from .common import WORD, load, settled
 
 WEIGHTS = (5, 2, 1)
 #: Target words over all words.
@@ -26,8 +26,8 @@ SHARE = 1.5
 #: Target over size of a source, at most; so also copies of a document.
 MOST = 2.0
 SEED = 42
-#: Documents of one source and size class are ordered in so many cells at most.
-CELL_BITS = 12
+#: Documents of one source and size class are ordered in 2 to the power of this many cells at most; a multiple of 4.
+CELL_BITS = 8
 
 
 def n_words(text: str | Column) -> Column:
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     keys = {"_class": size_class(F.col("size")), "_cell": F.conv(F.substring("_place", 1, CELL_BITS // 4), 16, 10).cast("int")}
     rows = docs.withColumns({"size": n_words(text), "_place": place}).withColumns(keys)
     light = docs.select(F.col(source).alias("source"), n_words(text).alias("size"), place.alias("_place")).withColumns(keys)
-    cells = light.groupBy("source", "_class", "_cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    cells = settled(light.groupBy("source", "_class", "_cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     classes = cells.groupBy("source", "_class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     goals = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
