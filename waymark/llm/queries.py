@@ -7,15 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_mix import op4_language_mix
+from .media_chunks import op5_media_chunks
+from .secret_scan import op2_secret_scan
 from .sentencepiece_codec import op10_sentencepiece
 from .source_mix import OP6_SQL, op6_source_mix
+from .toxicity import op3_toxicity
+from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_language_mix": op4_language_mix,
+    "op5_media_chunks": op5_media_chunks,
     "op6_source_mix": op6_source_mix,
+    "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_source_mix": OP6_SQL,
+    "op9_warc": OP9_SQL,
 }
