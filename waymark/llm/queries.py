@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language_mix import op4_language_mix
 from .media_chunks import op5_media_chunks
+from .ngram_join import op7_ngram_join
 from .secret_scan import op2_secret_scan
 from .sentencepiece_codec import op10_sentencepiece
 from .source_mix import OP6_SQL, op6_source_mix
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_mix": op4_language_mix,
     "op5_media_chunks": op5_media_chunks,
     "op6_source_mix": op6_source_mix,
+    "op7_ngram_join": op7_ngram_join,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
 }
