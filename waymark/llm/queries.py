@@ -6,27 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op8_html_text
 from .language_mix import op4_language_mix
 from .media_chunks import op5_media_chunks
 from .ngram_join import op7_ngram_join
 from .secret_scan import op2_secret_scan
 from .sentencepiece_codec import op10_sentencepiece
 from .source_mix import OP6_SQL, op6_source_mix
+from .topk_search import OP1_SQL, op1_topk_search
 from .toxicity import op3_toxicity
 from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op4_language_mix": op4_language_mix,
     "op5_media_chunks": op5_media_chunks,
     "op6_source_mix": op6_source_mix,
     "op7_ngram_join": op7_ngram_join,
+    "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": OP1_SQL,
     "op6_source_mix": OP6_SQL,
     "op9_warc": OP9_SQL,
 }
