@@ -45,6 +45,8 @@ RATIO, EVIDENCE = 4.0, 24.0
 #: Gains, in bytes, that count windows.
 GAINS = (2, 3, 4, 6)
 LEVEL = 3
+#: Weight decay of the calibration.
+RIDGE = 3.0
 
 _WORD = re.compile(r"\w+")
 
@@ -88,13 +90,13 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def features(model: ToxicityModel, text: str | None) -> list[float]:
-    """The largest gains of a window, the mean gain, and counts of windows by gain."""
+    """The largest gains of a window, the mean gain, the number of windows, and counts and shares of windows by gain."""
     plain, toxic = compressor(model.ordinary).compress, compressor(model.toxic).compress
     gain = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], float)
     if not len(gain):
-        return [0.0] * (3 + len(GAINS))
+        return [0.0] * (4 + 2 * len(GAINS))
     top = np.sort(gain)[::-1]
-    return [top[0], top[1] if len(top) > 1 else 0.0, gain.mean(), *[np.log1p((gain >= g).sum()) for g in GAINS]]
+    return [top[0], top[1] if len(top) > 1 else 0.0, gain.mean(), np.log1p(len(gain)), *[np.log1p((gain >= g).sum()) for g in GAINS], *[(gain >= g).mean() for g in GAINS]]
 
 
 def stretches(texts: list[str]) -> Counter[str]:
@@ -111,7 +113,8 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
 
     The first is trained on ordinary windows.  The second is trained on what
     sets toxic text apart: words, and beginnings of words, that ordinary
-    documents have far less often.  It holds the first as well, so shared text compresses alike with both.
+    documents have far less often.  Both hold the same ordinary matter at the same distance, so shared text
+    compresses alike, and a gain is due to toxic matter.
     """
     samples = [d[i : i + SAMPLE_BYTES] for d in (t.lower().encode("utf-8", "replace") for t in ordinary) for i in range(0, len(d), SAMPLE_BYTES)]
     try:
@@ -132,7 +135,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
             chosen.append(part)
     extra = "".join(reversed(chosen))
     extra = extra.encode("utf-8", "replace")
-    return base, base + extra
+    return base + bytes(len(extra)), base + extra
 
 
 def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
@@ -148,12 +151,16 @@ def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     centre, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
-    w, ridge = np.zeros(z.shape[1]), np.diag([1.0] * x.shape[1] + [1e-6])
-    for _ in range(50):  # Newton's method for logistic regression
+    w, ridge = np.zeros(z.shape[1]), np.array([RIDGE] * x.shape[1] + [1e-6])
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (z @ w)).sum() + ridge @ (w * w) / 2
+    for _ in range(100):  # Newton's method for logistic regression, with steps that never go uphill
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+        now, part = loss(w), 1.0
+        while part > 1e-6 and loss(w + part * step) > now:
+            part /= 2
+        w = w + part * step
+        if np.abs(part * step).max() < 1e-6:
             break
     return ToxicityModel(base, both, tuple(centre), tuple(scale), tuple(w[:-1]), float(w[-1]))
 
