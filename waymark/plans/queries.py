@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import access, demand, equity, ranking, spatial, timetable
+from ..operators import access, demand, equity, matching, network, ranking, scenarios, spatial, timetable
+from ..sources import sinks
 from . import inputs as I
 from .inputs import FACILITIES, PAIRS, RIDES, SLOTS, ZONES, table
 
@@ -534,3 +535,112 @@ def x16(spark, d):
     minutes = F.when((F.col("n_nationkey") + F.col("s_suppkey")) % 6 > 0, (F.col("n_nationkey") * 19 + F.col("s_suppkey") * 7) % 300)
     status = F.when(minutes.isNull(), "unreachable_under_network").when(minutes <= 180, "reachable_under_network").otherwise("over_threshold")
     return met.select(F.col("n_nationkey").alias("hub"), F.col("s_suppkey").alias("shelter"), status.alias("status"))
+
+
+# -- networks over nations -------------------------------------------------------------
+
+_ROADS = """roads AS (SELECT a.n_nationkey || '-' || b.n_nationkey AS edge_id, a.n_nationkey AS u, b.n_nationkey AS v, (a.n_nationkey * 7 + b.n_nationkey * 3) % 11 + 1 + a.n_nationkey / 64.0::DOUBLE + b.n_nationkey / 4096.0::DOUBLE AS minutes
+  FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND (b.n_nationkey - a.n_nationkey - 1) % 25 < 3 AND (b.n_nationkey - a.n_nationkey) % 25 <> 0 AND b.n_nationkey > a.n_nationkey)"""
+
+
+def _roads(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("u"))
+    ahead = n.withColumn("v", F.explode(F.array(*[F.col("u") + k for k in (1, 2, 3)]))).join(n.select(F.col("u").alias("v")), "v")
+    minutes = (F.col("u") * 7 + F.col("v") * 3) % 11 + 1 + F.col("u") / 64.0 + F.col("v") / 4096.0
+    return ahead.select(F.concat_ws("-", "u", "v").alias("edge_id"), "u", "v", minutes.alias("minutes"), F.lit(500.0).alias("capacity"), F.lit(1.0).alias("length_km"), F.lit(30.0).alias("speed_kmh"))
+
+
+_PATHS = f"""WITH RECURSIVE {_ROADS}, walk AS (SELECT u AS source, v AS node, minutes, [edge_id] AS path FROM roads WHERE u % 5 = 0 UNION ALL SELECT source, r.v, w.minutes + r.minutes, list_append(path, edge_id) FROM walk w JOIN roads r ON r.u = w.node WHERE r.v - source <= 12),
+  best AS (SELECT source, node, min(minutes) AS minutes, arg_min(path, minutes) AS path FROM walk GROUP BY ALL)"""
+
+
+@query("g3_shortest_paths", _PATHS + " SELECT source, node, round(minutes, 6) AS minutes FROM best WHERE node - source <= 12 UNION ALL SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey % 5 = 0")
+def g3(spark, d):
+    sources = table(spark, d, "nation").filter("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("node"))
+    found = network.shortest_paths(_roads(spark, d), sources)
+    return found.filter("node - source <= 12").select("source", "node", F.round("minutes", 6).alias("minutes"))
+
+
+@query("g5_isochrone", _PATHS + " SELECT source, count(*) AS nodes FROM best WHERE minutes <= 20 AND node - source <= 12 GROUP BY 1")
+def g5(spark, d):
+    sources = table(spark, d, "nation").filter("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("node"))
+    found = network.isochrone(network.shortest_paths(_roads(spark, d), sources), 20.0)
+    return found.filter("node - source <= 12 and node <> source").groupBy("source").agg(F.count("*").alias("nodes"))
+
+
+@query("g9_all_or_nothing", _PATHS + f""", {_OD}, routed AS (SELECT unnest(path) AS edge_id, value FROM od JOIN best ON origin = source AND destination = node WHERE origin % 5 = 0 AND destination - origin BETWEEN 1 AND 12)
+  SELECT edge_id, round(coalesce(sum(value), 0), 4) AS volume FROM roads LEFT JOIN routed USING (edge_id) GROUP BY 1""")
+def g9(spark, d):
+    wanted = _od(spark, d).filter("origin % 5 = 0 and destination - origin between 1 and 12")
+    return network.all_or_nothing(_roads(spark, d), wanted)[0].select("edge_id", F.round("volume", 4).alias("volume"))
+
+
+@query("g12_graph_errors", f"WITH {_ROADS} SELECT 'end: ' || edge_id AS error FROM roads WHERE u >= 20 OR v >= 20 UNION SELECT 'length: ' || edge_id FROM roads WHERE u = 3")
+def g12(spark, d):
+    edges = _roads(spark, d).withColumn("length_km", F.when(F.col("u") == 3, 0.0).otherwise(F.col("length_km")))
+    return network.graph_errors(edges, table(spark, d, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("node")))
+
+
+@query("t4_longest_link", f"WITH {_ROADS}, w AS (SELECT *, u % 4 AS way FROM roads) SELECT edge_id, way FROM w WHERE way = (SELECT way FROM w ORDER BY minutes DESC, edge_id DESC LIMIT 1)")
+def t4(spark, d):
+    edges = _roads(spark, d).withColumn("way", F.col("u") % 4)
+    longest = edges.agg(F.max(F.struct("minutes", "edge_id", "way"))["way"].alias("way"))
+    return edges.join(longest, "way", "left_semi").select("edge_id", "way")
+
+
+@query("k2_point_features", f"""WITH {ZONES} SELECT zone_id::VARCHAR AS id, '{{"type":"Feature","id":"' || zone_id::VARCHAR || '","properties":{{"zone_id":' || zone_id::VARCHAR || ',"mesh":"' || mesh || '"}}}}' AS feature FROM zones""")
+def k2(spark, d):
+    f = sinks.point_features(I.zones(spark, d), "zone_id", "zone_id", "mesh")
+    return f.select("id", F.concat(F.regexp_replace("feature", r',"geometry".*$', ""), F.lit("}")).alias("feature"))
+
+
+@query("k8_stable_id", """SELECT p_partkey, substr(sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size::VARCHAR || '}'), 1, 16) AS id FROM part""")
+def k8(spark, d):
+    return table(spark, d, "part").select("p_partkey", sinks.stable_id("p_name", "p_brand", "p_size").alias("id"))
+
+
+@query("k9_ordered_union", "SELECT n_nationkey, 'r' || n_regionkey::VARCHAR || ',x,n' || n_nationkey::VARCHAR || CASE WHEN n_nationkey = 2 THEN '' ELSE ',n2' END AS merged FROM nation")
+def k9(spark, d):
+    a = F.array(F.concat(F.lit("r"), "n_regionkey"), F.lit("x"), F.concat(F.lit("n"), "n_nationkey"))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(sinks.ordered_union(a, F.array(F.lit("x"), F.lit("n2"))), ",").alias("merged"))
+
+
+_VERSIONS = """v AS (SELECT 'd' || (o_custkey % 50)::VARCHAR AS dataset_id, 'v' || o_orderkey::VARCHAR AS version_id, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'validated' ELSE 'candidate' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'passed' ELSE 'failed' END AS validation_status FROM orders)"""
+
+
+def _versions(spark, d):
+    status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "validated").otherwise("candidate")
+    return table(spark, d, "orders").select(F.concat(F.lit("d"), F.col("o_custkey") % 50).alias("dataset_id"), F.concat(F.lit("v"), "o_orderkey").alias("version_id"), status.alias("status"), F.when(F.col("o_orderkey") % 3 == 0, "passed").otherwise("failed").alias("validation_status"))
+
+
+@query("q8_approved_version", f"WITH {_VERSIONS} SELECT dataset_id, version_id, CASE WHEN version_id = 'v3' THEN 'active' WHEN status = 'active' AND dataset_id = (SELECT dataset_id FROM v WHERE version_id = 'v3') THEN 'archived' ELSE status END AS status FROM v")
+def q8(spark, d):
+    return sinks.approved(_versions(spark, d), "v3").select("dataset_id", "version_id", "status")
+
+
+@query("q8_rolled_back", f"WITH {_VERSIONS} SELECT dataset_id, version_id, CASE WHEN version_id = 'v4' THEN 'active' WHEN dataset_id = (SELECT dataset_id FROM v WHERE version_id = 'v4') THEN 'archived' ELSE status END AS status FROM v")
+def q8b(spark, d):
+    return sinks.rolled_back(_versions(spark, d), "v4").select("dataset_id", "version_id", "status")
+
+
+@query("q9_classification", "SELECT n_nationkey, substr('ABCDE', n_nationkey % 5 + 1, 1) AS classification FROM nation WHERE n_nationkey % 5 = 4")
+def q9(spark, d):
+    rows = table(spark, d, "nation").select("n_nationkey", F.substring(F.lit("ABCDE"), F.col("n_nationkey") % 5 + 1, F.lit(1)).alias("classification"))
+    return sinks.provenance_errors(rows)
+
+
+@query("x10_sensitivity_cases")
+def x10(spark, d):
+    """Each registered case over the zones: walking at its speed, thresholds and limits as stated."""
+    cases = spark.createDataFrame([c for c in scenarios.CASES], scenarios.CASE_SCHEMA)
+    p = I.pairs(spark, d).withColumnRenamed("before", "base").join(F.broadcast(cases))
+    return access.population_access(p.withColumn("minutes", S.rescaled_walk(F.col("base"), F.col("walk_speed_kmh"))), ["case_id"])
+
+
+@query("j10_facility_matches")
+def j10(spark, d):
+    """Suppliers against customers of the same name number, near each other; one to one within a nation."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("official_id"), F.regexp_replace("c_name", "Customer#0*", "Clinic ").alias("name"), F.lit("").alias("short_name"), (33 + F.col("c_custkey") % 400 / 1000.0).alias("lat"), (132 + F.col("c_custkey") % 400 / 1000.0).alias("lon"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("place_id"), F.regexp_replace("s_name", "Supplier#0*", "Clinic ").alias("name"), (33 + F.col("s_suppkey") % 400 / 1000.0).alias("lat"), (132 + F.col("s_suppkey") % 400 / 1000.0).alias("lon"))
+    found = matching.facility_candidates(s, c).withColumn("region", F.col("place_id") % 25)
+    return matching.one_to_one(found, "region", ["priority", "km"]).select("place_id", "official_id", "priority", F.round("km", 6).alias("km"))
