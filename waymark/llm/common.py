@@ -37,3 +37,15 @@ def settled(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of texts that Spark hands to Python at once, at most.
+TEXTS_PER_BATCH = 1000
+
+
+def for_python(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches kept small enough for rows that are whole texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXTS_PER_BATCH:
+        conf.set(key, str(TEXTS_PER_BATCH))
+    return df

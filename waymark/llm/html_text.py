@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import for_python, load
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -288,7 +288,7 @@ def with_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame
         for part in parts:
             yield pd.Series([render(x) for x in part], dtype=object)
 
-    return df.withColumn(out, rendered(F.col(html)))
+    return for_python(df).withColumn(out, rendered(F.col(html)))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

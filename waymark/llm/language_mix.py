@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import for_python, load
 
 UNKNOWN = "und"
 #: N-grams are three bytes of lower-cased text, hashed to so many cells.
@@ -115,7 +115,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMod
             cell = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([own] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(table[cell])], ["lang", "cell", "n"])
 
-    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
+    rows = for_python(train).select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
     sums = rows.mapInArrow(counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     names = sums.column("lang").to_pylist()
     languages = sorted(set(names))
@@ -134,7 +134,7 @@ def with_language(df: DataFrame, model: LanguageModel, text: str = "text", out:
         for part in parts:
             yield pd.DataFrame([shared.value.infer(t) for t in part], columns=["lang_pred", "score", "mixture"])
 
-    return df.withColumn(out, inferred(F.col(text)))
+    return for_python(df).withColumn(out, inferred(F.col(text)))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, settled
+from .common import for_python, load, settled
 
 #: Payloads are padded to a multiple of this.
 BLOCK = 64
@@ -86,7 +86,7 @@ def recipes(media: DataFrame, payload: str | Column, *keep: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_bytes", "payload_digest", "digests"])
 
     column = F.col(payload) if isinstance(payload, str) else payload
-    return media.select(*keep, described(F.coalesce(column.cast("binary"), F.lit(b""))).alias("_r")).select(*keep, "_r.*")
+    return for_python(media).select(*keep, described(F.coalesce(column.cast("binary"), F.lit(b""))).alias("_r")).select(*keep, "_r.*")
 
 
 def store(media: DataFrame, payload: str | Column) -> DataFrame:
@@ -106,7 +106,7 @@ def store(media: DataFrame, payload: str | Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(frames, pa.binary())], ["digest", "frame"])
 
     column = F.col(payload) if isinstance(payload, str) else payload
-    found = media.select(F.coalesce(column.cast("binary"), F.lit(b"")).alias("payload")).mapInArrow(stored, "digest binary, frame binary")
+    found = for_python(media).select(F.coalesce(column.cast("binary"), F.lit(b"")).alias("payload")).mapInArrow(stored, "digest binary, frame binary")
     return found.dropDuplicates(["digest"])
 
 

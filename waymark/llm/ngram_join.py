@@ -34,14 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, settled
+from .common import for_python, load, settled
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, LEAST = 5, 80
 #: Shingles known as frequent, at most, and the count from which they are; others are ordered by hash alone.
 FREQUENT, FREQUENT_FROM = 200_000, 16
 #: A task reports shingles that it met at least so often; it holds so many shingles before it counts them.
-SEEN_FROM, COUNTED_AT = 3, 4_000_000
+SEEN_FROM, COUNTED_AT = 3, 1_000_000
 #: Orders that a candidate must pass besides the first.
 FURTHER_ORDERS = 2
 
@@ -303,7 +303,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, class, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = for_python(docs).select("doc_id", "text")
     rows, orders = members(docs)
     shared = settled(groups(docs, orders))
     ids = rows.join(shared.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("id")).select("id").distinct()

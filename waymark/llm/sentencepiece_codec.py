@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import for_python, load
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -369,7 +369,7 @@ def with_pieces(df: DataFrame, text: str = "text", out: str = "pieces", path: st
                 rows.append(([*ids, own.end], [*begins.tolist(), len(data)], [*ends.tolist(), len(data)]))
             yield pd.DataFrame(rows, columns=["ids", "begins", "ends"])
 
-    return df.withColumn(out, pieces(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return for_python(df).withColumn(out, pieces(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def with_text(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -382,7 +382,7 @@ def with_text(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
         for part in parts:
             yield pd.Series([own.decode(list(x)) if x is not None else "" for x in part], dtype=object)
 
-    return df.withColumn(out, texts(F.col(ids)))
+    return for_python(df).withColumn(out, texts(F.col(ids)))
 
 
 def with_digests(df: DataFrame, text: str = "text", out: str = "encoded", path: str | None = None) -> DataFrame:
@@ -405,7 +405,7 @@ def with_digests(df: DataFrame, text: str = "text", out: str = "encoded", path:
                 rows.append((len(ids), sha(" ".join([own.id_text[i] for i in ids]).encode()), sha(own.decode_bytes(ids)), sha(spans)))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    return df.withColumn(out, digests(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return for_python(df).withColumn(out, digests(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import for_python, load
 
 #: Labelled documents of each class that a model is fitted on, at most.
 MOST_ROWS = 4000
@@ -184,7 +184,7 @@ def with_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out:
         for part in parts:
             yield pd.Series([shared.value.score(t) for t in part], dtype=float)
 
-    return df.withColumn(out, scored(F.col(text)))
+    return for_python(df).withColumn(out, scored(F.col(text)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
