@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import access, network, ranking, timetable
+from ..sources import places
 from ..streaming.events import per_window
 from . import inputs as I
 from .inputs import FACILITIES, PAIRS, RIDES, SLOTS, ZONES, table
@@ -203,3 +204,26 @@ def q5(spark, d):
 @query("events_per_window", "SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def events_per_window(spark, d):
     return per_window(table(spark, d, "events"))
+
+
+@query("f16_within_bounds", f"WITH {ZONES} SELECT zone_id FROM zones WHERE lat BETWEEN 33.4 AND 33.9 AND lon BETWEEN 132.25 AND 132.75 AND destination = 1")
+def f16(spark, d):
+    return I.zones(spark, d).filter(F.col("lat").between(33.4, 33.9) & F.col("lon").between(132.25, 132.75) & (F.col("destination") == 1)).select("zone_id")
+
+
+def _elements(spark, d):
+    """Map elements: suppliers as nodes, customers as ways of their orders' keys."""
+    point = lambda k: F.struct((33 + F.col(k) % 1000 / 1000.0).alias("lat"), (132 + F.col(k) % 777 / 777.0).alias("lon"))
+    kind = lambda k: F.element_at(F.array(F.lit("hospital"), F.lit("clinic"), F.lit("bank")), (F.col(k) % 3 + 1).cast("int"))
+    s = table(spark, d, "supplier").select(F.lit("node").alias("type"), F.col("s_suppkey").alias("id"), point("s_suppkey").alias("p"), F.create_map(F.lit("amenity"), kind("s_suppkey"), F.lit("name"), F.col("s_name")).alias("tags"), F.expr("cast(array() as array<struct<lat:double,lon:double>>)").alias("geometry"))
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.col("o_orderkey"))).alias("keys"))
+    ways = o.select(F.lit("way").alias("type"), F.col("o_custkey").alias("id"), F.create_map(F.lit("amenity"), kind("o_custkey")).alias("tags"), F.transform("keys", lambda k: F.struct((33 + k % 1000 / 1000.0).alias("lat"), (132 + k % 777 / 777.0).alias("lon"))).alias("geometry"))
+    return s.select("type", "id", "p.lat", "p.lon", "tags", "geometry").unionByName(ways.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")}))
+
+
+@query("s9_facilities", """WITH e AS (SELECT 'osm:node:' || s_suppkey::VARCHAR AS place_id, s_name AS name, s_suppkey % 3 AS k, 33 + (s_suppkey % 1000)::DOUBLE / 1000 AS lat, 132 + (s_suppkey % 777)::DOUBLE / 777 AS lon FROM supplier
+  UNION ALL SELECT 'osm:way:' || o_custkey::VARCHAR, ['hospital', 'clinic', 'bank'][o_custkey % 3 + 1], o_custkey % 3, avg(33 + (o_orderkey % 1000)::DOUBLE / 1000), avg(132 + (o_orderkey % 777)::DOUBLE / 777) FROM orders GROUP BY o_custkey)
+  SELECT place_id, name, ['hospital', 'clinic'][k + 1] AS amenity, round(lat, 6) AS lat, round(lon, 6) AS lon FROM e WHERE k < 2""")
+def s9(spark, d):
+    found = places.facilities(_elements(spark, d))
+    return found.select("place_id", "name", "amenity", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
