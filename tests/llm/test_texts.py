@@ -208,6 +208,30 @@ def test_pages(spark, folder):
     assert html_text.op8_html_text(spark, folder(pages=[])).collect() == []
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<div class="menu hidden md:block">a</div>', "a"),
+        ('<a title="The hidden valley">b</a> <i data-css="display:none">c</i>', "b c"),
+        ('<body data-x=" hidden "><p>d', "d"),
+        ("<p hidden>a</p><p HIDDEN=''>b</p><p style='color:red; Display : NONE !important'>c</p><p style=visibility:hidden>d</p>e", "e"),
+        ('<p style="display:none;display:block">a</p><p hidden style="display:block">b</p>', "a\n\nb"),
+        ('<ol data-x=" start=7" start="3"><li>a</ol>', "3. a"),
+        ("<table>one <tr><td>cell</td></tr> <b>two</b></table>end", "one two\n\ncell\n\nend"),
+        ("<ul><li><table>s<tr><td>c</table></ul>", "- s\n\n  c"),
+        ("<table><tr><table><tr><td>inner</td></tr></table></tr></table>", "inner"),
+        ("<table><tr><td>x<table>stray<tr><td>y</table></td></tr></table>", "x\n\nstray\n\ny"),
+        ("<head><title>t</title><span>text</span> more", "text more"),
+        ("<head><title>t</title> bare text", "bare text"),
+        ("<head> <meta charset=x><noscript><img></noscript><style>s</style></head>a", "a"),
+        ("x <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> y", "x a=2 y"),
+        ("<svg><title>t</title><defs/><desc>d</desc><text>one</text><text>two</text></svg>z", "one\ntwo\nz"),
+    ],
+)
+def test_visible_text_stays(html, text):
+    assert html_text.render(html) == text
+
+
 def test_all_words_of_plain_pages_stay(prose):
     for seed in range(20):
         blocks = [prose(seed * 10 + k, 30) for k in range(6)]

@@ -27,7 +27,12 @@ from .common import for_python, load
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base object audio video canvas datalist".split())
+#: Within a drawing or a formula: elements whose text is not shown.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
+#: What may stand in a head; all else ends it.
+IN_HEAD = frozenset("base link meta title style script template noscript noframes".split())
+FOREIGN = frozenset(["svg", "math"])
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl menu dir table figure fieldset article section hr".split())
 ENDS_P = BLOCK - frozenset("body html legend option optgroup".split())
@@ -35,8 +40,10 @@ LISTS = frozenset("ul ol menu dir".split())
 PARTS = frozenset("thead tbody tfoot".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?(-?\d+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+#: Only attributes with this in them are worth parsing for visibility.
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_NUMBER = re.compile(r"\s*([+-]?\d+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: For a start tag: the elements it ends, and those beyond which it does not look.
 _ENDS = {
@@ -57,6 +64,30 @@ _P_SCOPE = frozenset("table td th caption button object".split())
 _CELL_SCOPE = frozenset(["table", "td", "th", "caption"])
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """Names in lower case and values of a tag's attributes; of repeated names the first counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), unescape(double or single or bare))
+    return found
+
+
+def hides(raw: str) -> bool:
+    """Whether the hidden attribute or the style of a tag hides its element; a stated display outweighs the attribute."""
+    if not raw or not _MAY_HIDE.search(raw):
+        return False
+    attributes = attributes_of(raw)
+    style: dict[str, tuple[bool, str]] = {}
+    for part in attributes.get("style", "").split(";"):
+        name, _, value = part.partition(":")
+        value, important, _ = value.strip().lower().partition("!")
+        name = name.strip().lower()
+        if value and (important or not style.get(name, (False, ""))[0]):
+            style[name] = important != "", value.strip()
+    display = style.get("display", (False, "none" if "hidden" in attributes else ""))[1]
+    return display == "none" or style.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+
+
 def events(html: str) -> Iterator[tuple[str, str, str]]:
     """("open", tag, attributes), ("text", text, "") and ("close", tag, ""), well nested."""
     stack: list[str] = []
@@ -88,6 +119,8 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
         found = _TAG.search(html, at)
         text = html[at : found.start()] if found else html[at:]
         if text:
+            if stack and stack[-1] == "head" and not text.isspace():
+                yield from close(within(frozenset(["head"]), frozenset()))
             yield "text", unescape(text), ""
         if not found:
             break
@@ -112,10 +145,10 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
         if tag in ("td", "th") and within(frozenset(["tr"]), frozenset(["table"])) == 0 and open_["table"]:
             push("tr")
             yield "open", "tr", ""
-        if tag in BLOCK and tag not in ("html", "body") and open_["head"]:
+        if open_["head"] and (tag in BLOCK and tag not in ("html", "body") or stack[-1] == "head" and tag not in IN_HEAD):
             yield from close(within(frozenset(["head"]), frozenset()))
         yield "open", tag, found[3]
-        if tag in VOID or found[3].endswith("/") and tag in ("path", "rect", "circle"):
+        if tag in VOID or found[3].endswith("/") and (tag in ("path", "rect", "circle") or tag in FOREIGN or any(open_[t] for t in FOREIGN)):
             yield "close", tag, ""
         elif tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -211,14 +244,22 @@ def render(html: str | None) -> str:
     sheets, tables, lists = [Sheet()], [], []
     unseen: list[bool] = []  # of each open element: whether it or one above is unseen
     plain, indent = 0, ""
+    foreign = 0  # open drawings and formulas
+
+    def stray() -> bool:
+        """In a table, but in none of its cells: shown before the table, as browsers do."""
+        return bool(tables) and len(sheets) == tables[-1]["sheets"]
+
     for kind, tag, attributes in events(html or ""):
         hidden = bool(unseen) and unseen[-1]
         if kind == "text":
-            if not hidden and (not tables or len(sheets) > len(tables)):
+            if not hidden and stray():
+                sheets[-1].text(tag, tables[-1]["indent"] + indent, plain > 0 and not tag.isspace())
+            elif not hidden:
                 sheets[-1].text(tag, indent, plain > 0)
             continue
         if kind == "open":
-            hidden = hidden or tag in UNSEEN or (attributes != "" and _HIDDEN.search(attributes) is not None)
+            hidden = hidden or tag in UNSEEN or foreign > 0 and tag in UNDRAWN or hides(attributes)
             unseen.append(hidden)
             if hidden:
                 continue
@@ -231,8 +272,12 @@ def render(html: str | None) -> str:
                 sheets[-1].block(2)
             elif tag == "pre":
                 plain += 1
+            elif tag in FOREIGN:
+                foreign += 1
+            elif tag == "text" and foreign:
+                sheets[-1].block(1)
             elif tag in LISTS:
-                start = _START.search(attributes) if attributes else None
+                start = _NUMBER.match(attributes_of(attributes).get("start", "")) if attributes else None
                 lists.append([tag == "ol", int(start[1]) if start else 1, indent])
             elif tag == "li":
                 mark = "- "
@@ -244,7 +289,8 @@ def render(html: str | None) -> str:
             elif tag in ("blockquote", "dd"):
                 indent += "  "
             elif tag == "table":
-                tables.append({"rows": [], "head": [], "lists": lists, "indent": indent})
+                outer = tables[-1]["indent"] + indent if stray() else indent
+                tables.append({"rows": [], "head": [], "lists": lists, "own": indent, "indent": outer, "sheets": len(sheets)})
                 lists, indent = [], ""
             elif tag == "tr" and tables:
                 tables[-1]["rows"].append([])
@@ -256,13 +302,17 @@ def render(html: str | None) -> str:
             continue
         if tag == "pre":
             plain -= 1
+        elif tag in FOREIGN:
+            foreign -= 1
+        elif tag == "text" and foreign:
+            sheets[-1].block(1)
         elif tag in LISTS and lists:
             indent = lists.pop()[2]
         elif tag == "li":
             indent = lists[-1][2] if lists else ""
         elif tag in ("blockquote", "dd"):
             indent = indent[:-2]
-        elif tag in ("td", "th", "caption") and tables and len(sheets) > len(tables):
+        elif tag in ("td", "th", "caption") and tables and not stray():
             lines = sheets.pop().done()
             if tag == "caption":
                 tables[-1]["head"] += lines
@@ -270,10 +320,11 @@ def render(html: str | None) -> str:
                 tables[-1]["rows"][-1].append(lines)
         elif tag == "table":
             table = tables.pop()
-            lists, indent = table["lists"], table["indent"]
+            lists, indent = table["lists"], table["own"]
+            sheets[-1].block(2)
             for line in [*table["head"], *aligned(table["rows"])]:
                 if line:
-                    sheets[-1].text(line, indent, True)
+                    sheets[-1].text(line, table["indent"], True)
                 sheets[-1].end_line()
         if tag in BLOCK:
             sheets[-1].block(2 if tag in SPACED and not (tag in LISTS and lists) else 1)
