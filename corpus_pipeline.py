@@ -30,16 +30,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, keeps that with the smallest id; of rows repeated with id and text, one."""
+    """Of documents that links connect, keeps that with the smallest id, and one row of it; those without a shingle all stay.
+
+    Documents are told apart by id and text, as ids may be null or repeated.
+    """
     found = settled(ngram_join.similar_documents(docs))
-    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size")).filter("n > 1 and size > 0").select(F.col("doc_id").alias("_again"))
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_id"), ngram_join.text_key().alias("_key"))
+
+    def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, rows["_id"].eqNullSafe(keys["doc_id"]) & (rows["_key"] == keys["text_key"]), how)
+
+    kept = matched(keyed, found.filter("not stays").select("doc_id", "text_key").distinct(), "left_anti")
+    again = found.filter("stays and class is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     if again.isEmpty():
-        return kept
-    repeated = kept.join(again, kept["doc_id"].eqNullSafe(again["_again"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    single = kept.join(again, kept["doc_id"].eqNullSafe(again["_again"]), "left_anti")
-    return single.unionByName(repeated)
+        return kept.select(*docs.columns)
+    repeated = matched(kept, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    single = matched(kept, again, "left_anti")
+    return single.unionByName(repeated).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

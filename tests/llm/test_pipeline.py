@@ -31,5 +31,19 @@ def test_stages(spark, folder, prose):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, lib.encode(texts[r.doc_id], add_eos=True))).encode()).hexdigest()
 
 
+def test_one_of_each_group_by_row(spark, folder, prose):
+    a, b, c, d, e, f = (prose(k, 60, ("the", "ing", "ow", "sh")) for k in range(300, 306))
+    near = [c, c + " end", c + " stop"]
+    rows = [(1, a), (None, a), (None, b), (None, ""), (None, None), (5, d), (5, a + " end"), (5, e), (6, near[0]), (6, near[1]), (6, near[2]), (None, f), (None, f + " end"), (None, f), (7, e)]
+    docs = spark.read.parquet(folder(documents=[(i, t, "en", "a", 1) for i, t in rows]) + "/documents.parquet")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    (one,) = [r for r in got if r[1] in near]
+    (other,) = [r for r in got if r[1] in (f, f + " end")]
+    assert one[0] == 6 and other[0] is None
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (None, b), (None, ""), (None, None), (5, d), (5, e), one, other]))
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder(documents=[])).collect() == []

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import for_python, load, settled
@@ -117,11 +117,16 @@ class Orders:
         return found[np.lexsort((key, level))[:first]]
 
 
+def text_key() -> Column:
+    """A 64-bit hash of the text: with doc_id it tells rows apart whose ids are equal or null."""
+    return F.xxhash64("text").alias("text_key")
+
+
 def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
-    """(doc_id, class, n) of each row, class null without shingles; and orders from counts over all rows."""
+    """(doc_id, text_key, class, n) of each row, class null without shingles; and orders from counts over all rows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "class", "n", "token", "met"]
+        names = ["doc_id", "text_key", "class", "n", "token", "met"]
         held, size, known = [], 0, (np.empty(0, np.uint64), np.empty(0, np.int64))
 
         def counted(known):
@@ -145,17 +150,17 @@ def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
                 if size > COUNTED_AT:
                     known, held, size = counted(known), [], 0
             none = pa.nulls(len(counts), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(counts, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(counts, pa.int64()), none, none], names)
         token, met = counted(known)
         token, met = token[met >= SEEN_FROM], met[met >= SEEN_FROM]
         none = pa.nulls(len(token), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token.view(np.int64)), pa.array(met)], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(met)], names)
 
-    rows = settled(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, class long, n long, token long, met long"))
+    rows = settled(docs.select(F.col("doc_id").cast("long"), "text", text_key()).mapInArrow(read, "doc_id long, text_key long, class long, n long, token long, met long"))
     often = rows.filter("token is not null").groupBy("token").agg(F.sum("met").alias("met")).filter(F.col("met") >= FREQUENT_FROM)
     top = often.orderBy(F.desc("met"), "token").limit(FREQUENT).toArrow()
     levels = np.log2(np.maximum(top.column("met").to_numpy(), 1)).astype(np.int64) if len(top) else np.empty(0, np.int64)
-    return rows.filter("n is not null").select("doc_id", "class", "n"), Orders(top.column("token").to_numpy().astype(np.int64).view(np.uint64), levels)
+    return rows.filter("n is not null").select("doc_id", "text_key", "class", "n"), Orders(top.column("token").to_numpy().astype(np.int64).view(np.uint64), levels)
 
 
 def groups(docs: DataFrame, orders: Orders) -> DataFrame:
@@ -302,7 +307,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_key, class, n_shingles, component_id, stays) for each row of ``docs`` (doc_id, text).
+
+    ``stays`` holds for the rows of one (doc_id, text) of each component: that with the smallest id, nulls last,
+    then with the smallest key; and for rows without a shingle.
+    """
     docs = for_python(docs).select("doc_id", "text")
     rows, orders = members(docs)
     shared = settled(groups(docs, orders))
@@ -313,8 +322,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     more = settled(verified(cross_pairs(shared, labels), texts, orders))
     labels = components(links.unionAll(more))
     placed = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    lowest = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("lowest"))
-    return placed.join(lowest, "label", "left").select("doc_id", "class", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    lowest = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("lowest"), first)
+    stays = F.col("label").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    named = F.coalesce("lowest", "doc_id").alias("component_id")
+    return placed.join(lowest, "label", "left").select("doc_id", "text_key", "class", F.col("n").alias("n_shingles"), named, stays.alias("stays"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
