@@ -55,6 +55,23 @@ def test_join_against_brute_force(spark, folder, prose, odd):
     assert joined(spark, folder(extra=True, documents=docs)) == components(docs)
 
 
+def test_links_against_brute_force(spark, folder, prose, odd, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
+    docs = list(odd)
+    for g in range(3):  # connected at once through a hub, but not all of them are similar
+        words = prose(100 + g, 80).split()
+        docs += [(1000 + g * 10 + k, " ".join("x" if (j * 7 + k) % 97 < k // 2 else w for j, w in enumerate(words)), None, None, None) for k in range(8)]
+    docs += [(3000 + k // 2, prose(8, 50) + " " + " ".join(f"w{j}" for j in range(k // 2)), None, None, None) for k in range(60)]
+    sets = []
+    for _, t, *_ in docs:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    similar = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = [(i, len(s), sum(similar(s, t) for t in sets) - bool(s)) for (i, *_), s in zip(docs, sets)]
+    got = ngram_join.op7_ngram_links(spark, folder(extra=True, documents=docs)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_join_of_nothing(spark, folder):
     assert joined(spark, folder(documents=[])) == []
     assert joined(spark, folder(documents=[(1, None, None, None, None), (2, "", None, None, None)])) == [(1, 0, 1), (2, 0, 2)]

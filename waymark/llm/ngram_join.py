@@ -10,7 +10,10 @@ shingles last, each breaks ties by a hash of its own.
 Documents with equal sets form one class, and only classes are compared.  In a
 group of classes that share a shingle, each is first compared with one hub;
 then only those pairs are left to compare that are not connected yet.  No link
-between components is lost, and large groups of near copies stay linear.
+between components is lost, and large groups of near copies stay linear.  Where
+all links are asked for (``linked_classes``, ``link_counts``), all pairs of a
+group are compared, in blocks; in large groups of near copies they grow with
+the square, as the links do.
 
 Shingles and classes are known by 64-bit hashes.
 
@@ -42,6 +45,8 @@ WORDS, LEAST = 5, 80
 FREQUENT, FREQUENT_FROM = 200_000, 16
 #: A task reports shingles that it met at least so often; it holds so many shingles before it counts them.
 SEEN_FROM, COUNTED_AT = 3, 4_000_000
+#: Classes of a group in a block, where all its pairs are compared.
+BLOCK_ROWS = 1_000
 #: Orders that a candidate must pass besides the first.
 FURTHER_ORDERS = 2
 
@@ -239,6 +244,17 @@ def cross_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.col("b.class").alias("one"), F.col("a.class").alias("other")).distinct()
 
 
+def all_pairs(shared: DataFrame) -> DataFrame:
+    """(one, other): all pairs of a group, once each; groups are dealt by token and two blocks."""
+    blocks = shared.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = shared.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = dealt.select("token", "class", "n", "pos", F.col("own").alias("i"), every.alias("j")).alias("a")
+    b = dealt.select("token", "class", "n", "pos", F.col("own").alias("j"), every.alias("i")).alias("b")
+    met = a.join(b, ["token", "i", "j"]).filter((F.col("a.class") < F.col("b.class")) & _may_link("a", "b"))
+    return met.select(F.col("a.class").alias("one"), F.col("b.class").alias("other")).distinct()
+
+
 def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(class, packed): the compressed text of one row of each class, from rows whose id is in ``ids``."""
 
@@ -306,17 +322,47 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def prepared(docs: DataFrame) -> tuple[DataFrame, Orders, DataFrame, DataFrame]:
+    """Rows with their classes, orders, groups of classes, and the classes' texts."""
+    docs = for_python(docs).select("doc_id", "text")
+    rows, orders = members(docs)
+    shared = settled(groups(docs, orders))
+    ids = rows.join(shared.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    return rows, orders, shared, settled(packed_texts(docs, ids))
+
+
+def _all_links(rows: DataFrame, orders: Orders, shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """(one, other, one_rows, other_rows): every two classes that are similar enough, and the rows of each."""
+    sizes = rows.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
+    links = verified(all_pairs(shared), texts, orders)
+    for side in ("one", "other"):
+        links = links.join(sizes.select(F.col("class").alias(side), F.col("rows").alias(f"{side}_rows")), side)
+    return links.select("one", "other", "one_rows", "other_rows")
+
+
+def linked_classes(docs: DataFrame) -> DataFrame:
+    """(one, other, one_rows, other_rows): every link between different classes of ``docs`` (doc_id, text)."""
+    return _all_links(*prepared(docs))
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, links): with how many other rows each row of ``docs`` (doc_id, text) is similar enough."""
+    rows, *rest = prepared(docs)
+    links = settled(_all_links(rows, *rest))
+    both = links.select(F.col("one").alias("class"), F.col("other_rows").alias("met")).unionAll(links.select(F.col("other").alias("class"), F.col("one_rows").alias("met")))
+    met = both.groupBy("class").agg(F.sum("met").alias("met"))
+    equal = rows.filter("class is not null").groupBy("class").agg((F.count("*") - 1).alias("equal"))
+    counts = equal.join(met, "class", "left").select("class", (F.col("equal") + F.coalesce("met", F.lit(0))).alias("links"))
+    return rows.join(counts, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, class, n_shingles, component_id, stays) for each row of ``docs`` (doc_id, text).
 
     ``stays`` holds for the rows of one (doc_id, text) of each component: that with the smallest id, nulls last,
     then with the smallest key; and for rows without a shingle.
     """
-    docs = for_python(docs).select("doc_id", "text")
-    rows, orders = members(docs)
-    shared = settled(groups(docs, orders))
-    ids = rows.join(shared.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    texts = settled(packed_texts(docs, ids))
+    rows, orders, shared, texts = prepared(docs)
     links = settled(verified(hub_pairs(shared), texts, orders))
     labels = components(links)
     more = settled(verified(cross_pairs(shared, labels), texts, orders))
@@ -331,3 +377,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(load(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_text import op8_html_text
 from .language_mix import op4_language_mix
 from .media_chunks import op5_media_chunks
-from .ngram_join import op7_ngram_join
+from .ngram_join import op7_ngram_join, op7_ngram_links
 from .secret_scan import op2_secret_scan
 from .sentencepiece_codec import op10_sentencepiece
 from .source_mix import OP6_SQL, op6_source_mix
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media_chunks": op5_media_chunks,
     "op6_source_mix": op6_source_mix,
     "op7_ngram_join": op7_ngram_join,
+    "op7_ngram_links": op7_ngram_links,
     "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
