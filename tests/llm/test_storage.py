@@ -2,6 +2,8 @@ import hashlib
 import random
 import zlib
 
+import pytest
+
 from waymark.llm import media_chunks, warc
 
 
@@ -20,6 +22,16 @@ def test_payloads_come_back(spark, folder, odd):
     assert len({(r.media_bytes, r.media_sha256, r.feature) for r in same}) == 1
 
 
+def test_store_is_written_and_verified(spark, folder, odd):
+    docs = spark.read.parquet(folder(documents=odd) + "/documents.parquet").select("doc_id", "text")
+    lists, store = media_chunks.recipes(docs, "text", "doc_id"), media_chunks.settled(media_chunks.store(docs, "text"))
+    assert store.inputFiles() and store.count() == store.select("digest").distinct().count()
+    assert media_chunks.with_features(media_chunks.read_back(lists, store)).count() == lists.select("payload_digest").distinct().count()
+    lost = store.orderBy("digest").offset(1)
+    with pytest.raises(Exception, match="not in the store"):
+        media_chunks.with_features(media_chunks.read_back(lists, lost)).collect()
+
+
 def test_no_payload(spark, folder):
     assert media_chunks.op5_media_chunks(spark, folder(documents=[])).collect() == []
 
@@ -75,11 +87,41 @@ def test_predicates_and_skipping(spark, folder, tmp_path):
     assert {r.payload for r in warc.read_archives(spark, path, payloads=False).collect()} == {None}
     assert read.filter("url = 'http://v%0Az'").count() == 1
 
-    reader = warc.WarcReader(path, True)
+    assert {r.page_id for r in warc.read_archives(spark, path, record_type="revisit").collect()} == {3, None, 11}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = warc.read_archives(spark, path, payloads=False).filter("record_type = 'revisit' and page_id = 3")
+        assert [r.refers_to for r in pushed.collect()] == [1]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = warc.FilteringWarcReader(path, True)
     assert list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit")])) == []
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3
 
 
+def test_many_repeated_payloads(spark, monkeypatch):
+    pages = spark.createDataFrame([*PAGES, (3, "again", "x" * 200)], "page_id long, url string, html string")
+    rows = lambda **k: sorted(map(str, warc.archive_rows(pages, **k).collect()))
+    assert rows(most_sent=0) == rows()
+
+
+def test_payloads_that_nobody_wants_are_not_decoded(tmp_path):
+    r = random.Random(4)
+    n, size = 20, 200_000
+    rows = [type("Row", (), {"page_id": i, "url": "u", "record_type": "response" if i % 2 else "revisit", "payload_bytes": size, "payload_digest": "d", "refers_to": None, "payload": r.randbytes(size)}) for i in range(n)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.member(warc.record(x)) for x in rows))
+    for payloads, where, wanted in ((False, {}, 0), (True, {"page_id": 7}, 1), (True, {"record_type": "response"}, n // 2)):
+        reader = warc.WarcReader(str(tmp_path), payloads, where)
+        found = [x for p in reader.partitions() for b in reader.read(p) for x in b.to_pylist()]
+        assert len([x for x in found if x["payload"] is not None]) == wanted
+        assert reader.bytes_decoded <= wanted * (size + 2 * warc.BODY_STEP) + n * 2 * warc.HEAD_STEP
+        assert reader.bytes_read <= wanted * (size + 2 * warc.BODY_STEP) + n * 3 * warc.HEAD_STEP
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.member(warc.record(type("Row", (), {**vars(x), "payload": b"<p>small</p>"}))) for x in rows))
+    reader = warc.WarcReader(str(tmp_path), True)
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == n
+    assert reader.bytes_read <= 2 * (tmp_path / "a.warc.gz").stat().st_size
+
+
 def test_members_without_length_field(tmp_path):
     import gzip
 

@@ -1,7 +1,9 @@
 import hashlib
 import json
+import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -83,9 +85,39 @@ def test_orders_share_a_prefix():
         a = np.unique(r.integers(0, 1 << 62, 100).astype(np.uint64))
         b = np.unique(np.concatenate([a[: r.integers(85, 101)], r.integers(0, 1 << 62, 5).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        orders = ngram_join.Orders(a[::3].copy(), np.full(len(a[::3]), 4))
+        orders = ngram_join.Orders(a[::3].copy(), np.full(len(a[::3]), 4), 64)
         if 100 * both >= 80 * (len(a) + len(b) - both):
-            assert all(len(np.intersect1d(orders.prefix(a, k), orders.prefix(b, k))) for k in range(3))
+            assert all(len(np.intersect1d(x, y)) for x, y in zip(orders.prefixes(a), orders.prefixes(b), strict=True))
+
+
+def test_packed_cells_come_back():
+    r = np.random.default_rng(1)
+    for high, n in ((1 << 20, 5_000), (1 << 56, 1), (1 << 56, 700), (1 << 40, 50)):
+        cells = np.sort(r.integers(0, high, n).astype(np.uint64))
+        assert (ngram_join.unpacked_cells(ngram_join.packed_cells(cells)) == cells).all()
+
+
+def test_frequencies_do_not_depend_on_how_they_are_gathered(spark, folder, prose, monkeypatch):
+    docs = [(k, prose(k, 30) + " " + prose(9_999, 20), None, None, None) for k in range(60)]
+    docs = spark.read.parquet(folder(documents=docs) + "/documents.parquet").repartition(7)
+    known = lambda: [x.tolist() for x in (lambda o: (o.cells, o.levels))(ngram_join.members(docs)[1])]
+    once = known()
+    monkeypatch.setattr(ngram_join, "SORTED_AT", 50)
+    monkeypatch.setattr(ngram_join, "COUNTED_AT", 40)
+    assert len(once[0]) == 17 and known() == once
+
+
+def test_each_order_leaves_fewer_pairs(spark, folder, prose):
+    """Candidates of the first order, then those that pass one and two further ones, then those that are similar."""
+    docs = []
+    for g in range(60):  # texts with a passage in common, and near copies of one of them
+        passage = prose(500 + g, 8 + g % 8)
+        docs += [(g * 20 + k, prose(g * 100 + k, 40) + " " + passage, None, None, None) for k in range(12)]
+        docs.append((g * 20 + 19, docs[-1][1] + " end", None, None, None))
+    rows, kept, shared = ngram_join.prepared(spark.read.parquet(folder(documents=docs) + "/documents.parquet"))
+    pairs = ngram_join.all_pairs(shared)
+    counts = [pairs.count(), ngram_join.filtered(pairs, kept, 1).count(), ngram_join.filtered(pairs, kept).count(), ngram_join.verified(pairs, kept).count()]
+    assert counts[0] > counts[1] > counts[2] >= counts[3] > 0
 
 
 # -- mixture -----------------------------------------------------------------------
@@ -212,6 +244,16 @@ PAGES = [
     ("<table><tr><td><table><tr><td>in<td>ner</table><td>out<tr><td>q</table>after", "in  ner  out\nq\n\nafter"),
     ("<div>" * 20_000 + "deep", "deep"),
     ("<p title='a > b'>x", "x"),
+    ("<p title=it's>x</p><p alt=a\"b>y", "x\n\ny"),
+    ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>d", "b\nd"),
+    ("<dialog>no</dialog><dialog open>yes</dialog><details><summary>s</summary>no</details><details open>t</details>", "yes\ns\nt"),
+    ("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>", "漢kan"),
+    ("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>b<td>d</table>", "wide  c\na  b  d"),
+    ("<table><tr><td rowspan=2>r<td>1<tr><td>2<tr><td>long<td>3</table>", "r     1\n      2\nlong  3"),
+    ("<table><tr><td colspan=3>a title that is long<tr><td>a<td>b<td>c</table>", "a title that is long\na  b  c"),
+    ("1 < 2 <- x <3 </ y", "1 < 2 <- x <3 </ y"),
+    ("a<!-- x <b> -->b<!doctype x>c<? y ?>d<!-->e", "abcde"),
+    ("x<b title='open", "x"),
     ("", ""),
     (None, ""),
 ]
@@ -255,3 +297,69 @@ def test_all_words_of_plain_pages_stay(prose):
         tags = ["p", "li", "td", "div", "blockquote", "h2"]
         html = "<body>" + "".join(f"<{t}>{b}</{t}>" for t, b in zip(tags, blocks))
         assert [w for w in html_text.render(html).split() if w != "-"] == " ".join(blocks).split(), json.dumps(html)
+
+
+@pytest.mark.parametrize("part", ["<a", "<a ", "<a x='", '<a b="c', "<p><table>", "<table><td>", "<td colspan=1000>", "<li>", "<b>", "</p>", "<!--", "<!", "<", "</", "<script>", "<td rowspan=9>", "&amp", "<svg>", "<details>", "<tr><td>"])
+def test_time_is_linear(part):
+    began = time.process_time()
+    html_text.render(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 20
+    began = time.process_time()
+    html_text.render("<p><table><tr><td>" + "<b>" * 100_000 + "<div>" * 100_000)
+    assert time.process_time() - began < 20
+
+
+def page(r: random.Random, depth: int) -> tuple[str, list]:
+    """Markup, with end tags that may be missing, and what it shows: ("gap", n) and (indent, mark, word)."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 8)))
+    html, shown = [], []
+    for _ in range(r.randint(1, 4)):
+        kind = r.choice(["text", "inline", "gone", "p"] if depth == 0 else ["text", "div", "p", "list", "gone", "inline"])
+        if kind in ("text", "inline", "p"):
+            words = [word() for _ in range(r.randint(1, 5))]
+            gap = [("gap", 2)] if kind == "p" else []
+            html.append(r.choice([" ", "\n "]).join(words) if kind == "text" else " ".join(f"<b>{w}</b>" for w in words) if kind == "inline" else f"<p>{' '.join(words)}" + r.choice(["</p>", "", "</p>"]))
+            shown += [*gap, *[("", "", w) for w in words], *gap]
+            if kind == "p" and not html[-1].endswith("</p>"):
+                html.append("<div></div>")
+        elif kind == "gone":
+            inner, _ = page(r, 0)
+            html.append(r.choice(["<div hidden>{}</div>", "<span style='display:none'>{}</span>", "<template>{}</template>", "<!-- {} -->", "<div style='color:red;display:none!important'>{}</div>"]).format(" ".join(re.findall("[a-h]+", inner))))
+        elif kind == "div":
+            inner, own = page(r, depth - 1)
+            html.append(f"<div>{inner}</div>")
+            shown += [("gap", 1), *own, ("gap", 1)]
+        else:
+            ordered, items = r.random() < 0.5, []
+            rows = [[word() for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 4))]
+            for k, words in enumerate(rows):
+                mark = f"{k + 1}. " if ordered else "- "
+                items += [("gap", 1), *[(" " * len(mark), mark if j == 0 else "", w) for j, w in enumerate(words)], ("gap", 1)]
+            tag = "ol" if ordered else "ul"
+            html.append(f"<{tag}>" + "".join(f"<li>{' '.join(words)}" + r.choice(["", "</li>"]) for words in rows) + f"</{tag}>")
+            shown += [("gap", 2), *items, ("gap", 2)]
+        html.append(" ")
+    return "".join(html), shown
+
+
+def laid_out(shown: list) -> str:
+    lines, gap = [], 1
+    for item in shown:
+        if item[0] == "gap":
+            gap = max(gap, item[1])
+            continue
+        indent, mark, word = item
+        if gap:
+            if gap > 1 and lines:
+                lines.append("")
+            lines.append((mark or indent) + word)
+        else:
+            lines[-1] += " " + word
+        gap = 0
+    return "\n".join(lines)
+
+
+def test_generated_pages():
+    for seed in range(400):
+        html, shown = page(random.Random(seed), 3)
+        assert html_text.render(html) == laid_out(shown), html

@@ -9,12 +9,8 @@ from waymark.llm import topk_search as M
 
 def brute(rows):
     ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    queries = {}
-    for i, v in ok:
-        if i % 50 == 0:
-            queries[i] = max(queries.get(i, v), v)
     out = []
-    for q, v in queries.items():
+    for q, v in {(i, tuple(v)) for i, v in ok if i % 50 == 0}:
         found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))[:5]
         out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found)]
     return sorted(out)
@@ -37,6 +33,14 @@ def test_odd_rows(spark, folder):
     assert run(spark, folder(extra=True, embeddings=rows)) == brute(rows)
 
 
+def test_repeated_ids(spark, folder, monkeypatch):
+    monkeypatch.setattr(M, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(M, "VECTOR_BLOCK", 16)
+    r = random.Random(5)
+    rows = [(i % 130, [r.gauss(0, 1 + i % 5) for _ in range(6)], 0) for i in range(400)]
+    assert run(spark, folder(embeddings=rows + rows[:60])) == brute(rows + rows[:60])
+
+
 def test_empty(spark, folder):
     assert run(spark, folder(embeddings=[])) == []
     assert run(spark, folder(embeddings=[(1, [1.0], 0)])) == []

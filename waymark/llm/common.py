@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, in every operator that counts or shingles words: ASCII white space separates.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of texts that a function works on at once, at most.
+TEXTS_AT_ONCE = 1000
+#: Into how many parts the rows of one key are dealt where one key may hold a large share of all rows.
+SALTS = 16
+
+_written: list[str] = []
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,15 +27,19 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder that the cluster names.
 
-    Where ``spark.checkpoint.dir`` is unset, as in tests, a temporary folder
-    of this machine becomes the checkpoint folder.
+    Where ``spark.checkpoint.dir`` is unset, a local session, whose only
+    machine this is, takes a temporary folder; a cluster has to name one.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if base is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="waymark-"))
         base = sc.getCheckpointDir()
-    return f"{base}/{uuid.uuid4().hex}"
+    _written.append(f"{base}/{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -39,13 +52,29 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of texts that Spark hands to Python at once, at most.
-TEXTS_PER_BATCH = 1000
+def mark() -> int:
+    """A place in the list of folders written so far, for :func:`discard`."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the folders written since a mark, but for the last ``keep``; only for tables that no open plan reads."""
+    gone = _written[since : len(_written) - keep]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _written[since : since + len(gone)]
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``TEXTS_AT_ONCE`` rows at most; Spark bounds the bytes of those it sends."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
 
 
-def for_python(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches kept small enough for rows that are whole texts."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= TEXTS_PER_BATCH:
-        conf.set(key, str(TEXTS_PER_BATCH))
-    return df
+def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` left-joined with ``found``, one row a ``key``; rows of one key are dealt by ``spread`` into ``SALTS`` parts."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return left.join(found.withColumn("salt", parts), [key, "salt"], "left").drop("salt")

@@ -2,32 +2,37 @@
 
 A tree builder reads tags and adds those that HTML implies; a renderer keeps
 all visible text: blocks stand apart, list items carry marks, table cells are
-aligned in columns, preformatted text keeps its spaces.
+aligned in columns, over which wider cells reach, preformatted text keeps its
+spaces.  Not visible is what the hidden attribute or an own style takes out,
+and what browsers do not show by themselves: scripts, heads, closed dialogs,
+the body of closed details, and the like.
 
 Cases: null html counts as empty and gives empty text; broken markup is never
-an error (stray end tags are passed over, open elements end with the page);
-nesting of any depth is walked without recursion; very long pages are rendered
-whole; repeated rows give equal texts; other columns are untouched, a column
-named as the output is replaced.
+an error (stray end tags are passed over, open elements end with the page, a
+tag that the page's end cuts off is dropped); nesting of any depth is walked
+without recursion; very long pages are rendered whole, in linear time whatever
+their markup; repeated rows give equal texts; an empty table gives an empty
+result; other columns are untouched, a column named as the output is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import for_python, load
+from .common import load
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base object audio video canvas datalist".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base object audio video canvas datalist rp".split())
 #: Within a drawing or a formula: elements whose text is not shown.
 UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 #: What may stand in a head; all else ends it.
@@ -39,10 +44,11 @@ ENDS_P = BLOCK - frozenset("body html legend option optgroup".split())
 LISTS = frozenset("ul ol menu dir".split())
 PARTS = frozenset("thead tbody tfoot".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-#: Only attributes with this in them are worth parsing for visibility.
-_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_BETWEEN = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _NUMBER = re.compile(r"\s*([+-]?\d+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: For a start tag: the elements it ends, and those beyond which it does not look.
@@ -62,109 +68,145 @@ _ENDS = {
 }
 _P_SCOPE = frozenset("table td th caption button object".split())
 _CELL_SCOPE = frozenset(["table", "td", "th", "caption"])
+_NOTHING: frozenset[str] = frozenset()
+#: Cells of more characters do not widen their column.
+MOST_WIDTH = 200
 
 
-def attributes_of(raw: str) -> dict[str, str]:
-    """Names in lower case and values of a tag's attributes; of repeated names the first counts."""
+def tag_at(html: str, at: int) -> tuple[dict[str, str], bool, int] | None:
+    """(attributes, whether the tag closes itself, where it ends), from after its name on; None if the page ends first.
+
+    Of repeated attributes the first counts.
+    """
     found: dict[str, str] = {}
-    for name, double, single, bare in _ATTRIBUTE.findall(raw):
-        found.setdefault(name.lower(), unescape(double or single or bare))
-    return found
+    while at < len(html):
+        slash, at = at, _BETWEEN.match(html, at).end()
+        if at == len(html):
+            return None
+        if html[at] == ">":
+            return found, html[at - 1] == "/" and at > slash, at + 1
+        key = _KEY.match(html, at)
+        at, value = key.end(), ""
+        if equals := _EQUALS.match(html, at):
+            at = equals.end()
+            if html[at : at + 1] in ("'", '"') and at < len(html):
+                end = html.find(html[at], at + 1)
+                if end < 0:
+                    return None
+                value, at = html[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(html, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(key[0].lower(), unescape(value) if "&" in value else value)
+    return None
 
 
-def hides(raw: str) -> bool:
-    """Whether the hidden attribute or the style of a tag hides its element; a stated display outweighs the attribute."""
-    if not raw or not _MAY_HIDE.search(raw):
-        return False
-    attributes = attributes_of(raw)
+def style_of(attributes: dict[str, str]) -> tuple[bool, bool | None]:
+    """Whether the element is taken out, by attribute or style; whether it is visible, None as its parent.
+
+    A stated display outweighs the hidden attribute.
+    """
     style: dict[str, tuple[bool, str]] = {}
-    for part in attributes.get("style", "").split(";"):
+    for part in attributes["style"].split(";") if "style" in attributes else ():
         name, _, value = part.partition(":")
         value, important, _ = value.strip().lower().partition("!")
         name = name.strip().lower()
         if value and (important or not style.get(name, (False, ""))[0]):
             style[name] = important != "", value.strip()
     display = style.get("display", (False, "none" if "hidden" in attributes else ""))[1]
-    return display == "none" or style.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+    visibility = style.get("visibility", (False, ""))[1]
+    return display == "none", {"hidden": False, "collapse": False, "visible": True}.get(visibility)
 
 
-def events(html: str) -> Iterator[tuple[str, str, str]]:
-    """("open", tag, attributes), ("text", text, "") and ("close", tag, ""), well nested."""
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str], bool]]:
+    """("text", text), ("start", tag, attributes, closes itself) and ("end", tag); each character is looked at a few times at most."""
+    at = 0
+    while at < len(html):
+        less = html.find("<", at)
+        while less >= 0 and not (html[less + 1 : less + 2] in ("!", "?") and less + 1 < len(html) or _NAME.match(html, less + 2 if html.startswith("/", less + 1) else less + 1)):
+            less = html.find("<", less + 1)
+        if less != at:
+            yield "text", unescape(html[at:less] if less >= 0 else html[at:]), {}, False
+        if less < 0:
+            return
+        if html[less + 1] in "!?":
+            end = html.find("-->", less + 2) + 2 if html.startswith("<!--", less) else html.find(">", less)
+            if end < 2:
+                return
+            at = end + 1
+            continue
+        ends = html[less + 1] == "/"
+        name = _NAME.match(html, less + 1 + ends)
+        rest = tag_at(html, name.end())
+        if rest is None:
+            return
+        tag, (attributes, closed, at) = name[0].lower(), rest
+        yield "end" if ends else "start", tag, attributes, closed
+        if not ends and tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            body = html[at : end.start()] if end else html[at:]
+            yield "text", unescape(body) if tag in ("title", "textarea") else body, {}, False
+            yield "end", tag, {}, False
+            at = end.end() if end else len(html)
+
+
+def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """("open", tag, attributes), ("text", text, {}) and ("close", tag, {}), well nested."""
     stack: list[str] = []
-    open_: Counter[str] = Counter()  # so that nothing is looked for in a deep stack in vain
+    depths: dict[str, list[int]] = {}  # of each tag: where in the stack it stands
+
+    def deepest(tags: frozenset[str]) -> int:
+        return max((depths[tag][-1] for tag in tags if depths.get(tag)), default=-1)
 
     def within(ended: frozenset[str], bound: frozenset[str]) -> int:
-        """How many open elements to close, so that the outermost of ``ended`` is; 0 if there is none."""
-        found = 0
-        if not any(open_[tag] for tag in ended):
-            return 0
-        for k, tag in enumerate(reversed(stack)):
-            if tag in ended:
-                found = k + 1
-            elif tag in bound:
-                break
-        return found
-
-    def close(n: int) -> Iterator[tuple[str, str, str]]:
+        """How many open elements to close, so that the outermost of ``ended`` above all of ``bound`` is; 0 if there is none."""
+        low = deepest(bound)
+        found = [own[bisect_right(own, low)] for tag in ended if (own := depths.get(tag)) and own[-1] > low]
+        return len(stack) - min(found) if found else 0
+
+    def close(n: int) -> Iterator[tuple[str, str, dict[str, str]]]:
         for _ in range(n):
-            open_[stack[-1]] -= 1
-            yield "close", stack.pop(), ""
+            depths[stack[-1]].pop()
+            yield "close", stack.pop(), {}
 
     def push(tag: str) -> None:
-        open_[tag] += 1
+        depths.setdefault(tag, []).append(len(stack))
         stack.append(tag)
 
-    at = 0
-    while at < len(html):
-        found = _TAG.search(html, at)
-        text = html[at : found.start()] if found else html[at:]
-        if text:
-            if stack and stack[-1] == "head" and not text.isspace():
-                yield from close(within(frozenset(["head"]), frozenset()))
-            yield "text", unescape(text), ""
-        if not found:
-            break
-        at = found.end()
-        if found[2] is None:
-            continue
-        tag = found[2].lower()
-        if found[1]:
-            if open_[tag]:
-                yield from close(within(frozenset([tag]), frozenset() if tag in _CELL_SCOPE or tag in PARTS or tag in ("tr", "body", "html") else _CELL_SCOPE) and _upto(stack, tag))
+    for kind, tag, attributes, closed in tokens(html):
+        if kind == "text":
+            if stack and stack[-1] == "head" and not tag.isspace():
+                yield from close(1)
+            yield "text", tag, {}
+        elif kind == "end":
+            if depths.get(tag):
+                bound = _NOTHING if tag in _CELL_SCOPE or tag in PARTS or tag in ("tr", "body", "html") else _CELL_SCOPE
+                if depths[tag][-1] > deepest(bound):
+                    yield from close(len(stack) - depths[tag][-1])
             elif tag == "p":
-                yield "open", "p", ""
-                yield "close", "p", ""
+                yield "open", "p", {}
+                yield "close", "p", {}
             elif tag == "br":
-                yield "open", "br", ""
-                yield "close", "br", ""
-            continue
-        if tag in ENDS_P:
-            yield from close(within(frozenset(["p"]), _P_SCOPE))
-        if tag in _ENDS:
-            yield from close(within(*_ENDS[tag]))
-        if tag in ("td", "th") and within(frozenset(["tr"]), frozenset(["table"])) == 0 and open_["table"]:
-            push("tr")
-            yield "open", "tr", ""
-        if open_["head"] and (tag in BLOCK and tag not in ("html", "body") or stack[-1] == "head" and tag not in IN_HEAD):
-            yield from close(within(frozenset(["head"]), frozenset()))
-        yield "open", tag, found[3]
-        if tag in VOID or found[3].endswith("/") and (tag in ("path", "rect", "circle") or tag in FOREIGN or any(open_[t] for t in FOREIGN)):
-            yield "close", tag, ""
-        elif tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            body = html[at : end.start()] if end else html[at:]
-            yield "text", unescape(body) if tag in ("title", "textarea") else body, ""
-            yield "close", tag, ""
-            at = end.end() if end else len(html)
+                yield "open", "br", {}
+                yield "close", "br", {}
         else:
-            push(tag)
+            if tag in ENDS_P:
+                yield from close(within(frozenset(["p"]), _P_SCOPE))
+            if tag in _ENDS:
+                yield from close(within(*_ENDS[tag]))
+            if tag in ("td", "th") and depths.get("table") and not within(frozenset(["tr"]), frozenset(["table"])):
+                push("tr")
+                yield "open", "tr", {}
+            if depths.get("head") and (tag in BLOCK and tag not in ("html", "body") or stack[-1] == "head" and tag not in IN_HEAD):
+                yield from close(within(frozenset(["head"]), _NOTHING))
+            yield "open", tag, attributes
+            if tag in VOID or closed and (tag in ("path", "rect", "circle") or tag in FOREIGN or any(depths.get(t) for t in FOREIGN)):
+                yield "close", tag, {}
+            else:
+                push(tag)
     yield from close(len(stack))
 
 
-def _upto(stack: list[str], tag: str) -> int:
-    return next(k + 1 for k, other in enumerate(reversed(stack)) if other == tag)
-
-
 class Sheet:
     """Lines of text; blocks are set apart when the next text comes."""
 
@@ -222,27 +264,49 @@ class Sheet:
         return lines
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells, each some lines, as columns two spaces apart at least."""
-    width: list[int] = []
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns and rows that they reach over) as columns two spaces apart at least."""
+    placed, below = [], []  # below: (first column, end, rows left) of cells that reach into the next row
     for row in rows:
-        for k, cell in enumerate(row):
-            size = max(map(len, cell), default=0)
-            if k < len(width):
-                width[k] = max(width[k], size)
-            else:
-                width.append(size)
+        at, own, taken = 0, [], sorted(below)
+        below = [(a, b, n - 1) for a, b, n in below if n > 1]
+        for lines, columns, height in row:
+            while taken and taken[0][0] < at + columns:
+                at = max(at, taken.pop(0)[1])
+            own.append((at, at + columns, lines))
+            if height > 1:
+                below.append((at, at + columns, height - 1))
+            at += columns
+        placed.append(own)
+    # Columns where no cell begins have no place of their own.
+    starts = sorted({a for own in placed for a, _, _ in own})
+    width = [0] * len(starts)
+    cells = [(bisect_left(starts, a), bisect_left(starts, b), lines) for own in placed for a, b, lines in own]
+    for first, end, lines in sorted(cells, key=lambda c: c[1] - c[0]):
+        size = max((len(x) for x in lines if len(x) <= MOST_WIDTH), default=0)
+        width[end - 1] += max(0, size - sum(width[first:end]) - 2 * (end - first - 1))
+    offset = [0, *accumulate(w + 2 for w in width)]
     out = []
-    for row in rows:
-        for n in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[n] if n < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip(" "))
+    for own in placed:
+        for n in range(max((len(lines) for _, _, lines in own), default=0)):
+            line = ""
+            for a, _, lines in own:
+                if n < len(lines) and lines[n]:
+                    line = (f"{line}  " if line else "").ljust(offset[bisect_left(starts, a)]) + lines[n]
+            out.append(line.rstrip(" "))
     return out
 
 
+def _reach(attributes: dict[str, str], name: str) -> int:
+    found = _NUMBER.match(attributes.get(name, ""))
+    return min(1000, max(1, int(found[1][:9]))) if found else 1
+
+
 def render(html: str | None) -> str:
     """The visible text of a page."""
     sheets, tables, lists = [Sheet()], [], []
-    unseen: list[bool] = []  # of each open element: whether it or one above is unseen
+    # Of each open element: whether it is taken out, whether its text is visible, whether it is closed details.
+    states: list[tuple[bool, bool, bool]] = [(False, True, False)]
     plain, indent = 0, ""
     foreign = 0  # open drawings and formulas
 
@@ -251,23 +315,27 @@ def render(html: str | None) -> str:
         return bool(tables) and len(sheets) == tables[-1]["sheets"]
 
     for kind, tag, attributes in events(html or ""):
-        hidden = bool(unseen) and unseen[-1]
+        gone, visible, closed = states[-1]
         if kind == "text":
-            if not hidden and stray():
+            if gone or closed or not visible:
+                continue
+            if stray():
                 sheets[-1].text(tag, tables[-1]["indent"] + indent, plain > 0 and not tag.isspace())
-            elif not hidden:
+            else:
                 sheets[-1].text(tag, indent, plain > 0)
             continue
         if kind == "open":
-            hidden = hidden or tag in UNSEEN or foreign > 0 and tag in UNDRAWN or hides(attributes)
-            unseen.append(hidden)
-            if hidden:
+            out, own = style_of(attributes) if attributes else (False, None)
+            gone = gone or closed and tag != "summary" or tag in UNSEEN or foreign > 0 and tag in UNDRAWN or out or tag == "dialog" and "open" not in attributes
+            visible = visible if own is None else own
+            states.append((gone, visible, tag == "details" and "open" not in attributes))
+            if gone:
                 continue
             if tag in BLOCK:
                 sheets[-1].block(2 if tag in SPACED and not (tag in LISTS and lists) else 1)
             if tag == "br":
                 sheets[-1].end_line()
-            elif tag == "hr":
+            elif tag == "hr" and visible:
                 sheets[-1].text("---", indent, False)
                 sheets[-1].block(2)
             elif tag == "pre":
@@ -277,28 +345,29 @@ def render(html: str | None) -> str:
             elif tag == "text" and foreign:
                 sheets[-1].block(1)
             elif tag in LISTS:
-                start = _NUMBER.match(attributes_of(attributes).get("start", "")) if attributes else None
+                start = _NUMBER.match(attributes.get("start", ""))
                 lists.append([tag == "ol", int(start[1]) if start else 1, indent])
             elif tag == "li":
                 mark = "- "
                 if lists and lists[-1][0]:
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
-                sheets[-1].mark = mark
+                sheets[-1].mark = mark if visible else ""
                 indent = (lists[-1][2] if lists else "") + " " * len(mark)
             elif tag in ("blockquote", "dd"):
                 indent += "  "
             elif tag == "table":
                 outer = tables[-1]["indent"] + indent if stray() else indent
-                tables.append({"rows": [], "head": [], "lists": lists, "own": indent, "indent": outer, "sheets": len(sheets)})
+                tables.append({"rows": [], "head": [], "lists": lists, "own": indent, "indent": outer, "sheets": len(sheets), "reach": []})
                 lists, indent = [], ""
             elif tag == "tr" and tables:
                 tables[-1]["rows"].append([])
             elif tag in ("td", "th", "caption") and tables:
                 sheets.append(Sheet())
+                tables[-1]["reach"].append((_reach(attributes, "colspan"), _reach(attributes, "rowspan")))
             continue
-        hidden = unseen.pop()
-        if hidden:
+        states.pop()
+        if gone:
             continue
         if tag == "pre":
             plain -= 1
@@ -313,11 +382,11 @@ def render(html: str | None) -> str:
         elif tag in ("blockquote", "dd"):
             indent = indent[:-2]
         elif tag in ("td", "th", "caption") and tables and not stray():
-            lines = sheets.pop().done()
+            lines, reach = sheets.pop().done(), tables[-1]["reach"].pop()
             if tag == "caption":
                 tables[-1]["head"] += lines
             elif tables[-1]["rows"]:
-                tables[-1]["rows"][-1].append(lines)
+                tables[-1]["rows"][-1].append((lines, *reach))
         elif tag == "table":
             table = tables.pop()
             lists, indent = table["lists"], table["own"]
@@ -339,7 +408,7 @@ def with_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame
         for part in parts:
             yield pd.Series([render(x) for x in part], dtype=object)
 
-    return for_python(df).withColumn(out, rendered(F.col(html)))
+    return df.withColumn(out, rendered(F.col(html)))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ rises; the language with the largest proportion is the prediction.
 
 Cases: null text, and text without a letter, is ``und`` with score 0; training
 rows without text or language are passed over; where no row has a language,
-every prediction is ``und``; repeated rows get equal results; very long texts
-are counted into a fixed number of cells first; other columns are untouched.
+every prediction is ``und``, as in an empty table; repeated rows get equal
+results; of languages with equal proportions or likelihoods the first by name
+is predicted; very long texts are counted into a fixed number of cells first;
+other columns are untouched.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import for_python, load
+from .common import in_parts, load
 
 UNKNOWN = "und"
 #: N-grams are three bytes of lower-cased text, hashed to so many cells.
 CELLS = 1 << 16
+#: Languages that a model can tell apart: their tables of half a megabyte each are gathered on the driver and sent to each task.
+MOST_LANGUAGES = 256
 #: Added to each cell's count before likelihoods are taken.
 SMOOTHING = 0.5
 #: A further language must raise the log-likelihood by so much times log(n-grams).
@@ -102,20 +106,23 @@ class LanguageModel:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Counts over every row of ``train``; per language a table of ``CELLS`` counts at most reaches the driver."""
+    """Counts over every row of ``train``; per language a table of ``CELLS`` counts reaches the driver.  More than ``MOST_LANGUAGES`` are refused."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in in_parts(batches):
             for data, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cell, count = cells_of(data)
-                table = tables.setdefault(own, np.zeros(CELLS, np.int64))
-                table[cell] += count
+                if own not in tables:
+                    tables[own] = np.zeros(CELLS, np.int64)
+                tables[own][cell] += count
         for own, table in tables.items():
             cell = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([own] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(table[cell])], ["lang", "cell", "n"])
 
-    rows = for_python(train).select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
+    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
+    if len(rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     sums = rows.mapInArrow(counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     names = sums.column("lang").to_pylist()
     languages = sorted(set(names))
@@ -134,7 +141,7 @@ def with_language(df: DataFrame, model: LanguageModel, text: str = "text", out:
         for part in parts:
             yield pd.DataFrame([shared.value.infer(t) for t in part], columns=["lang_pred", "score", "mixture"])
 
-    return for_python(df).withColumn(out, inferred(F.col(text)))
+    return df.withColumn(out, inferred(F.col(text)))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -2,12 +2,15 @@
 
 A payload is cut where a rolling gear hash of its bytes says so, each chunk is
 compressed and stored once under its digest, and a payload is an ordered list
-of digests.  Reading joins the list to the store and verifies every payload.
+of digests.  Lists and store are written to the shared folder; reading joins
+the lists to the store and verifies every payload.
 
 Cases: null text counts as empty and gives 64 zero bytes; repeated rows share
 one list; a chunk that many payloads hold is stored once, and is sent to each
-distinct payload only; very long texts are cut like any other; an empty table
-gives an empty result.
+distinct payload only, lists that name it dealt into parts; very long texts are
+cut like any other; an empty table gives an empty result; other columns are not
+looked at, and ``keep`` names columns that must not be called n_bytes,
+payload_digest or digests.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import for_python, load, settled
+from .common import in_parts, load, looked_up, settled
 
 #: Payloads are padded to a multiple of this.
 BLOCK = 64
@@ -86,7 +89,7 @@ def recipes(media: DataFrame, payload: str | Column, *keep: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_bytes", "payload_digest", "digests"])
 
     column = F.col(payload) if isinstance(payload, str) else payload
-    return for_python(media).select(*keep, described(F.coalesce(column.cast("binary"), F.lit(b""))).alias("_r")).select(*keep, "_r.*")
+    return media.select(*keep, described(F.coalesce(column.cast("binary"), F.lit(b""))).alias("_r")).select(*keep, "_r.*")
 
 
 def store(media: DataFrame, payload: str | Column) -> DataFrame:
@@ -94,7 +97,7 @@ def store(media: DataFrame, payload: str | Column) -> DataFrame:
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
-        for batch in batches:
+        for batch in in_parts(batches):
             digests, frames, seen = [], [], set()
             for data in batch.column(0).to_pylist():
                 for chunk in chunks(padded(data)):
@@ -106,7 +109,7 @@ def store(media: DataFrame, payload: str | Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(frames, pa.binary())], ["digest", "frame"])
 
     column = F.col(payload) if isinstance(payload, str) else payload
-    found = for_python(media).select(F.coalesce(column.cast("binary"), F.lit(b"")).alias("payload")).mapInArrow(stored, "digest binary, frame binary")
+    found = media.select(F.coalesce(column.cast("binary"), F.lit(b"")).alias("payload")).mapInArrow(stored, "digest binary, frame binary")
     return found.dropDuplicates(["digest"])
 
 
@@ -117,7 +120,7 @@ def read_back(lists: DataFrame, chunk_store: DataFrame) -> DataFrame:
     chunks of longer payloads are sent on.
     """
     parts = lists.select("payload_digest", "digests").dropDuplicates(["payload_digest"]).select("payload_digest", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("pos", "digest"))
-    joined = parts.join(chunk_store, "digest")
+    joined = looked_up(parts, chunk_store, "digest", F.col("payload_digest"))
     single = joined.filter("n_chunks = 1").select("payload_digest", F.array("frame").alias("frames"))
     longer = joined.filter("n_chunks > 1").groupBy("payload_digest").agg(F.sort_array(F.collect_list(F.struct("pos", "frame"))).alias("x"))
     return single.unionByName(longer.select("payload_digest", F.col("x.frame").alias("frames")))
@@ -132,6 +135,8 @@ def with_features(read: DataFrame) -> DataFrame:
         for digests, lists in parts:
             rows = []
             for digest, frames in zip(digests, lists, strict=True):
+                if any(x is None for x in frames):
+                    raise ValueError(f"payload {digest.hex()} has a chunk that is not in the store")
                 data, media = b"".join(map(unpack.decompress, frames)), b"".join(frames)
                 found = hashlib.sha256(data)
                 if found.digest() != digest:
@@ -147,5 +152,19 @@ def with_features(read: DataFrame) -> DataFrame:
 def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     lists = settled(recipes(docs, "text", "doc_id"))
-    features = with_features(read_back(lists, store(docs, "text")))
-    return lists.select("doc_id", "n_bytes", "payload_digest").join(features, "payload_digest").drop("payload_digest")
+    features = with_features(read_back(lists, settled(store(docs, "text"))))
+    return looked_up(lists.select("doc_id", "n_bytes", "payload_digest"), features, "payload_digest", F.col("doc_id")).drop("payload_digest")
+
+
+def op5_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of :func:`op5_media_chunks` that SQL can tell."""
+    return op5_media_chunks(spark, sf_dir).drop("media_bytes", "media_sha256", "feature")
+
+
+OP5_PAYLOADS_SQL = """
+WITH sizes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+padded AS (SELECT doc_id, n, greatest(64, (n + 63) // 64 * 64)::BIGINT AS size, h || repeat('00', (greatest(64, (n + 63) // 64 * 64) - n)::INT) AS h FROM sizes),
+tails AS (SELECT *, list_transform(range(0, 64), lambda i: ('0x' || substr(h, (length(h) - 127 + 2 * i)::INT, 2))::BIGINT) AS tail FROM padded)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+  xor(list_reduce(tail, lambda c, b: list_reduce(list_transform(range(0, 8), lambda k: 0::BIGINT), lambda s, z: xor(s >> 1, 3988292384::BIGINT * (s & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT) AS tail_crc32 FROM tails
+"""

@@ -2,18 +2,22 @@
 
 Candidates come from prefixes.  Under any one order of all shingles, two sets
 that are similar enough share a shingle among the first few of each; so they
-must do so under every one of several orders.  The first order proposes the
-candidates, through a Spark join on shingles; a candidate has to pass the
-other orders too before its whole sets are compared.  All orders put frequent
-shingles last, each breaks ties by a hash of its own.
+must do so under every one of several orders.  Each class of equal sets keeps
+its prefix under each order.  The first order's prefixes meet in a Spark join
+on shingles; the pairs that come of it are met with the narrow prefixes under
+all other orders, and only pairs that share a shingle under each of them are
+joined with texts and verified.  All orders put frequent shingles last, each
+breaks ties by a hash of its own.  Frequencies are counted over all documents:
+a task sends its shingles as sorted, packed cells, and each range of cells is
+counted in one place.
 
 Documents with equal sets form one class, and only classes are compared.  In a
 group of classes that share a shingle, each is first compared with one hub;
-then only those pairs are left to compare that are not connected yet.  No link
-between components is lost, and large groups of near copies stay linear.  Where
-all links are asked for (``linked_classes``, ``link_counts``), all pairs of a
-group are compared, in blocks; in large groups of near copies they grow with
-the square, as the links do.
+then only those pairs are left to compare that are not connected yet, dealt by
+size and block.  No link between components is lost, and large groups of near
+copies stay linear.  Where all links are asked for (``linked_classes``,
+``link_counts``), all pairs of a group are compared, in blocks; in large groups
+of near copies they grow with the square, as the links do.
 
 Shingles and classes are known by 64-bit hashes.
 
@@ -21,12 +25,15 @@ Cases: null, empty and blank texts have no shingle and link with nothing; a
 text with fewer words than a shingle has one, its whole sequence; rows with a
 null id take part, and never name a component unless all its ids are null;
 repeated rows are classes of their own kind and get the same component; long
-texts are compared whole; other columns are not looked at.
+texts are compared whole; of ties for the row that stays, the smallest id and
+then the smallest key of the text wins; an empty table gives an empty result;
+other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,15 +44,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import for_python, load, settled
+from .common import in_parts, load, looked_up, settled
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, LEAST = 5, 80
 #: Shingles known as frequent, at most, and the count from which they are; others are ordered by hash alone.
-FREQUENT, FREQUENT_FROM = 200_000, 16
-#: A task reports shingles that it met at least so often; it holds so many shingles before it counts them.
-SEEN_FROM, COUNTED_AT = 3, 4_000_000
-#: Classes of a group in a block, where all its pairs are compared.
+FREQUENT, FREQUENT_FROM = 500_000, 16
+#: Shingles that a task sorts at once, and about so many that are counted in one place.
+SORTED_AT, COUNTED_AT = 4_000_000, 8_000_000
+#: Classes of a group in a block, where its pairs are compared.
 BLOCK_ROWS = 1_000
 #: Orders that a candidate must pass besides the first.
 FURTHER_ORDERS = 2
@@ -106,20 +113,37 @@ def class_of(found: np.ndarray) -> int:
 class Orders:
     """Several orders of all shingles: by the class of frequency, then by a hash."""
 
-    def __init__(self, frequent: np.ndarray, levels: np.ndarray):
-        at = np.argsort(frequent)
-        self.frequent, self.levels = np.append(frequent[at], np.uint64(0)), np.append(levels[at], 0)
+    def __init__(self, cells: np.ndarray, levels: np.ndarray, bits: int):
+        at = np.argsort(cells)
+        self.cells, self.levels = np.append(cells[at], np.uint64(0)), np.append(levels[at], 0)
+        self.shift = np.uint64(64 - bits)
 
-    def prefix(self, found: np.ndarray, k: int) -> np.ndarray:
-        """The first shingles under order k: enough that similar sets share one."""
-        n = len(found)
-        first = n - -(-LEAST * n // 100) + 1
-        at = np.searchsorted(self.frequent[:-1], found)
-        level = np.where(self.frequent[at] == found, self.levels[at], 0)
-        key = found if k == 0 else mixed(found ^ np.uint64(k * _STEP & 0xFFFFFFFFFFFFFFFF))
-        if not level.any():
-            return found[:first] if k == 0 else found[np.argpartition(key, first - 1)[:first]]
-        return found[np.lexsort((key, level))[:first]]
+    def prefixes(self, found: np.ndarray) -> list[np.ndarray]:
+        """Under each order the first shingles: so many that similar sets share one."""
+        first = len(found) - -(-LEAST * len(found) // 100) + 1
+        cell = found >> self.shift
+        at = np.searchsorted(self.cells[:-1], cell)
+        level = np.where(self.cells[at] == cell, self.levels[at], 0)
+        out = []
+        for k in range(FURTHER_ORDERS + 1):
+            key = found if k == 0 else mixed(found ^ np.uint64(k * _STEP & 0xFFFFFFFFFFFFFFFF))
+            if level.any():
+                out.append(found[np.lexsort((key, level))[:first]])
+            else:
+                out.append(found[:first] if k == 0 else found[np.argpartition(key, first - 1)[:first]])
+        return out
+
+
+def packed_cells(cells: np.ndarray) -> bytes:
+    """Sorted cells as compressed gaps."""
+    gaps = np.diff(cells, prepend=np.uint64(0))
+    kind = np.uint16 if gaps[1:].max(initial=0) < 1 << 16 else np.uint32 if gaps[1:].max(initial=0) < 1 << 32 else np.uint64
+    return cells[:1].tobytes() + bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(gaps[1:].astype(kind).tobytes())
+
+
+def unpacked_cells(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[9:]), f"u{data[8]}").astype(np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], np.uint64), gaps]), dtype=np.uint64)
 
 
 def text_key() -> Column:
@@ -129,22 +153,23 @@ def text_key() -> Column:
 
 def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
     """(doc_id, text_key, class, n) of each row, class null without shingles; and orders from counts over all rows."""
+    # Words have about six characters; more ranges and wider cells for more of them.
+    about = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 6)
+    ranges = max(32, 1 << math.ceil(math.log2(about / COUNTED_AT))) if about > COUNTED_AT else 32
+    bits = min(56, max(32, about.bit_length() + 6))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_key", "class", "n", "token", "met"]
-        held, size, known = [], 0, (np.empty(0, np.uint64), np.empty(0, np.int64))
-
-        def counted(known):
-            every = np.concatenate(held) if held else np.empty(0, np.uint64)
-            token, met = np.unique(every, return_counts=True)
-            token, place = np.unique(np.concatenate([known[0], token[met > 1]]), return_inverse=True)
-            met = np.bincount(place, np.concatenate([known[1], met[met > 1]]), len(token)).astype(np.int64)
-            if len(token) > FREQUENT:
-                keep = np.argpartition(-met, FREQUENT)[:FREQUENT]
-                token, met = token[keep], met[keep]
-            return token, met
+        names = ["doc_id", "text_key", "class", "n", "range", "cells"]
+        held, size = [], 0
 
-        for batch in batches:
+        def sent() -> pa.RecordBatch:
+            cells = np.sort(np.concatenate(held)) >> np.uint64(64 - bits)
+            edges = np.searchsorted(cells, np.arange(1, ranges, dtype=np.uint64) << np.uint64(bits - ranges.bit_length() + 1))
+            parts = [(k, packed_cells(part)) for k, part in enumerate(np.split(cells, edges)) if len(part)]
+            none = pa.nulls(len(parts), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k for k, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names)
+
+        for batch in in_parts(batches):
             classes, counts = [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
@@ -152,155 +177,170 @@ def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
                 classes.append(class_of(found) if len(found) else None)
                 held.append(found)
                 size += len(found)
-                if size > COUNTED_AT:
-                    known, held, size = counted(known), [], 0
-            none = pa.nulls(len(counts), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(counts, pa.int64()), none, none], names)
-        token, met = counted(known)
-        token, met = token[met >= SEEN_FROM], met[met >= SEEN_FROM]
-        none = pa.nulls(len(token), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(met)], names)
-
-    rows = settled(docs.select(F.col("doc_id").cast("long"), "text", text_key()).mapInArrow(read, "doc_id long, text_key long, class long, n long, token long, met long"))
-    often = rows.filter("token is not null").groupBy("token").agg(F.sum("met").alias("met")).filter(F.col("met") >= FREQUENT_FROM)
-    top = often.orderBy(F.desc("met"), "token").limit(FREQUENT).toArrow()
+                if size > SORTED_AT:
+                    yield sent()
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(len(counts), pa.int64()), pa.nulls(len(counts), pa.binary())], names)
+        if size:
+            yield sent()
+
+    def often(part: pa.Table) -> pa.Table:
+        cells = np.sort(np.concatenate([unpacked_cells(x) for x in part.column("cells").to_pylist()]))
+        begin = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+        met = np.diff(np.append(begin, len(cells)))
+        keep = met >= FREQUENT_FROM
+        return pa.table({"cell": pa.array(cells[begin[keep]].view(np.int64)), "met": pa.array(met[keep].astype(np.int64))})
+
+    rows = settled(docs.select(F.col("doc_id").cast("long"), "text", text_key()).mapInArrow(read, "doc_id long, text_key long, class long, n long, range long, cells binary"))
+    counts = rows.filter("cells is not null").select("range", "cells").groupBy("range").applyInArrow(often, "cell long, met long")
+    top = counts.orderBy(F.desc("met"), "cell").limit(FREQUENT).toArrow()
     levels = np.log2(np.maximum(top.column("met").to_numpy(), 1)).astype(np.int64) if len(top) else np.empty(0, np.int64)
-    return rows.filter("n is not null").select("doc_id", "text_key", "class", "n"), Orders(top.column("token").to_numpy().astype(np.int64).view(np.uint64), levels)
+    return rows.filter("n is not null").select("doc_id", "text_key", "class", "n"), Orders(top.column("cell").to_numpy().astype(np.int64).view(np.uint64), levels, bits)
 
 
-def groups(docs: DataFrame, orders: Orders) -> DataFrame:
-    """(token, class, n, pos) of prefix shingles under the first order that two classes share at least."""
+def shapes(docs: DataFrame, orders: Orders) -> DataFrame:
+    """(class, n, first, further, packed): each class once a task, with its prefix under the first order, those under the others as 32-bit hashes, and its compressed text."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            tokens, classes, sizes = [], [], []
+        press = zstandard.ZstdCompressor(level=3)
+        lists = lambda arrays, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays).astype(kind)))
+        for batch in in_parts(batches):
+            classes, sizes, texts, first, further = [], [], [], [], [[] for _ in range(FURTHER_ORDERS)]
             for text in batch.column(0).to_pylist():
                 found = shingles(text)
-                if len(found) and (own := class_of(found)) not in seen:
-                    seen.add(own)
-                    first = shared.value.prefix(found, 0)
-                    tokens.append(first)
-                    classes.append(np.full(len(first), own, np.int64))
-                    sizes.append(len(found) << 32 | np.arange(len(first)))
-            if tokens:
-                arrays = [np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "class", "n_pos"])
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by token and class; those whose token only one class has are left out."""
-        last, pending = None, None  # the row before this batch; the same if it is not yet known to be shared
+                if not len(found) or (own := class_of(found)) in seen:
+                    continue
+                seen.add(own)
+                classes.append(own)
+                sizes.append(len(found))
+                texts.append(press.compress(text.encode("utf-8", "replace")))
+                start, *more = shared.value.prefixes(found)
+                first.append(start.view(np.int64))
+                for k, tokens in enumerate(more):
+                    further[k].append((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            if classes:
+                values = [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), lists(first, np.int64), *[lists(x, np.int32) for x in further], pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(values, ["class", "n", "first", *[f"further_{k}" for k in range(FURTHER_ORDERS)], "packed"])
+
+    more = "".join(f"further_{k} array<int>, " for k in range(FURTHER_ORDERS))
+    return docs.select("text").mapInArrow(read, f"class long, n long, first array<long>, {more}packed binary")
+
+
+def groups(kept: DataFrame) -> DataFrame:
+    """(token, class, n, pos, hub, hub_n, hub_pos): the classes that share a shingle of their first prefixes, each with the group's hub.
+
+    The hub is the class that has the shingle first; it has no row of its own.
+    """
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by token, place and class; only the group at hand is remembered."""
+        token, hub, hub_place, last = None, 0, 0, 0
         for batch in batches:
-            rows = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
-            if last is not None:
-                rows = np.concatenate([last[None], rows])
-            fresh = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))
-            rows = rows[fresh]
-            same = rows[1:, 0] == rows[:-1, 0]
-            keep = np.append(same, False) | np.append(False, same)
-            if last is not None:
-                keep[0] = keep[0] and pending
-            ended = rows[keep]
-            if len(rows) > 1:
-                pending = not same[-1]
-            elif last is None:
-                pending = True
-            last = rows[-1]
-            if len(ended):
-                yield pa.RecordBatch.from_arrays([pa.array(ended[:, k]) for k in range(3)], ["token", "class", "n_pos"])
-
-    schema = "token long, class long, n_pos long"
-    proposed = docs.select("text").mapInArrow(prefixes, schema)
-    placed = proposed.repartition("token").sortWithinPartitions("token", "class").mapInArrow(several, schema)
-    return placed.select("token", "class", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
-
-
-def _may_link(a: str, b: str):
+            tokens, places, classes = (batch.column(k).to_numpy() for k in range(3))
+            if not len(tokens):
+                continue
+            fresh = np.append(token is None or tokens[0] != token, tokens[1:] != tokens[:-1])
+            again = ~fresh & (classes == np.append(last, classes[:-1]))
+            own = np.maximum.accumulate(np.where(fresh, np.arange(len(tokens)), -1))
+            hubs, hub_places = np.where(own < 0, hub, classes[own]), np.where(own < 0, hub_place, places[own])
+            keep = ~fresh & ~again
+            token, hub, hub_place, last = tokens[-1], hubs[-1], hub_places[-1], classes[-1]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tokens, places, classes, hubs, hub_places)], ["token", "place", "class", "hub", "hub_place"])
+
+    rows = kept.select("class", "n", F.posexplode("first").alias("pos", "token"))
+    rows = rows.select("token", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")).alias("place"), "class")
+    met = rows.repartition("token").sortWithinPartitions("token", "place", "class").mapInArrow(grouped, "token long, place long, class long, hub long, hub_place long")
+    size, pos = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftright(c, 32)
+    return met.select("token", "class", size("place").alias("n"), pos("place").alias("pos"), "hub", size("hub_place").alias("hub_n"), pos("hub_place").alias("hub_pos"))
+
+
+def _may_link(n: str, pos: str, m: str, other_pos: str) -> Column:
     """Sizes, and places of a shared shingle, that leave room for the least similarity."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    left = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    n, m, left = F.col(n), F.col(m), F.least(F.col(n) - F.col(pos), F.col(m) - F.col(other_pos))
     return (n * 100 >= m * LEAST) & (m * 100 >= n * LEAST) & (left * (100 + LEAST) >= (n + m) * LEAST)
 
 
 def hub_pairs(shared: DataFrame) -> DataFrame:
-    """(one, other): each class of a group with the class that has the shared shingle first."""
-    hubs = shared.groupBy("token").agg(F.min(F.struct("pos", "class", "n")).alias("h")).select("token", "h.*")
-    met = shared.alias("a").join(hubs.alias("b"), "token").filter((F.col("a.class") != F.col("b.class")) & _may_link("a", "b"))
-    return met.select(F.col("b.class").alias("one"), F.col("a.class").alias("other")).distinct()
+    """(one, other): each class of a group with its hub."""
+    return shared.filter(_may_link("n", "pos", "hub_n", "hub_pos")).select(F.col("hub").alias("one"), F.col("class").alias("other")).distinct()
+
+
+def _blocked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Joins ``a`` and ``b`` (token, class, n, pos, label) by token, a quarter of size, and block of ``a``; sizes that may link lie in the same quarter or the next."""
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / LEAST))).cast("int")
+    blocks = a.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    left = a.join(blocks, "token").withColumns({"band": band, "block": F.pmod(F.xxhash64("class"), "blocks").cast("int")}).drop("blocks")
+    right = b.join(blocks, "token").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return left.alias("a").join(right.alias("b"), ["token", "band", "block"]).filter(_may_link("a.n", "a.pos", "b.n", "b.pos"))
 
 
 def cross_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(one, other): the pairs of a group that are not connected yet.
 
-    Members of a group's largest component meet only the members outside it.
+    Classes outside the component of their group's hub meet all others of the
+    group that are not in theirs; those within it need not meet each other.
     """
-    own = shared.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    counts = own.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels"))
-    open_ = own.join(counts.filter("labels > 1"), "token").withColumn("minor", F.col("label") != F.col("main"))
-    a, b = open_.filter("minor").alias("a"), open_.alias("b")
+    own = looked_up(shared.select("token", "class", "n", "pos", "hub"), labels, "class", F.col("token")).withColumn("label", F.coalesce("label", "class"))
+    hubs = labels.select(F.col("class").alias("hub"), F.col("label").alias("hub_label"))
+    own = looked_up(own, hubs, "hub", F.col("class")).withColumn("minor", F.col("label") != F.coalesce("hub_label", "hub")).drop("hub", "hub_label")
+    own = settled(own)
+    minors = own.filter("minor").drop("minor")
+    everyone = own.join(minors.select("token").distinct(), "token", "left_semi")
     once = ~F.col("b.minor") | (F.col("a.class") < F.col("b.class"))
-    met = a.join(b, "token").filter((F.col("a.label") != F.col("b.label")) & once & _may_link("a", "b"))
+    met = _blocked(minors, everyone).filter((F.col("a.label") != F.col("b.label")) & once)
     return met.select(F.col("b.class").alias("one"), F.col("a.class").alias("other")).distinct()
 
 
 def all_pairs(shared: DataFrame) -> DataFrame:
-    """(one, other): all pairs of a group, once each; groups are dealt by token and two blocks."""
-    blocks = shared.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = shared.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = dealt.select("token", "class", "n", "pos", F.col("own").alias("i"), every.alias("j")).alias("a")
-    b = dealt.select("token", "class", "n", "pos", F.col("own").alias("j"), every.alias("i")).alias("b")
-    met = a.join(b, ["token", "i", "j"]).filter((F.col("a.class") < F.col("b.class")) & _may_link("a", "b"))
+    """(one, other): all pairs of a group, once each."""
+    hubs = shared.select("token", F.col("hub").alias("class"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")).distinct()
+    every = shared.select("token", "class", "n", "pos").unionByName(hubs)
+    met = _blocked(every, every.toDF(*every.columns)).filter(F.col("a.class") < F.col("b.class"))
     return met.select(F.col("a.class").alias("one"), F.col("b.class").alias("other")).distinct()
 
 
-def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(class, packed): the compressed text of one row of each class, from rows whose id is in ``ids``."""
-
-    @F.pandas_udf("binary")
-    def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        press = zstandard.ZstdCompressor(level=3)
-        for part in parts:
-            yield pd.Series([press.compress((t or "").encode("utf-8", "replace")) for t in part], dtype=object)
+def _both(pairs: DataFrame, kept: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with ``columns`` of the shapes of both; a class's shape is sent where its pairs are, and only if it has any."""
+    wanted = pairs.select(F.explode(F.array("one", "other")).alias("class")).distinct()
+    own = kept.select("class", *columns).join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    for side in ("other", "one"):
+        pairs = pairs.join(own.select(F.col("class").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+    return pairs
 
-    @F.pandas_udf("long")
-    def classes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        unpack = zstandard.ZstdDecompressor()
-        for part in parts:
-            yield pd.Series([class_of(shingles(unpack.decompress(t).decode())) for t in part], dtype="int64")
 
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), packed("text").alias("packed"))
-    small = small.join(ids, small["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-    return small.select(classes("packed").alias("class"), "packed").dropDuplicates(["class"])
+def filtered(pairs: DataFrame, kept: DataFrame, orders: int = FURTHER_ORDERS) -> DataFrame:
+    """The pairs that share a shingle among the first ones under each of so many further orders as well."""
+    names = [f"further_{k}" for k in range(orders)]
+    met = _both(pairs, kept, *names)
+    for name in names:
+        met = met.filter(F.arrays_overlap(f"one_{name}", f"other_{name}"))
+    return met.select("one", "other")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, orders: Orders) -> DataFrame:
+def verified(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     """The pairs that pass every order, and whose whole sets are similar enough."""
-    shared = pairs.sparkSession.sparkContext.broadcast(orders)
 
     @F.pandas_udf("boolean")
     def similar(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         unpack = zstandard.ZstdDecompressor()
 
         @lru_cache(16)
-        def sets(packed: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-            found = shingles(unpack.decompress(packed).decode())
-            return found, [shared.value.prefix(found, k) for k in range(1, FURTHER_ORDERS + 1)]
+        def whole(packed: bytes) -> np.ndarray:
+            return shingles(unpack.decompress(packed).decode())
 
         def linked(a: bytes, b: bytes) -> bool:
-            (one, firsts), (other, seconds) = sets(a), sets(b)
-            if not all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(firsts, seconds, strict=True)):
-                return False
+            one, other = whole(a), whole(b)
             both = len(np.intersect1d(one, other, assume_unique=True))
             return 100 * both >= LEAST * (len(one) + len(other) - both)
 
         for a, b in parts:
             yield pd.Series([linked(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    one = texts.select(F.col("class").alias("one"), F.col("packed").alias("a"))
-    other = texts.select(F.col("class").alias("other"), F.col("packed").alias("b"))
-    return pairs.join(other, "other").join(one, "one").filter(similar("a", "b")).select("one", "other")
+    left = settled(filtered(pairs, kept))
+    return _both(left, kept, "packed").filter(similar("one_packed", "other_packed")).select("one", "other")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -322,19 +362,18 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def prepared(docs: DataFrame) -> tuple[DataFrame, Orders, DataFrame, DataFrame]:
-    """Rows with their classes, orders, groups of classes, and the classes' texts."""
-    docs = for_python(docs).select("doc_id", "text")
+def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their classes, the shapes of classes, and groups of classes."""
+    docs = docs.select("doc_id", "text")
     rows, orders = members(docs)
-    shared = settled(groups(docs, orders))
-    ids = rows.join(shared.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    return rows, orders, shared, settled(packed_texts(docs, ids))
+    kept = settled(shapes(docs, orders))
+    return rows, kept, settled(groups(kept))
 
 
-def _all_links(rows: DataFrame, orders: Orders, shared: DataFrame, texts: DataFrame) -> DataFrame:
+def _all_links(rows: DataFrame, kept: DataFrame, shared: DataFrame) -> DataFrame:
     """(one, other, one_rows, other_rows): every two classes that are similar enough, and the rows of each."""
     sizes = rows.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
-    links = verified(all_pairs(shared), texts, orders)
+    links = verified(all_pairs(shared), kept)
     for side in ("one", "other"):
         links = links.join(sizes.select(F.col("class").alias(side), F.col("rows").alias(f"{side}_rows")), side)
     return links.select("one", "other", "one_rows", "other_rows")
@@ -353,7 +392,8 @@ def link_counts(docs: DataFrame) -> DataFrame:
     met = both.groupBy("class").agg(F.sum("met").alias("met"))
     equal = rows.filter("class is not null").groupBy("class").agg((F.count("*") - 1).alias("equal"))
     counts = equal.join(met, "class", "left").select("class", (F.col("equal") + F.coalesce("met", F.lit(0))).alias("links"))
-    return rows.join(counts, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    found = looked_up(rows, counts, "class", F.struct("doc_id", "text_key"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -362,17 +402,18 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     ``stays`` holds for the rows of one (doc_id, text) of each component: that with the smallest id, nulls last,
     then with the smallest key; and for rows without a shingle.
     """
-    rows, orders, shared, texts = prepared(docs)
-    links = settled(verified(hub_pairs(shared), texts, orders))
+    rows, kept, shared = prepared(docs)
+    links = settled(verified(hub_pairs(shared), kept))
     labels = components(links)
-    more = settled(verified(cross_pairs(shared, labels), texts, orders))
+    more = settled(verified(cross_pairs(shared, labels), kept))
     labels = components(links.unionAll(more))
-    placed = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    by_row = F.struct("doc_id", "text_key")
+    placed = looked_up(rows, labels, "class", by_row).withColumn("label", F.coalesce("label", "class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
     lowest = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("lowest"), first)
     stays = F.col("label").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
     named = F.coalesce("lowest", "doc_id").alias("component_id")
-    return placed.join(lowest, "label", "left").select("doc_id", "text_key", "class", F.col("n").alias("n_shingles"), named, stays.alias("stays"))
+    return looked_up(placed, lowest, "label", by_row).select("doc_id", "text_key", "class", F.col("n").alias("n_shingles"), named, stays.alias("stays"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,3 +422,20 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_counts(load(spark, sf_dir, "documents"))
+
+
+_SETS_SQL = r"""words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM words),
+tokens AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS one, b.doc_id AS other FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*)))"""
+OP7_SQL = f"""WITH RECURSIVE {_SETS_SQL},
+reach AS (SELECT doc_id AS start, doc_id AS found FROM sets UNION SELECT start, other FROM reach JOIN links ON found = one)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets s JOIN (SELECT start, min(found) AS component_id FROM reach GROUP BY 1) ON start = s.doc_id
+"""
+OP7_LINKS_SQL = f"""WITH {_SETS_SQL}
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, coalesce(n, 0)::BIGINT AS links FROM sets s LEFT JOIN (SELECT one, count(*) AS n FROM links GROUP BY 1) ON one = s.doc_id
+"""

@@ -8,13 +8,17 @@ document is emitted once for each integer that its stretch of the sum crosses.
 Cases: null or empty text has size 0 and is drawn like any other document; a
 null source is a source of its own, last in order; repeated rows stand side by
 side in the order and each gets its own count; a source without words has
-target 0 and nothing is taken; an empty table gives an empty result.  Other
-columns pass through :func:`mix` untouched, but columns named like those it
-adds are replaced.
+target 0 and nothing is taken; very long texts are counted whole; rows equal in
+id and text are told apart by a hash of all their columns; an empty table gives
+an empty result.  Other columns pass through :func:`mix` untouched, but columns
+named like those it adds (size, source_size, target, copies, and names that
+begin with ``_mix``) are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +30,8 @@ SHARE = 1.5
 #: Target over size of a source, at most; so also copies of a document.
 MOST = 2.0
 SEED = 42
-#: Documents of one source and size class are ordered in 2 to the power of this many cells at most; a multiple of 4.
-CELL_BITS = 8
+#: Documents of one source and size class are ordered in cells of the hash; about so many stand in one, were all rows of one class.
+CELL_ROWS = 20_000
 
 
 def n_words(text: str | Column) -> Column:
@@ -74,37 +78,45 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     The order within a source: size class, then a hash; so every stretch of it
     holds all kinds of documents of about one size.  The sum is built from
-    three levels (size classes, cells of the hash, documents), so no task
-    gathers a source.
+    levels (size classes, cells of the hash, documents), and the cells are the
+    smaller the more rows there are, so no task gathers a source.
     """
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("~")), F.coalesce(F.col(text), F.lit("~"))))
-    keys = {"_class": size_class(F.col("size")), "_cell": F.conv(F.substring("_place", 1, CELL_BITS // 4), 16, 10).cast("int")}
-    rows = docs.withColumns({"size": n_words(text), "_place": place}).withColumns(keys)
-    light = docs.select(F.col(source).alias("source"), n_words(text).alias("size"), place.alias("_place")).withColumns(keys)
-    cells = settled(light.groupBy("source", "_class", "_cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
-    classes = cells.groupBy("source", "_class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    digits = max(2, math.ceil(math.log(max(1, docs.count()) / CELL_ROWS, 16)))  # of the hash that name a cell
+    own = ["size", "source_size", "target", "copies"]
+    kept = [c for c in docs.columns if c not in own and not c.startswith("_mix")]
+    keys = {"_mix_class": size_class(F.col("size")), "_mix_cell": F.substring("_mix_place", 1, digits)}
+    rows = docs.select(*kept, n_words(text).alias("size"), place.alias("_mix_place"), F.xxhash64(*kept).alias("_mix_row")).withColumns(keys)
+    light = docs.select(F.col(source).alias("source"), n_words(text).alias("size"), place.alias("_mix_place")).withColumns(keys)
+    cells = settled(light.groupBy("source", "_mix_class", "_mix_cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    classes = cells.groupBy("source", "_mix_class").agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum("words").alias("words"))
     goals = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = classes.withColumn("class_start", F.coalesce(F.sum("n").over(before("source", "_class")), F.lit(0))).drop("n", "words")
+    starts = classes.withColumn("class_start", F.coalesce(F.sum("n").over(before("source", "_mix_class")), F.lit(0))).drop("n", "words")
     starts = starts.join(goals, starts["source"].eqNullSafe(goals["source"])).select(starts["*"], "source_size", "target")
-    cells = cells.withColumn("cell_start", F.coalesce(F.sum("n").over(before("source", "_class", "_cell")), F.lit(0))).drop("n", "words")
-    cells = cells.alias("c").join(starts.alias("s"), F.expr("c.source <=> s.source and c._class = s._class"))
-    cells = cells.select(F.col("c.source").alias("_source"), F.col("c._class").alias("_class"), F.col("c._cell").alias("_cell"), (F.col("class_start") + F.col("cell_start")).alias("_start"), "source_size", "target")
-    fresh = [c for c in rows.columns if c not in ("source_size", "target", "copies", "_start", "_source", "_nth")]
-    placed = rows.select(*fresh).withColumn("_nth", F.row_number().over(Window.partitionBy(source, "_class", "_cell").orderBy("_place")))
-    p, c = placed.alias("p"), cells.alias("c")
-    same = F.col(f"p.{source}").eqNullSafe(F.col("c._source")) & (F.col("p._class") == F.col("c._class")) & (F.col("p._cell") == F.col("c._cell"))
-    joined = p.join(c, same).select("p.*", "_start", "source_size", "target")
+    # Cells of one class may be many: their running sum is taken by the first digits, then within them.
+    coarse = cells.groupBy("source", "_mix_class", F.substring("_mix_cell", 1, digits // 2).alias("_mix_part")).agg(F.sum("n").alias("n"))
+    coarse = coarse.withColumn("part_start", F.coalesce(F.sum("n").over(before("source", "_mix_class", "_mix_part")), F.lit(0))).drop("n")
+    cells = cells.withColumn("_mix_part", F.substring("_mix_cell", 1, digits // 2))
+    cells = cells.withColumn("cell_start", F.coalesce(F.sum("n").over(before("source", "_mix_class", "_mix_part", "_mix_cell")), F.lit(0))).drop("n", "words")
+    cells = cells.alias("c").join(coarse.alias("p"), F.expr("c.source <=> p.source and c._mix_class = p._mix_class and c._mix_part = p._mix_part")).select("c.*", "part_start")
+    cells = cells.alias("c").join(starts.alias("s"), F.expr("c.source <=> s.source and c._mix_class = s._mix_class"))
+    start = F.col("class_start") + F.col("part_start") + F.col("cell_start")
+    cells = cells.select(F.col("c.source").alias("_mix_source"), F.col("c._mix_class").alias("_mix_class"), F.col("c._mix_cell").alias("_mix_cell"), start.alias("_mix_start"), "source_size", "target")
+    nth = F.row_number().over(Window.partitionBy(source, "_mix_class", "_mix_cell").orderBy("_mix_place", "_mix_row"))
+    p, c = rows.withColumn("_mix_nth", nth).alias("p"), cells.alias("c")
+    same = F.col(f"p.{source}").eqNullSafe(F.col("c._mix_source")) & (F.col("p._mix_class") == F.col("c._mix_class")) & (F.col("p._mix_cell") == F.col("c._mix_cell"))
+    joined = p.join(c, same).select("p.*", "_mix_start", "source_size", "target")
     expected = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    upto = F.col("_start") + F.col("_nth")
+    upto = F.col("_mix_start") + F.col("_mix_nth")
     offset = fraction(F.lit(str(seed)), F.lit("offset"), F.col(source))
     copies = F.floor(upto * expected + offset) - F.floor((upto - 1) * expected + offset)
-    return joined.withColumn("copies", copies.cast("long")).drop("_start", "_nth", "_place", "_class", "_cell")
+    return joined.withColumn("copies", copies.cast("long")).drop("_mix_start", "_mix_nth", "_mix_place", "_mix_row", "_mix_class", "_mix_cell")
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
     """Each row of :func:`mix` as many times as it has copies."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy")
+    return mixed.filter("copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_mix_copy")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

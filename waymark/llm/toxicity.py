@@ -1,19 +1,26 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary text, one on toxic text.  A
-document is cut into short windows; a window that the toxic dictionary
-compresses clearly better speaks for toxicity.  How much better, and in how
-many windows, is turned into a probability whose thresholds are calibrated on
-labelled documents that the dictionaries have not seen.
+One zstandard dictionary is trained on windows of ordinary text, one on windows
+of toxic text, with the same trainer and settings.  Most of what the second one
+holds is ordinary matter, and chance differences of that matter drown what is
+toxic; so of the second only those stretches are kept that set toxic documents
+apart, and they are laid over the first one's content.  Both compressors then
+hold the same ordinary matter at the same distance.  A document is cut into
+short windows; a window speaks for toxicity by the bytes that the toxic
+dictionary saves.  How much, and in how many windows, passes thresholds that are
+calibrated on labelled documents that the dictionaries have not seen.
 
 The classifier is fitted on at most ``MOST_ROWS`` labelled documents of each
-class, those whose hashed ids come first; everything else covers all rows.
+class and ``MOST_CHARS`` characters of them, those whose hashed ids come first;
+longer texts than that are not learned from.  Everything else covers all rows.
 
 Cases: null text counts as empty, which has no window and the score of that;
 labels that are null are passed over, several labels of one document count as
-toxic if one is; if a class has no training row, every score is 0 (only
-ordinary rows or none) or 1 (only toxic rows); repeated rows get equal
-scores; other columns are untouched, a column named as the output is replaced.
+toxic if one is; if a class has no training row, as in an empty table, every
+score is 0 (only ordinary rows or none) or 1 (only toxic rows); repeated rows
+get equal scores, and ties of hashed ids go by id; very long texts are scored
+window by window, whole; other columns are untouched, a column named as the
+output is replaced.
 """
 
 from __future__ import annotations
@@ -27,20 +34,24 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import for_python, load
+from .common import load
 
 #: Labelled documents of each class that a model is fitted on, at most.
 MOST_ROWS = 4000
+#: Characters of their texts, at most.
+MOST_CHARS = 16_000_000
 #: Bytes of a window, cut at the next space; so a word is whole.
 WINDOW = 64
-#: Bytes of the dictionary of ordinary text, and samples it is trained from.
-ORDINARY_BYTES, SAMPLE_BYTES = 6000, 256
+#: Bytes of the content of the ordinary dictionary, and of the toxic one before it is thinned out.
+ORDINARY_BYTES, TOXIC_BYTES = 6000, 60_000
+#: Bytes of the samples that both are trained from.
+SAMPLE_BYTES = 256
 #: Characters of the beginnings of words that are looked at; words and beginnings that enter a dictionary, at most.
 BEGINNINGS, PARTS = (4, 5, 6, 7), 400
-#: A word or beginning is toxic dictionary matter if its share of toxic documents exceeds that of ordinary ones so many times, with a likelihood ratio statistic above so much.
+#: A word or beginning in the toxic dictionary is kept if its share of toxic documents exceeds that of ordinary ones so many times, with a likelihood ratio statistic above so much.
 RATIO, EVIDENCE = 4.0, 24.0
 #: Gains, in bytes, that count windows.
 GAINS = (2, 3, 4, 6)
@@ -90,13 +101,13 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def features(model: ToxicityModel, text: str | None) -> list[float]:
-    """The largest gains of a window, the mean gain, the number of windows, and counts and shares of windows by gain."""
+    """The largest gains of a window, the mean gain, and counts and shares of windows by gain."""
     plain, toxic = compressor(model.ordinary).compress, compressor(model.toxic).compress
     gain = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], float)
     if not len(gain):
-        return [0.0] * (4 + 2 * len(GAINS))
+        return [0.0] * (3 + 2 * len(GAINS))
     top = np.sort(gain)[::-1]
-    return [top[0], top[1] if len(top) > 1 else 0.0, gain.mean(), np.log1p(len(gain)), *[np.log1p((gain >= g).sum()) for g in GAINS], *[(gain >= g).mean() for g in GAINS]]
+    return [top[0], top[1] if len(top) > 1 else 0.0, gain.mean(), *[np.log1p((gain >= g).sum()) for g in GAINS], *[(gain >= g).mean() for g in GAINS]]
 
 
 def stretches(texts: list[str]) -> Counter[str]:
@@ -108,33 +119,39 @@ def stretches(texts: list[str]) -> Counter[str]:
     return found
 
 
+def trained(texts: list[str], size: int) -> bytes:
+    """The content of a dictionary trained on windows of ``texts``; too few of them to train on are the content."""
+    samples = [d[i : i + SAMPLE_BYTES] for d in (t.lower().encode("utf-8", "replace") for t in texts) for i in range(0, len(d), SAMPLE_BYTES)]
+    try:
+        return zstandard.train_dictionary(size + 2048, samples).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Contents for ordinary and toxic text.
 
-    The first is trained on ordinary windows.  The second is trained on what
-    sets toxic text apart: words, and beginnings of words, that ordinary
-    documents have far less often.  Both hold the same ordinary matter at the same distance, so shared text
-    compresses alike, and a gain is due to toxic matter.
+    Of the dictionary trained on toxic text those words and beginnings of words
+    are kept that ordinary documents have far less often; they follow the
+    content of the dictionary trained on ordinary text, which the other one has
+    at the same distance, so shared text compresses alike.
     """
-    samples = [d[i : i + SAMPLE_BYTES] for d in (t.lower().encode("utf-8", "replace") for t in ordinary) for i in range(0, len(d), SAMPLE_BYTES)]
-    try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES + 2048, samples).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too few samples to train on: then they are the content
-        base = b"".join(samples)[-ORDINARY_BYTES:]
+    base, whole = trained(ordinary, ORDINARY_BYTES), trained(toxic, TOXIC_BYTES).decode("utf-8", "ignore")
     in_toxic, in_ordinary, n, m = stretches(toxic), stretches(ordinary), len(toxic), len(ordinary)
     telling = []
-    for part, a in in_toxic.items():
-        b = in_ordinary[part]
+    for part in stretches([whole]):
+        a, b = in_toxic[part], in_ordinary[part]
+        if a * m <= RATIO * b * n:
+            continue
         all_ = (a + b) / (n + m)
         evidence = 2 * (a * np.log(a / n / all_) + (b * np.log(b / m / all_) if b else 0))
-        if a * m > RATIO * b * n and evidence > EVIDENCE:
+        if evidence > EVIDENCE:
             telling.append((evidence, len(part), part))
     chosen: list[str] = []
     for _, _, part in sorted(telling, reverse=True):
         if len(chosen) < PARTS and not any(part in c or c.rstrip() in part for c in chosen):
             chosen.append(part)
-    extra = "".join(reversed(chosen))
-    extra = extra.encode("utf-8", "replace")
+    extra = "".join(reversed(chosen)).encode("utf-8", "replace")
     return base + bytes(len(extra)), base + extra
 
 
@@ -165,13 +182,15 @@ def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
     return ToxicityModel(base, both, tuple(centre), tuple(scale), tuple(w[:-1]), float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> ToxicityModel:
-    """A model from the rows of ``labels`` (doc_id, toxic) and their texts; ``most`` of each class."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> ToxicityModel:
+    """A model from the rows of ``labels`` (doc_id, toxic) and their texts; of each class ``most`` with ``most_chars`` characters."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(most).unionAll(known.filter("toxic = 0").orderBy(*order).limit(most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    got = rows.groupBy("doc_id").agg(F.max(F.struct("text", "toxic")).alias("x")).select("doc_id", "x.*").orderBy(*order).toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max(F.struct("text", "toxic")).alias("x")).select("doc_id", "x.*")
+    # A window over the sampled rows only.
+    upto = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("toxic").orderBy(*order))
+    got = rows.withColumn("upto", upto).filter(F.col("upto") <= most_chars).select("doc_id", "text", "toxic").orderBy(*order).toArrow()
     return fit_texts(got.column("text").to_pylist(), got.column("toxic").to_pylist())
 
 
@@ -184,7 +203,7 @@ def with_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out:
         for part in parts:
             yield pd.Series([shared.value.score(t) for t in part], dtype=float)
 
-    return for_python(df).withColumn(out, scored(F.col(text)))
+    return df.withColumn(out, scored(F.col(text)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
