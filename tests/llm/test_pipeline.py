@@ -3,7 +3,7 @@ import hashlib
 import sentencepiece
 
 import corpus_pipeline
-from waymark.llm import sentencepiece_codec
+from waymark.llm import common, sentencepiece_codec
 
 
 def test_stages(spark, folder, prose):
@@ -45,5 +45,25 @@ def test_one_of_each_group_by_row(spark, folder, prose):
     assert sorted(map(str, got)) == sorted(map(str, [(1, a), (None, b), (None, ""), (None, None), (5, d), (5, e), one, other]))
 
 
+def test_columns_of_any_name_pass_through(spark, prose):
+    """Columns that the operators use themselves come out as they went in; a brute-force run of the stages that keep rows."""
+    docs = [(k, prose(k, 50, ("the", "ing", "ow", "sh")), "en", "ab"[k % 2], 1, 99 + k, "l", "q", k, f"r{k}", None) for k in range(40)]
+    docs += [(None, prose(100, 50, ("the", "ing", "ow", "sh")), None, None, None, 7, None, None, None, None, None)]
+    now = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, size long, _language string, _key string, _nth long, row string, salt int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        rows = now.collect()
+        kept = {(r.doc_id, r.size, r._language, r._key, r._nth, r.row, r.salt) for r in rows}
+        assert kept <= {(d[0], *d[5:]) for d in docs} and (len(kept) == len(docs) or name == "source_mix")
+        now = spark.createDataFrame(rows, now.schema)
+
+
+def test_folders_are_deleted(spark, folder, prose):
+    since = common.mark()
+    d = folder(documents=[(k, prose(k, 50, ("the", "ing", "ow", "sh")), "en", "a", 1) for k in range(30)])
+    got = corpus_pipeline.run(spark, d)
+    assert common.mark() - since == 1 and got.count() > 0
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder(documents=[])).collect() == []
