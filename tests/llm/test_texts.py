@@ -87,7 +87,7 @@ def test_orders_share_a_prefix():
         both = len(np.intersect1d(a, b))
         orders = ngram_join.Orders(a[::3].copy(), np.full(len(a[::3]), 4), 64)
         if 100 * both >= 80 * (len(a) + len(b) - both):
-            assert all(len(np.intersect1d(x, y)) for x, y in zip(orders.prefixes(a), orders.prefixes(b), strict=True))
+            assert all(len(np.intersect1d(orders.prefix(a, k), orders.prefix(b, k))) for k in range(3))
 
 
 def test_packed_cells_come_back():
@@ -114,9 +114,10 @@ def test_each_order_leaves_fewer_pairs(spark, folder, prose):
         passage = prose(500 + g, 8 + g % 8)
         docs += [(g * 20 + k, prose(g * 100 + k, 40) + " " + passage, None, None, None) for k in range(12)]
         docs.append((g * 20 + 19, docs[-1][1] + " end", None, None, None))
-    rows, kept, shared = ngram_join.prepared(spark.read.parquet(folder(documents=docs) + "/documents.parquet"))
-    pairs = ngram_join.all_pairs(shared)
-    counts = [pairs.count(), ngram_join.filtered(pairs, kept, 1).count(), ngram_join.filtered(pairs, kept).count(), ngram_join.verified(pairs, kept).count()]
+    own = ngram_join.Prepared(spark.read.parquet(folder(documents=docs) + "/documents.parquet"))
+    pairs = ngram_join.all_pairs(own.shared)
+    kept = ngram_join.shapes(own.docs, own.rows, own.orders, pairs)
+    counts = [pairs.count(), ngram_join.filtered(pairs, kept, 1).count(), ngram_join.filtered(pairs, kept).count(), own.links(pairs).count()]
     assert counts[0] > counts[1] > counts[2] >= counts[3] > 0
 
 

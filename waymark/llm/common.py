@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXTS_AT_ONCE = 1000
 #: Into how many parts the rows of one key are dealt where one key may hold a large share of all rows.
 SALTS = 16
+#: A key of so many rows may be hot; of such keys at most so many are dealt out.
+HOT_ROWS, MOST_HOT = 1000, 10_000
 
 _written: list[str] = []
 
@@ -74,7 +76,17 @@ def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataFrame:
-    """``rows`` left-joined with ``found``, one row a ``key``; rows of one key are dealt by ``spread`` into ``SALTS`` parts."""
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    left = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return left.join(found.withColumn("salt", parts), [key, "salt"], "left").drop("salt")
+    """``rows`` left-joined with ``found``, one row a ``key``; the rows of a hot key are dealt by ``spread`` into ``SALTS`` parts.
+
+    Hot are keys of so many rows that few can be, so their list can be sent to every task.
+    """
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    counts = settled(counts.filter(F.col("n") >= HOT_ROWS))
+    least = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    hot = counts.filter(F.col("n") >= least).select(key, F.lit(SALTS).alias("salts"))
+    if hot.isEmpty():
+        return rows.join(found, key, "left")
+    salts = F.coalesce("salts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("salts")
+    right = found.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [key, "salt"], "left").drop("salt")

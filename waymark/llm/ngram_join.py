@@ -2,11 +2,10 @@
 
 Candidates come from prefixes.  Under any one order of all shingles, two sets
 that are similar enough share a shingle among the first few of each; so they
-must do so under every one of several orders.  Each class of equal sets keeps
-its prefix under each order.  The first order's prefixes meet in a Spark join
-on shingles; the pairs that come of it are met with the narrow prefixes under
-all other orders, and only pairs that share a shingle under each of them are
-joined with texts and verified.  All orders put frequent shingles last, each
+must do so under every one of several orders.  The first order's prefixes meet
+in a Spark join on shingles.  Classes of the pairs that come of it get their
+prefixes under all other orders, as narrow arrays; only pairs that share a
+shingle under each order are joined with texts and verified.  All orders put frequent shingles last, each
 breaks ties by a hash of its own.  Frequencies are counted over all documents:
 a task sends its shingles as sorted, packed cells, and each range of cells is
 counted in one place.
@@ -44,7 +43,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_parts, load, looked_up, settled
+from .common import discard, in_parts, load, looked_up, mark, settled
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, LEAST = 5, 80
@@ -118,31 +117,31 @@ class Orders:
         self.cells, self.levels = np.append(cells[at], np.uint64(0)), np.append(levels[at], 0)
         self.shift = np.uint64(64 - bits)
 
-    def prefixes(self, found: np.ndarray) -> list[np.ndarray]:
-        """Under each order the first shingles: so many that similar sets share one."""
+    def prefix(self, found: np.ndarray, k: int) -> np.ndarray:
+        """The first shingles under order ``k``: so many that similar sets share one."""
         first = len(found) - -(-LEAST * len(found) // 100) + 1
         cell = found >> self.shift
         at = np.searchsorted(self.cells[:-1], cell)
         level = np.where(self.cells[at] == cell, self.levels[at], 0)
-        out = []
-        for k in range(FURTHER_ORDERS + 1):
-            key = found if k == 0 else mixed(found ^ np.uint64(k * _STEP & 0xFFFFFFFFFFFFFFFF))
-            if level.any():
-                out.append(found[np.lexsort((key, level))[:first]])
-            else:
-                out.append(found[:first] if k == 0 else found[np.argpartition(key, first - 1)[:first]])
-        return out
+        key = found if k == 0 else mixed(found ^ np.uint64(k * _STEP & 0xFFFFFFFFFFFFFFFF))
+        if level.any():
+            return found[np.lexsort((key, level))[:first]]
+        return found[:first] if k == 0 else found[np.argpartition(key, first - 1)[:first]]
 
 
 def packed_cells(cells: np.ndarray) -> bytes:
-    """Sorted cells as compressed gaps."""
-    gaps = np.diff(cells, prepend=np.uint64(0))
-    kind = np.uint16 if gaps[1:].max(initial=0) < 1 << 16 else np.uint32 if gaps[1:].max(initial=0) < 1 << 32 else np.uint64
-    return cells[:1].tobytes() + bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(gaps[1:].astype(kind).tobytes())
+    """Sorted cells as gaps, their bytes of one place together, compressed."""
+    gaps = np.diff(cells)
+    most = int(gaps.max(initial=0))
+    size = 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    planes = gaps.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T
+    return cells[:1].tobytes() + bytes([size]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked_cells(data: bytes) -> np.ndarray:
-    gaps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[9:]), f"u{data[8]}").astype(np.uint64)
+    size = data[8]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[9:]), np.uint8).reshape(size, -1)
+    gaps = np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.uint64)
     return np.cumsum(np.concatenate([np.frombuffer(data[:8], np.uint64), gaps]), dtype=np.uint64)
 
 
@@ -156,7 +155,7 @@ def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
     # Words have about six characters; more ranges and wider cells for more of them.
     about = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 6)
     ranges = max(32, 1 << math.ceil(math.log2(about / COUNTED_AT))) if about > COUNTED_AT else 32
-    bits = min(56, max(32, about.bit_length() + 6))
+    bits = min(56, max(32, about.bit_length() + 4))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text_key", "class", "n", "range", "cells"]
@@ -198,37 +197,58 @@ def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
     return rows.filter("n is not null").select("doc_id", "text_key", "class", "n"), Orders(top.column("cell").to_numpy().astype(np.int64).view(np.uint64), levels, bits)
 
 
-def shapes(docs: DataFrame, orders: Orders) -> DataFrame:
-    """(class, n, first, further, packed): each class once a task, with its prefix under the first order, those under the others as 32-bit hashes, and its compressed text."""
+def _first_prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
+    """(token, place, class): the first prefix of each class, once a task; the place is the position and the set's size."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        press = zstandard.ZstdCompressor(level=3)
-        lists = lambda arrays, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays).astype(kind)))
         for batch in in_parts(batches):
-            classes, sizes, texts, first, further = [], [], [], [], [[] for _ in range(FURTHER_ORDERS)]
+            tokens, places, classes = [], [], []
             for text in batch.column(0).to_pylist():
                 found = shingles(text)
-                if not len(found) or (own := class_of(found)) in seen:
-                    continue
-                seen.add(own)
-                classes.append(own)
-                sizes.append(len(found))
-                texts.append(press.compress(text.encode("utf-8", "replace")))
-                start, *more = shared.value.prefixes(found)
-                first.append(start.view(np.int64))
-                for k, tokens in enumerate(more):
-                    further[k].append((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            if classes:
-                values = [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), lists(first, np.int64), *[lists(x, np.int32) for x in further], pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(values, ["class", "n", "first", *[f"further_{k}" for k in range(FURTHER_ORDERS)], "packed"])
+                if len(found) and (own := class_of(found)) not in seen:
+                    seen.add(own)
+                    first = shared.value.prefix(found, 0)
+                    tokens.append(first)
+                    places.append(np.arange(len(first)) << 32 | len(found))
+                    classes.append(np.full(len(first), own, np.int64))
+            if tokens:
+                arrays = [np.concatenate(tokens).view(np.int64), np.concatenate(places), np.concatenate(classes)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "place", "class"])
+
+    return docs.select("text").mapInArrow(read, "token long, place long, class long")
+
+
+def shapes(docs: DataFrame, rows: DataFrame, orders: Orders, pairs: DataFrame) -> DataFrame:
+    """(class, further_0, ..., packed) of the classes of ``pairs``: prefixes under the further orders as 32-bit hashes, and the compressed text."""
+    shared = docs.sparkSession.sparkContext.broadcast(orders)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        lists = lambda arrays: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays)))
+        for batch in in_parts(batches):
+            if not batch.num_rows:
+                continue
+            texts, further = [], [[] for _ in range(FURTHER_ORDERS)]
+            for text in batch.column(1).to_pylist():
+                found = shingles(text)
+                texts.append(press.compress(text.encode("utf-8", "replace")))
+                for k in range(FURTHER_ORDERS):
+                    further[k].append((shared.value.prefix(found, k + 1) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(lists, further), pa.array(texts, pa.binary())], ["class", *[f"further_{k}" for k in range(FURTHER_ORDERS)], "packed"])
+
+    # Tables of ids are written, so that Spark knows how small they are before it plans the next join.
+    wanted = settled(pairs.select(F.explode(F.array("one", "other")).alias("class")).distinct())
+    first = rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    first = settled(first.select("class", F.col("r.doc_id").alias("id"), F.col("r.text_key").alias("key")))
+    own = docs.select(F.col("doc_id").cast("long"), "text", text_key())
+    own = own.join(first, own["doc_id"].eqNullSafe(first["id"]) & (own["text_key"] == first["key"])).select("class", "text")
     more = "".join(f"further_{k} array<int>, " for k in range(FURTHER_ORDERS))
-    return docs.select("text").mapInArrow(read, f"class long, n long, first array<long>, {more}packed binary")
+    return settled(own.mapInArrow(read, f"class long, {more}packed binary").dropDuplicates(["class"]))
 
 
-def groups(kept: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, orders: Orders) -> DataFrame:
     """(token, class, n, pos, hub, hub_n, hub_pos): the classes that share a shingle of their first prefixes, each with the group's hub.
 
     The hub is the class that has the shingle first; it has no row of its own.
@@ -250,9 +270,7 @@ def groups(kept: DataFrame) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tokens, places, classes, hubs, hub_places)], ["token", "place", "class", "hub", "hub_place"])
 
-    rows = kept.select("class", "n", F.posexplode("first").alias("pos", "token"))
-    rows = rows.select("token", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")).alias("place"), "class")
-    met = rows.repartition("token").sortWithinPartitions("token", "place", "class").mapInArrow(grouped, "token long, place long, class long, hub long, hub_place long")
+    met = _first_prefixes(docs, orders).repartition("token").sortWithinPartitions("token", "place", "class").mapInArrow(grouped, "token long, place long, class long, hub long, hub_place long")
     size, pos = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftright(c, 32)
     return met.select("token", "class", size("place").alias("n"), pos("place").alias("pos"), "hub", size("hub_place").alias("hub_n"), pos("hub_place").alias("hub_pos"))
 
@@ -268,29 +286,36 @@ def hub_pairs(shared: DataFrame) -> DataFrame:
     return shared.filter(_may_link("n", "pos", "hub_n", "hub_pos")).select(F.col("hub").alias("one"), F.col("class").alias("other")).distinct()
 
 
-def _blocked(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Joins ``a`` and ``b`` (token, class, n, pos, label) by token, a quarter of size, and block of ``a``; sizes that may link lie in the same quarter or the next."""
+def _blocked(a: DataFrame, b: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Joins ``a`` and ``b`` (token, class, n, pos, ...) by token, band of size, and block of ``a``; sizes that may link lie in the same band or the next.
+
+    ``blocks`` tells in how many blocks a token's rows of ``a`` are dealt; other tokens are left out.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / LEAST))).cast("int")
-    blocks = a.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     left = a.join(blocks, "token").withColumns({"band": band, "block": F.pmod(F.xxhash64("class"), "blocks").cast("int")}).drop("blocks")
     right = b.join(blocks, "token").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     return left.alias("a").join(right.alias("b"), ["token", "band", "block"]).filter(_may_link("a.n", "a.pos", "b.n", "b.pos"))
 
 
+def _blocks(size: Column) -> Column:
+    return F.ceil(size / BLOCK_ROWS).cast("int").alias("blocks")
+
+
 def cross_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(one, other): the pairs of a group that are not connected yet.
 
     Classes outside the component of their group's hub meet all others of the
-    group that are not in theirs; those within it need not meet each other.
+    group that are not in theirs; those within it need not meet each other, and
+    none needs to meet the hub again.
     """
     own = looked_up(shared.select("token", "class", "n", "pos", "hub"), labels, "class", F.col("token")).withColumn("label", F.coalesce("label", "class"))
     hubs = labels.select(F.col("class").alias("hub"), F.col("label").alias("hub_label"))
     own = looked_up(own, hubs, "hub", F.col("class")).withColumn("minor", F.col("label") != F.coalesce("hub_label", "hub")).drop("hub", "hub_label")
     own = settled(own)
-    minors = own.filter("minor").drop("minor")
-    everyone = own.join(minors.select("token").distinct(), "token", "left_semi")
+    counts = own.groupBy("token").agg(F.count("*").alias("all"), F.count(F.when(F.col("minor"), 1)).alias("minors"))
+    blocks = settled(counts.filter("minors > 0 and all > 1").select("token", _blocks(F.col("minors"))))
     once = ~F.col("b.minor") | (F.col("a.class") < F.col("b.class"))
-    met = _blocked(minors, everyone).filter((F.col("a.label") != F.col("b.label")) & once)
+    met = _blocked(own.filter("minor").drop("minor"), own, blocks).filter((F.col("a.label") != F.col("b.label")) & once)
     return met.select(F.col("b.class").alias("one"), F.col("a.class").alias("other")).distinct()
 
 
@@ -298,16 +323,15 @@ def all_pairs(shared: DataFrame) -> DataFrame:
     """(one, other): all pairs of a group, once each."""
     hubs = shared.select("token", F.col("hub").alias("class"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")).distinct()
     every = shared.select("token", "class", "n", "pos").unionByName(hubs)
-    met = _blocked(every, every.toDF(*every.columns)).filter(F.col("a.class") < F.col("b.class"))
+    blocks = shared.groupBy("token").agg(_blocks(F.count("*") + 1))
+    met = _blocked(every, every.toDF(*every.columns), blocks).filter(F.col("a.class") < F.col("b.class"))
     return met.select(F.col("a.class").alias("one"), F.col("b.class").alias("other")).distinct()
 
 
 def _both(pairs: DataFrame, kept: DataFrame, *columns: str) -> DataFrame:
-    """``pairs`` with ``columns`` of the shapes of both; a class's shape is sent where its pairs are, and only if it has any."""
-    wanted = pairs.select(F.explode(F.array("one", "other")).alias("class")).distinct()
-    own = kept.select("class", *columns).join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    """``pairs`` with ``columns`` of the shapes of both."""
     for side in ("other", "one"):
-        pairs = pairs.join(own.select(F.col("class").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+        pairs = pairs.join(kept.select(F.col("class").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
     return pairs
 
 
@@ -321,7 +345,7 @@ def filtered(pairs: DataFrame, kept: DataFrame, orders: int = FURTHER_ORDERS) ->
 
 
 def verified(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The pairs that pass every order, and whose whole sets are similar enough."""
+    """The pairs whose whole sets are similar enough."""
 
     @F.pandas_udf("boolean")
     def similar(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -339,8 +363,7 @@ def verified(pairs: DataFrame, kept: DataFrame) -> DataFrame:
         for a, b in parts:
             yield pd.Series([linked(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    left = settled(filtered(pairs, kept))
-    return _both(left, kept, "packed").filter(similar("one_packed", "other_packed")).select("one", "other")
+    return _both(pairs, kept, "packed").filter(similar("one_packed", "other_packed")).select("one", "other")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -362,18 +385,28 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their classes, the shapes of classes, and groups of classes."""
-    docs = docs.select("doc_id", "text")
-    rows, orders = members(docs)
-    kept = settled(shapes(docs, orders))
-    return rows, kept, settled(groups(kept))
+class Prepared:
+    """Rows with their classes, orders, and groups of classes of ``docs``."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs.select("doc_id", "text")
+        self.rows, self.orders = members(self.docs)
+        self.shared = settled(groups(self.docs, self.orders))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that pass every order and are similar enough."""
+        since = mark()
+        pairs = settled(pairs)
+        kept = shapes(self.docs, self.rows, self.orders, pairs)
+        found = settled(verified(settled(filtered(pairs, kept)), kept))
+        discard(self.docs.sparkSession, since)
+        return found
 
 
-def _all_links(rows: DataFrame, kept: DataFrame, shared: DataFrame) -> DataFrame:
+def _all_links(own: Prepared) -> DataFrame:
     """(one, other, one_rows, other_rows): every two classes that are similar enough, and the rows of each."""
-    sizes = rows.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
-    links = verified(all_pairs(shared), kept)
+    sizes = own.rows.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
+    links = own.links(all_pairs(own.shared))
     for side in ("one", "other"):
         links = links.join(sizes.select(F.col("class").alias(side), F.col("rows").alias(f"{side}_rows")), side)
     return links.select("one", "other", "one_rows", "other_rows")
@@ -381,13 +414,13 @@ def _all_links(rows: DataFrame, kept: DataFrame, shared: DataFrame) -> DataFrame
 
 def linked_classes(docs: DataFrame) -> DataFrame:
     """(one, other, one_rows, other_rows): every link between different classes of ``docs`` (doc_id, text)."""
-    return _all_links(*prepared(docs))
+    return _all_links(Prepared(docs))
 
 
 def link_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, links): with how many other rows each row of ``docs`` (doc_id, text) is similar enough."""
-    rows, *rest = prepared(docs)
-    links = settled(_all_links(rows, *rest))
+    own = Prepared(docs)
+    rows, links = own.rows, settled(_all_links(own))
     both = links.select(F.col("one").alias("class"), F.col("other_rows").alias("met")).unionAll(links.select(F.col("other").alias("class"), F.col("one_rows").alias("met")))
     met = both.groupBy("class").agg(F.sum("met").alias("met"))
     equal = rows.filter("class is not null").groupBy("class").agg((F.count("*") - 1).alias("equal"))
@@ -402,11 +435,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     ``stays`` holds for the rows of one (doc_id, text) of each component: that with the smallest id, nulls last,
     then with the smallest key; and for rows without a shingle.
     """
-    rows, kept, shared = prepared(docs)
-    links = settled(verified(hub_pairs(shared), kept))
-    labels = components(links)
-    more = settled(verified(cross_pairs(shared, labels), kept))
-    labels = components(links.unionAll(more))
+    own = Prepared(docs)
+    rows, links = own.rows, own.links(hub_pairs(own.shared))
+    more = own.links(cross_pairs(own.shared, settled(components(links))))
+    labels = settled(components(links.unionAll(more)))
     by_row = F.struct("doc_id", "text_key")
     placed = looked_up(rows, labels, "class", by_row).withColumn("label", F.coalesce("label", "class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
