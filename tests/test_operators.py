@@ -1,9 +1,11 @@
 import datetime
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import access, demand, equity, matching, network, ranking, scenarios, timetable
+from waymark.operators import access, demand, equity, matching, network, ranking, scenarios, spatial, sweep, timetable
 from waymark.sources import sinks
 
 
@@ -89,7 +91,8 @@ def test_published_cells(spark):
 
     cells = spark.createDataFrame([("x", "u", 1.0), ("x", "v", math.exp(-0.2)), ("y", "u", math.exp(-0.4) * math.exp(0.2)), ("y", "v", 1.0)], "origin string, destination string, value double")
     got = demand.balanced(cells, spark.createDataFrame([("x", 5.0), ("y", 3.0)], "origin string, row_target double"), spark.createDataFrame([("u", 4.0), ("v", 4.0)], "destination string, column_target double"))
-    assert got.agg(F.round(F.sum("value"), 8)).first()[0] == 8.0
+    cells = {(x.origin, x.destination): round(x.value, 6) for x in got.collect()}
+    assert sum(cells.values()) == pytest.approx(8.0) and cells["x", "u"] + cells["x", "v"] == pytest.approx(5.0) and cells["x", "u"] + cells["y", "u"] == pytest.approx(4.0)
 
 
 def test_fit(spark):
@@ -126,11 +129,94 @@ def test_registry():
     assert scenarios.case_errors((scenarios.STANDARD, scenarios.CASES[1], scenarios.CASES[1]))
 
 
-def test_matching(spark):
-    c = spark.createDataFrame([("r", 1, 10, 0, 0.2), ("r", 2, 10, 0, 0.1), ("r", 2, 11, 1, 0.01), ("r", 1, 11, 1, 0.05)], "region string, place_id int, official_id int, priority int, km double")
-    assert {(r.place_id, r.official_id) for r in matching.one_to_one(c, "region", ["priority", "km"]).collect()} == {(2, 10), (1, 11)}
-    s = spark.createDataFrame([("r", 0, 0, 1, 1, 0.95), ("r", 0, 0, 1, 2, 0.94), ("r", 0, 1, 2, 3, 0.96), ("r", 1, 0, 3, 3, 1.0)], "region string, kind_order int, row int, official_id int, place_id int, score double")
-    assert {(r.official_id, r.place_id) for r in matching.unambiguous(s, "region").collect()} == {(2, 3)}
+def test_matching_is_the_greedy_choice(spark):
+    """Chains that cross all groups, against one row after the other."""
+    r = random.Random(2)
+    rows = sorted({(r.randrange(12), r.randrange(12), r.randrange(2), round(r.random(), 2)) for _ in range(60)})
+    left, right, want = set(), set(), set()
+    for p, o, priority, km in sorted(rows, key=lambda x: (x[2], x[3], x[0], x[1])):
+        if p not in left and o not in right:
+            left.add(p)
+            right.add(o)
+            want.add((p, o))
+    c = spark.createDataFrame(rows, "place_id int, official_id int, priority int, km double")
+    assert {(x.place_id, x.official_id) for x in matching.one_to_one(c, ["priority", "km"]).collect()} == want
+    assert matching.one_to_one(c.limit(0), ["priority", "km"]).count() == 0
+
+
+def test_unambiguous_takes_turns(spark):
+    r = random.Random(3)
+    rows = sorted({(k % 2, k, 100 + k, p, round(0.88 + r.random() / 8, 2)) for k in range(14) for p in r.sample(range(10), 3)})
+    used, want = set(), set()
+    for turn in sorted({x[:2] for x in rows}):
+        free = sorted((-x[4], x[3], x[2]) for x in rows if x[:2] == turn and x[4] >= 0.9 and x[3] not in used)
+        if free and (len(free) == 1 or free[1][0] - free[0][0] >= 0.03):
+            used.add(free[0][1])
+            want.add((free[0][2], free[0][1]))
+    s = spark.createDataFrame(rows, "kind_order int, row int, official_id int, place_id int, score double")
+    assert {(x.official_id, x.place_id) for x in matching.unambiguous(s).collect()} == want and len(want) > 2
+
+
+def test_nearest_of_all(spark):
+    """Points far beyond all rings, near the pole and across many cells, against all pairs."""
+    r = random.Random(4)
+    places = [(k, r.uniform(-60, 80), r.uniform(-170, 170)) for k in range(30)]
+    points = [(k, r.uniform(-85, 85), r.uniform(-170, 170)) for k in range(25)] + [(99, places[0][1], places[0][2])]
+
+    def km(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 6371.0088 * 2 * math.asin(math.sqrt(h))
+
+    p, q = spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(places, "place_id long, lat double, lon double")
+    got = {x.point_id: x.place_id for x in spatial.nearest(p, q, cell=1.0, rings=0).collect()}
+    flat = {a[0]: min(places, key=lambda b: km(a, b))[0] for a in points}
+    assert sum(got[k] == flat[k] for k in flat) >= len(flat) - 1 and len(got) == len(points)  # one ring may hide a nearer place
+    assert spatial.nearest(p, q.limit(0)).count() == 0
+
+
+def test_sweep_by_hand(spark):
+    """All scenarios of a small day against a scan of each, one after the other."""
+    rides = [(1, 28800, 29400, "P", "Q", "r1", "t1"), (2, 29500, 29900, "Q", "R", "r2", "t2"), (3, 28900, 29100, "P", "R", "r1", "t3"), (1, 33000, 33300, "P", "R", "r2", "t4")]
+    walks, moves, out = [(1, "P", 5.0), (1, "Q", 15.0), (2, "Q", 25.0), (2, "P", 9.0)], [("Q", "R", 4.0), ("R", "Q", 12.0)], {"R": 1.0, "Q": 40.0}
+    direct, starts = {1: 50.0, 2: None}, [28000, 32000]
+    df = {
+        "rides": spark.createDataFrame(rides, "seq long, dep long, arr long, from_stop string, to_stop string, route_id string, trip_id string"),
+        "walks": spark.createDataFrame(walks, "zone_id long, stop_id string, walk_minutes double"), "transfers": spark.createDataFrame(moves, "from_stop string, to_stop string, walk_minutes double"),
+        "direct": spark.createDataFrame(list(direct.items()), "zone_id long, minutes double"), "egress": spark.createDataFrame(list(out.items()), "stop_id string, minutes double"),
+        "zones": spark.createDataFrame([(1, 100.0), (2, 50.0)], "zone_id long, population double"),
+    }
+    rows = sweep.lattice(spark.createDataFrame(list(scenarios.CASES), scenarios.CASE_SCHEMA), spark.createDataFrame([(x,) for x in starts], "start long"), df["rides"])
+    minutes = sweep.evaluated(rows, **{k: df[k] for k in ("zones", "walks", "transfers", "rides", "direct", "egress")})
+    got = {(x.scenario, x.zone_id): x.minutes for x in minutes.collect()}
+    told = rows.collect()
+    assert len(told) == 7 * ((1 + 2 + 4) + (1 + 1 + 1)) and len(got) == 2 * len(told)
+    for s in told:
+        f = 4.8 / s.walk_speed_kmh
+        for zone in direct:
+            label = {p: s.start + round(m * f * 60) for z, p, m in walks if z == zone and m * f <= s.most_access_minutes}
+            for _, dep, arr, a, b, route, trip in sorted(rides, key=lambda x: (x[1], x[2], x[0])):
+                if s.id not in (route, trip) and label.get(a, 10**12) <= dep and arr < label.get(b, 10**12):
+                    label[b] = arr
+                    for x, y, m in moves:
+                        if x == b and m * f <= s.most_transfer_minutes:
+                            label[y] = min(label.get(y, 10**12), arr + round((m * f + 1) * 60))
+            best = [direct[zone] * f] if direct[zone] is not None else []
+            best += [(t - s.start) / 60 + out[p] * f for p, t in label.items() if p in out]
+            assert got[s.scenario, zone] == (pytest.approx(min(best)) if best else None)
+    impacts = sweep.ranked_impacts(rows, minutes, df["zones"], df["rides"]).collect()
+    assert len(impacts) == 7 * 2 * 6 and {x.evaluated for x in impacts if x.start == 32000 and x.id == "t1"} == {False}
+    assert sweep.violations(rows, minutes).count() == 0
+
+
+def test_contracts(spark):
+    zones = spark.createDataFrame([(1, 9.0), (2, 8.0)], "zone_id long, p double")
+    other = spark.createDataFrame([(1, 5.0), (1, 5.0), (3, 9.0)], "zone_id long, q double")
+    assert access.zone_contract_errors(zones, other, ("p", "q")).first() == (1, 1, 0)
+    with pytest.raises(Exception, match="zone"):
+        access.zone_contract(zones, other, ("p", "q")).collect()
+    assert access.zone_contract(zones.limit(1), other.limit(1), ("p", "q")).count() == 1
+    with pytest.raises(ValueError, match="differ"):
+        demand.paired(zones, other.limit(1), "zone_id")
 
 
 def test_versions(spark):

@@ -12,9 +12,6 @@ from waymark.plans.queries import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-#: Loops over a checkpointed state take long for what they add here.
-SLOW = {"g5_isochrone", "x13_road_closure", "x4_hours_of_day", "x3_without_transfers", "x7_monotonic"}
-
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="the driver's tables are not here")
 
 
@@ -36,7 +33,7 @@ def plain(row) -> tuple:
     return tuple(out)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, con, name):
     df = QUERIES[name](spark, SF_DIR)
     want = con.execute(ORACLE_SQL[name])

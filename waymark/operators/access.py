@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import WALK_KMH, rescaled_walk
+
 NEVER = 10**12
-#: Zones that one task scans together.
-ZONE_BLOCK = 4096
+#: Labels (zones times stops) that one task holds, about.
+BLOCK_LABELS = 1 << 22
 
 
 def scan_fold(connections: Column, start: Column) -> Column:
@@ -49,34 +51,38 @@ def earliest_arrivals(access: DataFrame, rides: DataFrame, transfers: DataFrame
 
     ``access``: scenario, start (seconds), zone_id, stop_id, walk_minutes;
     ``rides``: scenario, seq, dep, arr, from_stop, to_stop, those of withdrawn
-    services left out; ``transfers``: from_stop, to_stop, transfer_minutes.
-    Zones never interact, so a task takes a block of zones of a scenario with
-    the scenario's rides: a timetable of one service day.
+    services left out; ``transfers``: from_stop, to_stop, transfer_minutes, and
+    scenario where they differ.  Zones never interact, so a task takes a block
+    of zones of a scenario with the scenario's rides, a timetable of one service
+    day, as one row; the more stops, the smaller the block.
     """
     near = access.filter(F.col("walk_minutes") <= most_walk)
     near = near.withColumn("label", F.col("start") + F.bround(F.col("walk_minutes") * 60).cast("long"))
     near = near.withColumn("block", F.pmod(F.xxhash64("zone_id"), F.lit(_blocks(near))).cast("int"))
-    ride = rides.filter("arr >= dep").withColumn("kind", F.lit(0)).select("scenario", "kind", "seq", "dep", "arr", "from_stop", "to_stop")
+    # One row a scenario: its rides in scanning order, and its transfers.
+    ordered = F.sort_array(F.collect_list(F.struct("dep", "arr", "seq", "from_stop", "to_stop"))).alias("rides")
+    ride = near.select("scenario").distinct().join(rides.filter("arr >= dep").groupBy("scenario").agg(ordered), "scenario", "left")
     if transfers is not None:
-        walk = transfers.select(F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), F.bround(F.col("transfer_minutes") * 60).cast("long").alias("dep"), F.lit(None).cast("long").alias("arr"), "from_stop", "to_stop")
-        ride = ride.unionByName(rides.select("scenario").distinct().join(walk))
-    blocks = near.select("scenario", "block").distinct()
-    moved = blocks.join(ride, "scenario")
+        walk = F.sort_array(F.collect_list(F.struct("from_stop", "to_stop", F.bround(F.col("transfer_minutes") * 60).cast("long").alias("seconds")))).alias("walks")
+        ride = ride.join(transfers.groupBy("scenario").agg(walk), "scenario", "left") if "scenario" in transfers.columns else ride.crossJoin(transfers.agg(walk))
+    moved = near.select("scenario", "block").distinct().join(ride, "scenario")
     near, moved = near.toDF(*near.columns), moved.toDF(*moved.columns)  # columns of their own
 
     def arrivals(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return pd.DataFrame({"scenario": [], "zone_id": [], "stop_id": [], "seconds": []})
-        stops = pd.Index(pd.unique(pd.concat([left.stop_id, right.from_stop, right.to_stop])))
+        told = right.iloc[0] if len(right) else {}
+        rides_ = [(r["dep"], r["arr"], r["from_stop"], r["to_stop"]) for r in (told.get("rides") if told.get("rides") is not None else ())]
+        walks = [(w["from_stop"], w["to_stop"], w["seconds"]) for w in (told.get("walks") if told.get("walks") is not None else ())]
+        stops = pd.Index(pd.unique(pd.Series([*left.stop_id, *[s for r in rides_ for s in r[2:]], *[s for w in walks for s in w[:2]]], dtype=left.stop_id.dtype)))
         zones, row = np.unique(left.zone_id.to_numpy(), return_inverse=True)
         labels = np.full((len(zones), len(stops)), NEVER, np.int64)
         np.minimum.at(labels, (row, stops.get_indexer(left.stop_id)), left.label.to_numpy(np.int64))
-        steps = right[right.kind == 0].sort_values(["dep", "arr", "seq"], kind="stable")
+        place = {s: k for k, s in enumerate(stops)}
         edges: dict[int, list[tuple[int, int]]] = {}
-        for e in right[right.kind == 1].itertuples():
-            edges.setdefault(stops.get_loc(e.from_stop), []).append((stops.get_loc(e.to_stop), int(e.dep)))
-        rides_ = list(zip(steps.dep.astype(int), steps.arr.astype(int), stops.get_indexer(steps.from_stop), stops.get_indexer(steps.to_stop), strict=True))
-        found = scan(labels, rides_, edges)
+        for a, b, seconds in walks:
+            edges.setdefault(place[a], []).append((place[b], int(seconds)))
+        found = scan(labels, [(int(dep), int(arr), place[a], place[b]) for dep, arr, a, b in rides_], edges)
         z, s = np.nonzero(found < NEVER)
         return pd.DataFrame({"scenario": left.scenario.iloc[0], "zone_id": zones[z], "stop_id": stops.to_numpy()[s], "seconds": found[z, s]})
 
@@ -86,18 +92,26 @@ def earliest_arrivals(access: DataFrame, rides: DataFrame, transfers: DataFrame
 
 
 def _blocks(near: DataFrame) -> int:
-    return max(1, -(-near.select("zone_id").distinct().count() // ZONE_BLOCK))
+    zones, stops = near.agg(F.countDistinct("zone_id"), F.countDistinct("stop_id")).first()
+    return max(1, -(-zones * max(1, stops) // BLOCK_LABELS))
 
 
 def best_minutes(zones: DataFrame, direct: DataFrame, arrivals: DataFrame, egress: DataFrame, starts: DataFrame) -> DataFrame:
     """(scenario, zone_id, minutes): the better of walking all the way and of riding.
 
-    ``direct``: zone_id, minutes; ``egress``: stop_id, minutes to the facility.
+    ``direct``: zone_id, minutes; ``egress``: stop_id, minutes to the facility;
+    ``starts``: scenario, start, and speed_kmh where walking differs from the
+    standard.  Both walks are rescaled to it.  With a column destination in
+    ``direct`` and ``egress``, one row for each destination.
     """
+    to = ["destination"] if "destination" in egress.columns else []
+    speed = F.col("speed_kmh") if "speed_kmh" in starts.columns else F.lit(WALK_KMH)
     ride = arrivals.join(egress, "stop_id").join(starts, "scenario")
-    ride = ride.groupBy("scenario", "zone_id").agg(F.min((F.col("seconds") - F.col("start")) / 60.0 + F.col("minutes")).alias("ride"))
-    every = zones.select("zone_id").join(F.broadcast(starts.select("scenario")))
-    return every.join(direct, "zone_id", "left").join(ride, ["scenario", "zone_id"], "left").select("scenario", "zone_id", F.least("minutes", "ride").alias("minutes"))
+    ride = ride.groupBy("scenario", "zone_id", *to).agg(F.min((F.col("seconds") - F.col("start")) / 60.0 + rescaled_walk(F.col("minutes"), speed)).alias("ride"))
+    every = zones.select("zone_id").crossJoin(starts.drop("start"))  # every zone has a row in every scenario
+    every = every.crossJoin(egress.select(*to).distinct()) if to else every
+    met = every.join(direct, ["zone_id", *to], "left").join(ride, ["scenario", "zone_id", *to], "left")
+    return met.select("scenario", "zone_id", *to, F.least(rescaled_walk(F.col("minutes"), speed), F.col("ride")).alias("minutes"))
 
 
 def population_access(rows: DataFrame, by: list[str], thresholds: tuple[int, ...] = (30, 60, 90)) -> DataFrame:
@@ -159,3 +173,96 @@ def weighted_cdf(rows: DataFrame, by: list[str], step: int = 5, last: int = 120)
     total = sums.groupBy(*by).agg(F.sum("population").alias("total")).withColumn("minute", F.explode(F.sequence(F.lit(0), F.lit(last), F.lit(step))))
     met = total.join(sums, by).groupBy(*by, "minute", "total").agg(F.sum(F.when(F.col("slot") <= F.col("minute"), F.col("population"))).alias("within"))
     return met.select(*by, "minute", F.round(F.coalesce(F.try_divide(F.coalesce("within", F.lit(0.0)), F.col("total")), F.lit(0.0)), 6).alias("share"))
+
+
+def reachable_population(rows: DataFrame, by: list[str], thresholds: tuple[int, ...] = (30, 60, 90)) -> DataFrame:
+    """Population in all and within each threshold, unrounded; null minutes are never within."""
+    within = [F.coalesce(F.sum(F.when(F.col("minutes") <= t, F.col("population"))), F.lit(0.0)).alias(f"reachable_{t}_min") for t in thresholds]
+    return rows.groupBy(*by).agg(F.coalesce(F.sum("population"), F.lit(0.0)).alias("total_population"), *within)
+
+
+def accessibility_loss(before: DataFrame, after: DataFrame, by: list[str], thresholds: tuple[int, ...] = (30, 60, 90)) -> DataFrame:
+    """What is lost between two results of :func:`reachable_population`, and in percent of before; 0 percent of nothing."""
+    met = before.alias("b").join(after.alias("a"), by, "left")
+    out = []
+    for t in thresholds:
+        b, a = F.col(f"b.reachable_{t}_min"), F.coalesce(F.col(f"a.reachable_{t}_min"), F.lit(0.0))
+        out += [(b - a).alias(f"loss_{t}_min"), F.coalesce(F.try_divide(b - a, b) * 100, F.lit(0.0)).alias(f"loss_pct_{t}_min")]
+    return met.select(*by, *out)
+
+
+def affected_from(pairs: DataFrame, by: list[str], thresholds: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(by, threshold, affected): population whose time grows by a threshold or more."""
+    each = pairs.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    grown = F.sum(F.when(F.col("after") - F.col("before") >= F.col("threshold"), F.col("population")))
+    return each.groupBy(*by, "threshold").agg(F.round(F.coalesce(grown, F.lit(0.0)), 4).alias("affected"))
+
+
+def road_access(pairs: DataFrame, by: list[str], least: float = 1e-9) -> DataFrame:
+    """Zones and people that a road closure sets back or cuts off, the plain mean change, and who still reaches within an hour."""
+    worse = (F.col("after") > F.col("before") + least) | (F.col("before").isNotNull() & F.col("after").isNull())
+    people = lambda c: F.round(F.coalesce(F.sum(F.when(c, F.col("population"))), F.lit(0.0)), 4)
+    return pairs.groupBy(*by).agg(F.count(F.when(worse, 1)).alias("worse"), people(worse).alias("worse_population"), F.round(F.avg(F.col("after") - F.col("before")), 6).alias("mean_change"), people(F.col("after") <= 60).alias("reach_60"))
+
+
+def both_reachable(nodes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(node_id, before, after, delta) of the nodes that are reached both times; ``before`` and ``after``: node_id, minutes.  Raises without nodes."""
+    if nodes.isEmpty():
+        raise ValueError("no freight nodes")
+    side = lambda df, name: df.select("node_id", F.col("minutes").alias(name))
+    met = nodes.join(side(before, "before"), "node_id", "left").join(side(after, "after"), "node_id", "left").filter("before is not null and after is not null")
+    return met.select("node_id", "before", "after", (F.col("after") - F.col("before")).alias("delta"))
+
+
+def relief_status(hubs: DataFrame, shelters: DataFrame, times: DataFrame, most: float = 180.0) -> DataFrame:
+    """(hub, shelter, minutes, status) of every hub with every shelter; hubs are a stated, short list."""
+    met = hubs.crossJoin(shelters).join(times, ["hub", "shelter"], "left")
+    status = F.when(F.col("minutes").isNull(), "unreachable_under_network").when(F.col("minutes") <= most, "reachable_under_network").otherwise("over_threshold")
+    return met.select("hub", "shelter", "minutes", status.alias("status"))
+
+
+def zone_contract(zones: DataFrame, other: DataFrame, nested: tuple[str, ...] = ()) -> DataFrame:
+    """``zones`` with the columns of ``other``, one row a zone_id in both; raises where a zone is missing, twice, or its ``nested`` columns grow."""
+    met = zones.join(other.withColumn("_met", F.lit(1)), "zone_id", "left")
+    wider = [F.col(a) < F.col(b) for a, b in zip(nested, nested[1:], strict=False)]
+    told = F.when(F.col("_met").isNull(), "zone without a partner: ").when(F.count("*").over(Window.partitionBy("zone_id")) > 1, "zone with several partners: ")
+    for bad in wider:
+        told = told.when(bad, "narrower group is larger: ")
+    error = F.when(told.isNotNull(), F.raise_error(F.concat(told, F.col("zone_id").cast("string"))).cast("int")).otherwise(F.lit(0))
+    return met.withColumn("_ok", error).filter("_ok = 0").drop("_met", "_ok")
+
+
+def zone_contract_errors(zones: DataFrame, other: DataFrame, nested: tuple[str, ...] = ()) -> DataFrame:
+    """(missing, repeated, not_nested): how many zones break the same contract."""
+    counts = other.groupBy("zone_id").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in nested if c in other.columns])
+    met = zones.join(counts, "zone_id", "left")
+    larger = F.lit(False)
+    for a, b in zip(nested, nested[1:], strict=False):
+        larger = larger | (F.col(a) < F.col(b))
+    some = lambda c: F.count(F.when(c, 1))
+    return met.agg(some(F.col("n").isNull()).alias("missing"), some(F.col("n") > 1).alias("repeated"), some(larger).alias("not_nested"))
+
+
+def coverage(rows: DataFrame, by: list[str], known: Column, least: float = 0.9) -> DataFrame:
+    """(by, covered_pct, enough): the share of rows for which ``known`` holds."""
+    share = F.avg(known.cast("double"))
+    return rows.groupBy(*by).agg(F.round(share * 100, 4).alias("covered_pct"), (share >= least).alias("enough"))
+
+
+def differences(actual: DataFrame, golden: DataFrame, by: list[str], tolerance: float = 1e-3) -> DataFrame:
+    """(by, actual, golden) where they differ by more than the tolerance, or only one of both is there."""
+    met = actual.join(golden, by, "full")
+    off = (F.abs(F.col("actual") - F.col("golden")) > tolerance) | F.col("actual").isNull() | F.col("golden").isNull()
+    return met.filter(off).select(*by, "actual", "golden")
+
+
+def unlike(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(only_left, only_right): keys that only one of both has."""
+    both = left.select(key).distinct().withColumn("l", F.lit(1)).join(right.select(key).distinct().withColumn("r", F.lit(1)), key, "full")
+    return both.agg(F.count(F.when(F.col("r").isNull(), 1)).alias("only_left"), F.count(F.when(F.col("l").isNull(), 1)).alias("only_right"))
+
+
+def count_errors(rows: DataFrame, kind: str, known: DataFrame) -> DataFrame:
+    """(kind, expected, found) where a kind has not the number of rows that ``known`` (kind, expected) states."""
+    found = known.join(rows.groupBy(kind).agg(F.count("*").alias("found")), kind, "left")
+    return found.select(kind, "expected", F.coalesce("found", F.lit(0)).alias("found")).filter("expected <> found")

@@ -66,3 +66,17 @@ def screenline(links: DataFrame, model: DataFrame, observed: DataFrame) -> DataF
 
 def vehicle_km(volumes: DataFrame, lengths: DataFrame) -> DataFrame:
     return volumes.join(lengths, "edge_id", "left").agg(F.round(F.coalesce(F.sum(F.col("volume") * F.coalesce("length_km", F.lit(0.0))), F.lit(0.0)), 4).alias("vkt"))
+
+
+def purposes(records: DataFrame) -> DataFrame:
+    """(purpose, records, demand): the records of each purpose summed; as a partitioned table, write them by purpose."""
+    return records.groupBy("purpose").agg(F.count("*").alias("records"), F.sum("demand").alias("demand"))
+
+
+def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Two series of one length, joined by their key; raises where lengths or keys differ."""
+    n, m = left.count(), right.count()
+    met = left.join(right, key)
+    if n != m or met.count() != n:
+        raise ValueError(f"series differ: {n} and {m} values")
+    return met

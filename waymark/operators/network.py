@@ -21,10 +21,13 @@ LANE_CAPACITY, LEAST_KM, BETTER = 650.0, 0.001, 1e-12
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Checkpointed: lineage ends here."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-"))
+    """Checkpointed: lineage ends here.  Only a local session may do without ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="waymark-"))
     return df.checkpoint()
 
 
@@ -137,3 +140,17 @@ def user_equilibrium(edges: DataFrame, demand: DataFrame, iterations: int = 25,
         if both.agg(F.max(F.abs(F.col("volume") - F.col("old")))).first()[0] <= still:
             break
     return volumes, lost
+
+
+def sorted_edges(edges: DataFrame) -> DataFrame:
+    """Edges by their id, as files and reports list them."""
+    return edges.orderBy("edge_id")
+
+
+def road_features(elements: DataFrame) -> DataFrame:
+    """(id, feature): a JSON line feature of each element with two points at least, whatever its type."""
+    points = F.transform("geometry", lambda p: F.array(p["lon"], p["lat"]))
+    key = F.concat_ws(":", F.lit("osm"), "id")
+    shape = F.struct(F.lit("LineString").alias("type"), points.alias("coordinates"))
+    told = F.struct(F.lit("Feature").alias("type"), key.alias("id"), F.struct(F.col("tags")["highway"].alias("highway"), F.col("tags")["name"].alias("name")).alias("properties"), shape.alias("geometry"))
+    return elements.filter(F.size("geometry") >= 2).select(key.alias("id"), F.to_json(told).alias("feature"))

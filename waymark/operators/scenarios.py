@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 CASE_SCHEMA = "case_id string, changed string, walk_speed_kmh double, most_access_minutes double, most_transfer_minutes double"
+# Ids, the assumption that each case changes, speed in km/h, and limits in minutes.
 STANDARD = ("baseline", None, 4.8, 20.0, 10.0)
-CASES = (STANDARD, ("slow_walk", "walk_speed_kmh", 3.6, 20.0, 10.0), ("fast_walk", "walk_speed_kmh", 6.0, 20.0, 10.0), ("short_access", "most_access_minutes", 4.8, 10.0, 10.0), ("long_access", "most_access_minutes", 4.8, 30.0, 10.0), ("short_transfer", "most_transfer_minutes", 4.8, 20.0, 5.0), ("long_transfer", "most_transfer_minutes", 4.8, 20.0, 15.0))
+CASES = (STANDARD, ("walk_speed_3_6", "walk_speed_kmh", 3.6, 20.0, 10.0), ("walk_speed_1_8", "walk_speed_kmh", 1.8, 20.0, 10.0), ("access_walk_10", "most_access_minutes", 4.8, 10.0, 10.0), ("access_walk_30", "most_access_minutes", 4.8, 30.0, 10.0), ("transfer_walk_5", "most_transfer_minutes", 4.8, 20.0, 5.0), ("transfer_walk_15", "most_transfer_minutes", 4.8, 20.0, 15.0))
 _FIELDS = ("walk_speed_kmh", "most_access_minutes", "most_transfer_minutes")
 
 

@@ -47,3 +47,21 @@ def feed_errors(stops: DataFrame, trips: DataFrame, routes: DataFrame, stop_time
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.distinct()
+
+
+def transfer_edges(stop_walk: DataFrame, stop_nodes: DataFrame, most: float = 10.0, buffer: float = 1.0) -> DataFrame:
+    """(from_stop, to_stop, walk_minutes, transfer_minutes): stops that walk to each other's nodes in time; ``stop_walk``: stop_id, node, minutes, ``stop_nodes``: stop_id, node."""
+    met = stop_walk.withColumnRenamed("stop_id", "from_stop").join(stop_nodes.withColumnRenamed("stop_id", "to_stop"), "node")
+    near = met.filter((F.col("from_stop") != F.col("to_stop")) & (F.col("minutes") <= most))
+    return near.select("from_stop", "to_stop", F.col("minutes").alias("walk_minutes"), (F.col("minutes") + buffer).alias("transfer_minutes"))
+
+
+def route_name(routes: DataFrame):
+    """The long name, else the short one, else the id; empty names count as missing."""
+    given = [F.nullif(F.col(c), F.lit("")) for c in ("route_long_name", "route_short_name") if c in routes.columns]
+    return F.coalesce(*given, F.col("route_id")).alias("route_name")
+
+
+def named_routes(routes: DataFrame, part: str) -> DataFrame:
+    """route_id of the routes whose name holds ``part``."""
+    return routes.filter(route_name(routes).contains(part)).select("route_id")

@@ -6,12 +6,11 @@ them follow from keys, so both engines see the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mesh_centre
 
-DAY = "2024-01-01"
 STOPS = 20
 
 
@@ -57,14 +56,18 @@ pairs AS (SELECT *, CASE WHEN zone_id % 17 <> 0 THEN (zone_id * 37 % 1400)::DOUB
 
 
 def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trip is a user's day; its stops follow time."""
+    """A trip is a user's day; its stops follow time, some five minutes apart, from an hour on that the user has."""
     e = table(spark, sf_dir, "events")
-    clock = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("long")
-    rows = e.select(F.to_date("ts").alias("day"), F.col("user_id"), (F.col("event_id") % STOPS).alias("stop_id"), clock.alias("arrival"), clock.alias("departure"), "ts", "event_id")
+    rows = e.select(F.to_date("ts").alias("day"), F.col("user_id"), (F.col("event_id") % STOPS).alias("stop_id"), "ts", "event_id")
     rows = rows.withColumn("trip_id", F.concat_ws(":", F.col("user_id"), F.col("day").cast("string")))
-    from pyspark.sql import Window
+    rows = rows.withColumn("stop_sequence", F.row_number().over(Window.partitionBy("trip_id").orderBy("ts", "event_id")))
+    clock = ((6 + F.col("user_id") % 16) * 3600 + F.col("stop_sequence") * 300 + (F.minute("ts") * 60 + F.second("ts")) % 240).cast("long")
+    return rows.select("day", "user_id", "stop_id", clock.alias("arrival"), clock.alias("departure"), "trip_id", F.col("stop_sequence").cast("string").alias("stop_sequence"))
 
-    return rows.withColumn("stop_sequence", F.row_number().over(Window.partitionBy("trip_id").orderBy("ts", "event_id")).cast("string")).drop("ts", "event_id")
+
+def first_day(spark: SparkSession, sf_dir: str):
+    """The service day of queries that look at one: the first that the table has."""
+    return table(spark, sf_dir, "events").agg(F.min(F.to_date("ts"))).first()[0]
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +75,9 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RIDES = """stop_times AS (
-  SELECT ts::DATE AS day, user_id, event_id % 20 AS stop_id, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::BIGINT AS arrival,
-    user_id::VARCHAR || ':' || (ts::DATE)::VARCHAR AS trip_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)::INT AS seq FROM events),
+  SELECT *, ((6 + user_id % 16) * 3600 + seq * 300 + (minute(ts) * 60 + second(ts)) % 240)::BIGINT AS arrival FROM (
+    SELECT ts, ts::DATE AS day, user_id, event_id % 20 AS stop_id, user_id::VARCHAR || ':' || (ts::DATE)::VARCHAR AS trip_id,
+      row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)::INT AS seq FROM events)),
 rides AS (SELECT * FROM (
   SELECT trip_id, 'r' || (user_id % 5)::VARCHAR AS route_id, user_id, day, seq, stop_id AS from_stop, arrival AS dep,
     lead(stop_id) OVER (PARTITION BY trip_id ORDER BY seq) AS to_stop, lead(arrival) OVER (PARTITION BY trip_id ORDER BY seq) AS arr FROM stop_times) WHERE to_stop IS NOT NULL)"""

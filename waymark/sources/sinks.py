@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import shown_minutes
+
 CLASSES = ("A", "B", "C", "D")
 
 
@@ -14,6 +16,17 @@ def point_features(rows: DataFrame, key: str, *properties: str) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("id"), F.to_json(F.struct(F.lit("Feature").alias("type"), F.col(key).cast("string").alias("id"), F.struct(*properties).alias("properties"), shape.alias("geometry"))).alias("feature"))
 
 
+def change_features(rows: DataFrame, key: str) -> DataFrame:
+    """(id, feature): points with before, after and delta minutes at two decimals, null where not finite."""
+    shown = [F.round(shown_minutes(F.col("before")), 2).alias("before"), F.round(shown_minutes(F.col("after")), 2).alias("after"), shown_minutes(F.col("after") - F.col("before")).alias("delta")]
+    return point_features(rows.select(F.col(key), "lat", "lon", *shown), key, "before", "after", "delta")
+
+
+def json_lines(rows: DataFrame, pretty: bool = False) -> DataFrame:
+    """(value): each row as JSON, compact or indented; ``write.text`` makes the artifact."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"pretty": str(pretty).lower()}).alias("value"))
+
+
 def line_features(stop_times: DataFrame, stops: DataFrame, shapes: DataFrame, trips: DataFrame) -> DataFrame:
     """(route_id, trip_id, source, points): each route along its first trip's shape, else its stops, else nothing."""
     first = trips.groupBy("route_id").agg(F.min(F.struct("trip_id", "shape_id")).alias("t")).select("route_id", "t.*")
