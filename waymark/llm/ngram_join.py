@@ -53,6 +53,8 @@ FREQUENT, FREQUENT_FROM = 500_000, 16
 SORTED_AT, COUNTED_AT = 4_000_000, 8_000_000
 #: Classes of a group in a block, where its pairs are compared.
 BLOCK_ROWS = 1_000
+#: Rows of three numbers that are sent to every task, at most: 24 MB.
+MOST_SENT = 1_000_000
 #: Orders that a candidate must pass besides the first.
 FURTHER_ORDERS = 2
 
@@ -240,9 +242,12 @@ def shapes(docs: DataFrame, rows: DataFrame, orders: Orders, pairs: DataFrame) -
 
     # Tables of ids are written, so that Spark knows how small they are before it plans the next join.
     wanted = settled(pairs.select(F.explode(F.array("one", "other")).alias("class")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
     first = rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
     first = settled(first.select("class", F.col("r.doc_id").alias("id"), F.col("r.text_key").alias("key")))
     own = docs.select(F.col("doc_id").cast("long"), "text", text_key())
+    # Few candidates are sent to the texts; where there are many, texts are dealt by id and key.
+    first = F.broadcast(first) if first.count() <= MOST_SENT else first
     own = own.join(first, own["doc_id"].eqNullSafe(first["id"]) & (own["text_key"] == first["key"])).select("class", "text")
     more = "".join(f"further_{k} array<int>, " for k in range(FURTHER_ORDERS))
     return settled(own.mapInArrow(read, f"class long, {more}packed binary").dropDuplicates(["class"]))
