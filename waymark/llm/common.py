@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of texts that a function works on at once, at most.
 TEXTS_AT_ONCE = 1000
+#: Bytes of texts that a function takes apart at once, but for single longer ones.
+BYTES_AT_ONCE = 8 << 20
+#: Bounds on tables that are sent to every task.
+MOST_SENT_ROWS, MOST_SENT_BYTES = 100_000, 16 << 20
 #: Into how many parts the rows of one key are dealt where one key may hold a large share of all rows.
 SALTS = 16
 #: A key of so many rows may be hot; of such keys at most so many are dealt out.
@@ -68,6 +73,13 @@ def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
     del _written[since : since + len(gone)]
 
 
+def sent_if_small(table: DataFrame) -> DataFrame:
+    """A written table, to be sent to every task where it has ``MOST_SENT_ROWS`` rows and ``MOST_SENT_BYTES`` of strings at most; else joined as it is."""
+    strings = [F.length(f.name) for f in table.schema.fields if f.dataType.simpleString() == "string"]
+    rows, chars = table.agg(F.count("*"), F.sum(sum(strings, F.lit(0)))).first()
+    return F.broadcast(table) if rows <= MOST_SENT_ROWS and (chars or 0) * 4 <= MOST_SENT_BYTES else table
+
+
 def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of ``TEXTS_AT_ONCE`` rows at most; Spark bounds the bytes of those it sends."""
     for batch in batches:
@@ -75,6 +87,20 @@ def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, TEXTS_AT_ONCE)
 
 
+def in_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches whose strings in ``column`` have ``most`` bytes at most; a longer one makes a batch of its own."""
+    for batch in in_parts(batches):
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        at = held = 0
+        for k, size in enumerate(sizes):
+            if k > at and held + size > most:
+                yield batch.slice(at, k - at)
+                at, held = k, 0
+            held += size
+        if at < len(sizes):
+            yield batch.slice(at)
+
+
 def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataFrame:
     """``rows`` left-joined with ``found``, one row a ``key``; the rows of a hot key are dealt by ``spread`` into ``SALTS`` parts.
 
