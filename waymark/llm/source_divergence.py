@@ -54,7 +54,7 @@ def cells(docs: DataFrame) -> DataFrame:
         def sums() -> Iterator[pa.RecordBatch]:
             for (lang, source), (counts, documents) in found.items():
                 kinds = list(counts)
-                own = [pa.array([lang] * len(kinds)), pa.array([source] * len(kinds)), pa.array(kinds, pa.binary()).cast(pa.string())]
+                own = [pa.array([lang] * len(kinds), pa.string()), pa.array([source] * len(kinds), pa.string()), pa.array(kinds, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([counts[t] for t in kinds], pa.int64()), pa.array([documents[t] for t in kinds], pa.int64())], names)
             found.clear()
 
