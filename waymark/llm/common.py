@@ -19,9 +19,7 @@ TEXTS_AT_ONCE = 1000
 BYTES_AT_ONCE = 8 << 20
 #: Bounds on tables that are sent to every task.
 MOST_SENT_ROWS, MOST_SENT_BYTES = 100_000, 16 << 20
-#: Into how many parts the rows of one key are dealt where one key may hold a large share of all rows.
-SALTS = 16
-#: A key of so many rows may be hot; of such keys at most so many are dealt out.
+#: A key of so many rows may be hot, and is dealt into parts of about so many; of such keys at most so many are dealt out.
 HOT_ROWS, MOST_HOT = 1000, 10_000
 
 _written: list[str] = []
@@ -101,18 +99,21 @@ def in_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = BYTES_A
             yield batch.slice(at)
 
 
-def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataFrame:
-    """``rows`` left-joined with ``found``, one row a ``key``; the rows of a hot key are dealt by ``spread`` into ``SALTS`` parts.
+def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column, counts: DataFrame | None = None, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``found``, one row a ``key``; the rows of a hot key are dealt by ``spread`` into parts of about ``HOT_ROWS``.
 
-    Hot are keys of so many rows that few can be, so their list can be sent to every task.
+    Hot are keys of so many rows that few can be, so their list can be sent to
+    every task.  ``counts`` (key, n) tells how many rows a key has, where that
+    is known.
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    if counts is None:
+        counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     counts = settled(counts.filter(F.col("n") >= HOT_ROWS))
     least = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
-    hot = counts.filter(F.col("n") >= least).select(key, F.lit(SALTS).alias("salts"))
+    hot = counts.filter(F.col("n") >= least).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
     if hot.isEmpty():
-        return rows.join(found, key, "left")
+        return rows.join(found, key, how)
     salts = F.coalesce("salts", F.lit(1))
     left = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("salts")
     right = found.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return left.join(right, [key, "salt"], "left").drop("salt")
+    return left.join(right, [key, "salt"], how).drop("salt")

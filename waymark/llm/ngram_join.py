@@ -222,6 +222,19 @@ def _first_prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
     return docs.select("text").mapInArrow(read, "token long, place long, class long")
 
 
+def one_text_each(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, text) of the classes of ``pairs``; ``rows`` (doc_id, text_key, class) tells which rows have them."""
+    # Tables of ids are written, so that Spark knows how small they are before it plans the next join.
+    wanted = settled(pairs.select(F.explode(F.array("one", "other")).alias("class")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+    first = rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    first = settled(first.select("class", F.col("r.doc_id").alias("id"), F.col("r.text_key").alias("key")))
+    own = docs.select(F.col("doc_id").cast("long"), "text", text_key())
+    # Few candidates are sent to the texts; where there are many, texts are dealt by id and key.
+    first = F.broadcast(first) if first.count() <= MOST_SENT else first
+    return own.join(first, own["doc_id"].eqNullSafe(first["id"]) & (own["text_key"] == first["key"])).select("class", "text")
+
+
 def shapes(docs: DataFrame, rows: DataFrame, orders: Orders, pairs: DataFrame) -> DataFrame:
     """(class, further_0, ..., packed) of the classes of ``pairs``: prefixes under the further orders as 32-bit hashes, and the compressed text."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
@@ -240,15 +253,7 @@ def shapes(docs: DataFrame, rows: DataFrame, orders: Orders, pairs: DataFrame) -
                     further[k].append((shared.value.prefix(found, k + 1) >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(lists, further), pa.array(texts, pa.binary())], ["class", *[f"further_{k}" for k in range(FURTHER_ORDERS)], "packed"])
 
-    # Tables of ids are written, so that Spark knows how small they are before it plans the next join.
-    wanted = settled(pairs.select(F.explode(F.array("one", "other")).alias("class")).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
-    first = rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-    first = settled(first.select("class", F.col("r.doc_id").alias("id"), F.col("r.text_key").alias("key")))
-    own = docs.select(F.col("doc_id").cast("long"), "text", text_key())
-    # Few candidates are sent to the texts; where there are many, texts are dealt by id and key.
-    first = F.broadcast(first) if first.count() <= MOST_SENT else first
-    own = own.join(first, own["doc_id"].eqNullSafe(first["id"]) & (own["text_key"] == first["key"])).select("class", "text")
+    own = one_text_each(docs, rows, pairs)
     more = "".join(f"further_{k} array<int>, " for k in range(FURTHER_ORDERS))
     return settled(own.mapInArrow(read, f"class long, {more}packed binary").dropDuplicates(["class"]))
 

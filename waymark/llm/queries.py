@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fill_in_middle import OP13_SQL, op13_fill_in_middle
+from .fingerprints import op11_fingerprints
 from .html_text import op8_html_text
 from .language_mix import op4_language_mix
 from .media_chunks import OP5_PAYLOADS_SQL, op5_media_chunks, op5_payloads
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_fingerprints": op11_fingerprints,
     "op12_source_divergence": op12_source_divergence,
     "op13_fill_in_middle": op13_fill_in_middle,
     "op2_base_spans": op2_base_spans,
