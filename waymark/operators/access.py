@@ -5,16 +5,12 @@ Unreachable is null everywhere.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import WALK_KMH, rescaled_walk
-
-NEVER = 10**12
-#: Labels (zones times stops) that one task holds, about.
-BLOCK_LABELS = 1 << 22
+from . import scan
+from .scan import NEVER
 
 
 def scan_fold(connections: Column, start: Column) -> Column:
@@ -31,19 +27,14 @@ def scan_fold(connections: Column, start: Column) -> Column:
     return F.aggregate(connections, start, ride)
 
 
-def scan(labels: np.ndarray, connections: list[tuple[int, int, int, int]], transfers: dict[int, list[tuple[int, int]]]) -> np.ndarray:
-    """Labels (zones x stops) after all rides in order; zones advance together.
+def labelled(access: DataFrame, most_walk: float) -> DataFrame:
+    """(scenario, start, zone_id, stop_id, label): the stops that each zone can walk to, and when one is there."""
+    near = access.filter(F.col("walk_minutes") <= most_walk)
+    return near.select("scenario", "start", "zone_id", "stop_id", (F.col("start") + F.bround(F.col("walk_minutes") * 60).cast("long")).alias("label"))
 
-    A ride that improves a stop's label relaxes that stop's transfers once;
-    labels that come from walking or transfers relax nothing.
-    """
-    for dep, arr, a, b in connections:
-        better = (labels[:, a] <= dep) & (arr < labels[:, b])
-        if better.any():
-            labels[better, b] = arr
-            for c, seconds in transfers.get(b, ()):
-                labels[better, c] = np.minimum(labels[better, c], arr + seconds)
-    return labels
+
+def _seconds(transfers: DataFrame) -> DataFrame:
+    return transfers.select("scenario", "from_stop", "to_stop", F.bround(F.col("transfer_minutes") * 60).cast("long").alias("seconds"))
 
 
 def earliest_arrivals(access: DataFrame, rides: DataFrame, transfers: DataFrame | None = None, most_walk: float = 20.0) -> DataFrame:
@@ -52,48 +43,20 @@ def earliest_arrivals(access: DataFrame, rides: DataFrame, transfers: DataFrame
     ``access``: scenario, start (seconds), zone_id, stop_id, walk_minutes;
     ``rides``: scenario, seq, dep, arr, from_stop, to_stop, those of withdrawn
     services left out; ``transfers``: from_stop, to_stop, transfer_minutes, and
-    scenario where they differ.  Zones never interact, so a task takes a block
-    of zones of a scenario with the scenario's rides, a timetable of one service
-    day, as one row; the more stops, the smaller the block.
+    scenario where they differ.
     """
-    near = access.filter(F.col("walk_minutes") <= most_walk)
-    near = near.withColumn("label", F.col("start") + F.bround(F.col("walk_minutes") * 60).cast("long"))
-    near = near.withColumn("block", F.pmod(F.xxhash64("zone_id"), F.lit(_blocks(near))).cast("int"))
-    # One row a scenario: its rides in scanning order, and its transfers.
-    ordered = F.sort_array(F.collect_list(F.struct("dep", "arr", "seq", "from_stop", "to_stop"))).alias("rides")
-    ride = near.select("scenario").distinct().join(rides.filter("arr >= dep").groupBy("scenario").agg(ordered), "scenario", "left")
+    near = labelled(access, most_walk)
     if transfers is not None:
-        walk = F.sort_array(F.collect_list(F.struct("from_stop", "to_stop", F.bround(F.col("transfer_minutes") * 60).cast("long").alias("seconds")))).alias("walks")
-        ride = ride.join(transfers.groupBy("scenario").agg(walk), "scenario", "left") if "scenario" in transfers.columns else ride.crossJoin(transfers.agg(walk))
-    moved = near.select("scenario", "block").distinct().join(ride, "scenario")
-    near, moved = near.toDF(*near.columns), moved.toDF(*moved.columns)  # columns of their own
-
-    def arrivals(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({"scenario": [], "zone_id": [], "stop_id": [], "seconds": []})
-        told = right.iloc[0] if len(right) else {}
-        rides_ = [(r["dep"], r["arr"], r["from_stop"], r["to_stop"]) for r in (told.get("rides") if told.get("rides") is not None else ())]
-        walks = [(w["from_stop"], w["to_stop"], w["seconds"]) for w in (told.get("walks") if told.get("walks") is not None else ())]
-        stops = pd.Index(pd.unique(pd.Series([*left.stop_id, *[s for r in rides_ for s in r[2:]], *[s for w in walks for s in w[:2]]], dtype=left.stop_id.dtype)))
-        zones, row = np.unique(left.zone_id.to_numpy(), return_inverse=True)
-        labels = np.full((len(zones), len(stops)), NEVER, np.int64)
-        np.minimum.at(labels, (row, stops.get_indexer(left.stop_id)), left.label.to_numpy(np.int64))
-        place = {s: k for k, s in enumerate(stops)}
-        edges: dict[int, list[tuple[int, int]]] = {}
-        for a, b, seconds in walks:
-            edges.setdefault(place[a], []).append((place[b], int(seconds)))
-        found = scan(labels, [(int(dep), int(arr), place[a], place[b]) for dep, arr, a, b in rides_], edges)
-        z, s = np.nonzero(found < NEVER)
-        return pd.DataFrame({"scenario": left.scenario.iloc[0], "zone_id": zones[z], "stop_id": stops.to_numpy()[s], "seconds": found[z, s]})
-
-    types = dict(near.dtypes)
-    schema = f"scenario {types['scenario']}, zone_id {types['zone_id']}, stop_id {types['stop_id']}, seconds long"
-    return near.groupBy("scenario", "block").cogroup(moved.groupBy("scenario", "block")).applyInPandas(arrivals, schema)
-
-
-def _blocks(near: DataFrame) -> int:
-    zones, stops = near.agg(F.countDistinct("zone_id"), F.countDistinct("stop_id")).first()
-    return max(1, -(-zones * max(1, stops) // BLOCK_LABELS))
+        transfers = _seconds(transfers if "scenario" in transfers.columns else transfers.crossJoin(near.select("scenario").distinct()))
+    return scan.arrivals(near, rides, transfers)
+
+
+def leave_one_out(access: DataFrame, rides: DataFrame, transfers: DataFrame | None, egress: DataFrame) -> DataFrame:
+    """(scenario, zone_id, destination, kind, id, ride) as :func:`scan.without_each` tells: the least minutes to ride, and without each route and trip where they differ.
+
+    ``rides`` have route_id and trip_id too; ``egress``: scenario, stop_id, destination, minutes.
+    """
+    return scan.without_each(labelled(access, float("inf")), rides, None if transfers is None else _seconds(transfers), egress)
 
 
 def best_minutes(zones: DataFrame, direct: DataFrame, arrivals: DataFrame, egress: DataFrame, starts: DataFrame) -> DataFrame:

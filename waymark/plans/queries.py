@@ -217,8 +217,8 @@ def _scenarios(spark, rows):
     return spark.createDataFrame([(n, c[0], k, i, t, *c[1:]) for n, k, i, t, c in rows], kind)
 
 
-def _outcome(spark, d, rows, rides=None, destinations=1):
-    """(scenario, destination, zone columns, minutes)."""
+def _city(spark, d, destinations=1):
+    """What the scans need besides scenarios and rides: walks of zones, transfers, direct walks, and walks from stops."""
     zones = I.zones(spark, d).drop("destination")
     stops = F.sequence(F.lit(0).cast("long"), F.lit(I.STOPS - 1).cast("long"))
     walks = zones.select("zone_id", F.explode(stops).alias("stop_id")).withColumn("walk_minutes", (F.col("zone_id") * 31 + F.col("stop_id") * 17) % 600 / 10.0)
@@ -227,8 +227,20 @@ def _outcome(spark, d, rows, rides=None, destinations=1):
     to = F.explode(F.sequence(F.lit(0), F.lit(destinations - 1))).alias("destination")
     direct = zones.select("zone_id", to).withColumn("minutes", 30 + (F.col("zone_id") * 7 + F.col("destination") * 131) % 900 / 10.0)
     egress = spark.range(I.STOPS).select(F.col("id").alias("stop_id"), to).withColumn("minutes", ((F.col("stop_id") * 13 + F.col("destination") * 5) % 25 * 4 + 0.5).cast("double"))
-    found = sweep.evaluated(rows, zones, walks, transfers, _rides(spark, d, I.first_day(spark, d)) if rides is None else rides, direct, egress)
-    return zones.join(found, "zone_id")
+    return {"zones": zones, "walks": walks, "transfers": transfers, "direct": direct, "egress": egress}
+
+
+def _outcome(spark, d, rows, rides=None, destinations=1):
+    """(scenario, destination, zone columns, minutes)."""
+    city = _city(spark, d, destinations)
+    found = sweep.evaluated(rows, rides=_rides(spark, d, I.first_day(spark, d)) if rides is None else rides, **city)
+    return city["zones"].join(found, "zone_id")
+
+
+def _withdrawn_each(spark, d, cases, starts, rides):
+    """The settings, all of them as they are, and what each withdrawal changes."""
+    city, rows = _city(spark, d), sweep.settings(_cases(spark, cases), starts)
+    return rows, *sweep.withdrawn_each(rows, rides=rides, **city | {k: city[k].drop("destination") for k in ("direct", "egress")})
 
 
 def _fold_sql(scenarios: str, destinations: int = 1) -> str:
@@ -322,8 +334,8 @@ _IMPACT_SQL = """round(coalesce(sum(population) FILTER (after - before > 1), 0),
 def x5(spark, d):
     """Each route and each trip of the day withdrawn on its own."""
     rides = _rides(spark, d, I.first_day(spark, d))
-    rows = sweep.lattice(_cases(spark, scenarios.CASES[:1]), spark.createDataFrame([(_START,)], "start long"), rides)
-    found = sweep.ranked_impacts(rows, _outcome(spark, d, rows, rides).select("scenario", "zone_id", "minutes"), I.zones(spark, d), rides)
+    rows, base, changed = _withdrawn_each(spark, d, scenarios.CASES[:1], spark.createDataFrame([(_START,)], "start long"), rides)
+    found = sweep.impacts_of_changes(rows, base, changed, I.zones(spark, d), rides)
     return found.drop("case_id", "start")
 
 
@@ -390,8 +402,8 @@ def x10(spark, d):
 def x11(spark, d):
     """Every case at every hour, as it is and without each service: who is hit worst over the day, and whether that holds in all cases."""
     rides = _rides(spark, d, I.first_day(spark, d))
-    rows = sweep.lattice(_cases(spark, scenarios.CASES), spark.range(6, 22).select((F.col("id") * 3600).alias("start")), rides)
-    impacts = sweep.ranked_impacts(rows, _outcome(spark, d, rows, rides).select("scenario", "zone_id", "minutes"), I.zones(spark, d), rides)
+    rows, base, changed = _withdrawn_each(spark, d, scenarios.CASES, spark.range(6, 22).select((F.col("id") * 3600).alias("start")), rides)
+    impacts = network.settled(sweep.impacts_of_changes(rows, base, changed, I.zones(spark, d), rides))
     by_day = ranking.day_ranking(impacts.withColumns({"affected": F.col("affected_1"), "seconds": F.col("start")}), ["case_id", "kind"])
     routes = by_day.filter("kind = 'route'")
     return by_day.join(ranking.stability(routes.drop("kind"), "baseline").select(F.col("reference_id").alias("id"), F.lit("route").alias("kind"), "top1", "top_k"), ["kind", "id"], "left")
