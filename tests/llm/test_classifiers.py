@@ -54,3 +54,19 @@ def test_toxicity_one_class(spark, folder):
     docs = [(1, "a", None, None, None), (2, "b", None, None, None)]
     assert [r.score for r in toxicity.op3_toxicity(spark, folder(documents=docs, labels=[(1, 0, 0)])).collect()] == [0.0, 0.0]
     assert toxicity.op3_toxicity(spark, folder(documents=[], labels=[])).collect() == []
+
+
+def test_a_long_text_leaves_room_for_others(spark, folder, prose, monkeypatch):
+    """Texts beyond the bound on what is learned from do not keep the rest out."""
+    rows, labels = _toxic(spark, folder, prose)
+    rows += [(5000 + k, prose(k, 4000), None, None, None) for k in range(6)]
+    labels += [(5000 + k, 0, 0) for k in range(6)]
+    d = folder(documents=rows, labels=labels)
+    docs, told = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, told, most_chars=20_000_000)
+    small = toxicity.fit(docs, told, most_chars=1_000_000)  # 1,000 characters of each text
+    for m in (model, small):
+        scores = {i: m.score(t) for i, t, *_ in rows[:100]}
+        bad = [s for i, s in scores.items() if i % 4 == 0]
+        good = [s for i, s in scores.items() if i % 4]
+        assert sum(bad) / len(bad) > sum(good) / len(good) + 0.2

@@ -58,6 +58,17 @@ def test_columns_of_any_name_pass_through(spark, prose):
         now = spark.createDataFrame(rows, now.schema)
 
 
+def test_dotted_names_and_maps(spark, prose):
+    docs = [(k, prose(k, 50, ("the", "ing", "ow", "sh")), "en", "ab"[k % 2], 1, f"v{k}", {"m": k}, f"t{k}") for k in range(20)] + [(20, prose(1, 50, ("the", "ing", "ow", "sh")), "en", "a", 1, "v", None, "t")]
+    now = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, m map<string,int>, `c``d` string")
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = common.settled(stage(spark, now, ""))
+        assert now.columns == columns and all(r["a.b"] in ("v", f"v{r.doc_id}") and (r.m is None or r.m == {"m": r.doc_id}) for r in now.collect())
+        assert now.count() == 21 if name == "language_id" else now.count() == 20 if name != "source_mix" else now.count() > 10
+    assert corpus_pipeline.encoded(spark, now, "").count() == now.count()
+
+
 def test_folders_are_deleted(spark, folder, prose):
     since = common.mark()
     d = folder(documents=[(k, prose(k, 50, ("the", "ing", "ow", "sh")), "en", "a", 1) for k in range(30)])

@@ -29,6 +29,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder that the cluster names.
 

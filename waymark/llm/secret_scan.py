@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, looked_up, settled
+from .common import columns_of, load, looked_up, quoted, settled
 
 #: Fixed patterns of the strong kinds, in order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -181,11 +181,11 @@ def redacted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mark:
     Only texts with weak candidates are moved, to meet their links.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = settled(docs.select(F.struct(*docs.columns).alias("row"), F.sha2(body, 256).alias("key"), parts_of(body).alias("parts")))
+    rows = settled(docs.select(F.struct(*columns_of(docs)).alias("row"), F.sha2(body, 256).alias("key"), parts_of(body).alias("parts")))
     found = _with_links(rows, F.col(f"row.`{doc_id}`"))
     body = F.col(f"row.`{text}`")
     fresh = F.when(F.size("found") == 0, body).otherwise(_without(body, _ordered("found"), mark))
-    return found.select(*[fresh.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return found.select(*[fresh.alias(c) if c == text else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

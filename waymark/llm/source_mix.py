@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, load, settled
+from .common import WORD, load, quoted, settled
 
 WEIGHTS = (5, 2, 1)
 #: Target words over all words.
@@ -86,7 +86,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     own = ["size", "source_size", "target", "copies"]
     kept = [c for c in docs.columns if c not in own and not c.startswith("_mix")]
     keys = {"_mix_class": size_class(F.col("size")), "_mix_cell": F.substring("_mix_place", 1, digits)}
-    rows = docs.select(*kept, n_words(text).alias("size"), place.alias("_mix_place"), F.xxhash64(*kept).alias("_mix_row")).withColumns(keys)
+    kept = [F.col(quoted(c)) for c in kept]
+    # Maps have no hash of their own, but one of their text.
+    told = [F.to_json(F.struct(c)) if "map<" in kind else c for c, kind in zip(kept, (x.dataType.simpleString() for x in docs.select(*kept).schema), strict=True)]
+    rows = docs.select(*kept, n_words(text).alias("size"), place.alias("_mix_place"), F.xxhash64(*told).alias("_mix_row")).withColumns(keys)
     light = docs.select(F.col(source).alias("source"), n_words(text).alias("size"), place.alias("_mix_place")).withColumns(keys)
     cells = settled(light.groupBy("source", "_mix_class", "_mix_cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     classes = cells.groupBy("source", "_mix_class").agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum("words").alias("words"))

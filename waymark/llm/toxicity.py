@@ -12,7 +12,8 @@ calibrated on labelled documents that the dictionaries have not seen.
 
 The classifier is fitted on at most ``MOST_ROWS`` labelled documents of each
 class and ``MOST_CHARS`` characters of them, those whose hashed ids come first;
-longer texts than that are not learned from.  Everything else covers all rows.
+of a long text the first ``MOST_CHARS / SHARE`` characters (16,000) are learned
+from.  Everything else covers all rows, and whole texts are scored.
 
 Cases: null text counts as empty, which has no window and the score of that;
 labels that are null are passed over, several labels of one document count as
@@ -43,6 +44,8 @@ from .common import load
 MOST_ROWS = 4000
 #: Characters of their texts, at most.
 MOST_CHARS = 16_000_000
+#: Of these characters one text may have this part.
+SHARE = 1000
 #: Bytes of a window, cut at the next space; so a word is whole.
 WINDOW = 64
 #: Bytes of the content of the ordinary dictionary, and of the toxic one before it is thinned out.
@@ -187,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_chars: i
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(most).unionAll(known.filter("toxic = 0").orderBy(*order).limit(most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max(F.struct("text", "toxic")).alias("x")).select("doc_id", "x.*")
+    # A long text is cut, so that it leaves room for others; what is sampled is bounded before it meets in one place.
+    rows = docs.select("doc_id", F.left("text", F.lit(most_chars // SHARE)).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max(F.struct("text", "toxic")).alias("x")).select("doc_id", "x.*")
     # A window over the sampled rows only.
     upto = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("toxic").orderBy(*order))
     got = rows.withColumn("upto", upto).filter(F.col("upto") <= most_chars).select("doc_id", "text", "toxic").orderBy(*order).toArrow()
