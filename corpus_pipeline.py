@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import language_mix, ngram_join, secret_scan, sentencepiece_codec, source_mix
-from waymark.llm.common import discard, load, mark, settled
+from waymark.llm.common import columns_of, discard, load, mark, settled
 
 #: A document stays if its main language makes up this share of it at least.
 LEAST_SHARE = 0.5
@@ -42,7 +42,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     own = unused(docs, "language")
     found = language_mix.with_language(docs, model, out=own)
     kept = (F.col(f"{own}.lang_pred") != language_mix.UNKNOWN) & (F.col(f"{own}.score") >= LEAST_SHARE)
-    return found.filter(kept).select(*docs.columns)
+    return found.filter(kept).select(*columns_of(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,21 +61,21 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = matched(keyed, found.filter("not stays").select("doc_id", "text_key").distinct(), "left_anti")
     again = found.filter("stays and class is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     if again.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select(*columns_of(docs))
     repeated = matched(kept, again, "left_semi").dropDuplicates(["doc_id", "text"])
     single = matched(kept, again, "left_anti")
-    return single.unionByName(repeated).select(*docs.columns)
+    return single.unionByName(repeated).select(*columns_of(docs))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces findings in texts; n_chars follows where there is one."""
     cleaned = secret_scan.redacted(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cleaned
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*columns_of(docs)) if "n_chars" in docs.columns else cleaned
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents, so that sources reach their targets."""
-    mixed = source_mix.mix(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row")))
+    mixed = source_mix.mix(docs.select("doc_id", "text", "source", F.struct(*columns_of(docs)).alias("row")))
     return source_mix.emitted(mixed).select("row.*")
 
 

@@ -2,46 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import geh
-from .network import settled
+from .tables import sent_if_small, settled
 
 
-def balanced(seed: DataFrame, rows: DataFrame, columns: DataFrame, groups: DataFrame | None = None, iterations: int = 5000, tolerance: float = 1e-10, every: int = 10) -> DataFrame:
+class Factors:
+    """Cells of a matrix that are never rewritten, and a factor for each row, column and group.
+
+    A cell's value is its seed times its factors.  Scaling one side to its
+    targets needs the sums of the cells under the other factors only, which are
+    added up in parts, so a large row is spread over tasks like any other.
+    """
+
+    def __init__(self, seed: DataFrame, rows: DataFrame, columns: DataFrame, groups: DataFrame | None = None):
+        self.sides = {"origin": rows.select("origin", F.col("row_target").alias("target")), "destination": columns.select("destination", F.col("column_target").alias("target"))}
+        if groups is not None:
+            self.sides["group"] = groups.select("group", "target")
+        kept = seed.join(rows.select("origin"), "origin", "left_semi").join(columns.select("destination"), "destination", "left_semi")
+        self.cells = settled(kept.select("origin", "destination", "value", *(["group"] if groups is not None else [])))
+        self.sides = {k: settled(t) for k, t in self.sides.items()}
+        self.found = {k: sent_if_small(settled(t.select(k, F.lit(1.0).alias("factor")))) for k, t in self.sides.items()}
+
+    def values(self, *but: str) -> DataFrame:
+        """The cells with their values under all factors but those of the named sides; a cell of no such side keeps its value."""
+        out, product = self.cells, F.col("value")
+        for k in self.sides:
+            if k not in but:
+                out = out.join(self.found[k].withColumnRenamed("factor", f"factor_{k}"), k, "left")
+                product = product * F.coalesce(f"factor_{k}", F.lit(1.0))
+        return out.withColumn("value", product).select(*self.cells.columns)
+
+    def scale(self, key: str) -> None:
+        """Scales one side to its targets; where there is nothing to scale its factor is 0."""
+        sums = self.values(key).groupBy(key).agg(F.sum("value").alias("sum"))
+        found = self.sides[key].join(sums, key, "left").select(key, F.coalesce(F.try_divide(F.col("target"), F.col("sum")), F.lit(0.0)).alias("factor"))
+        # With two sides the plan of a turn names the one before once; with three it would name it again and again.
+        self.found[key] = sent_if_small(settled(found)) if len(self.sides) > 2 else found
+
+    def settle(self) -> None:
+        """Writes the factors, so that the next turns begin with tables."""
+        if len(self.sides) > 2:
+            return
+        self.found = {k: sent_if_small(settled(t)) for k, t in self.found.items()}
+
+    def error(self) -> float:
+        """The largest difference between a row's or column's sum and its target."""
+        values, off = settled(self.values()), []
+        for k in ("origin", "destination"):
+            sums = values.groupBy(k).agg(F.sum("value").alias("sum"))
+            off.append(self.sides[k].join(sums, k, "inner").select(F.abs(F.col("sum") - F.col("target")).alias("e")))
+        return off[0].unionAll(off[1]).agg(F.max("e")).first()[0] or 0.0
+
+
+def balanced(seed: DataFrame, rows: DataFrame, columns: DataFrame, groups: DataFrame | None = None, iterations: int = 5000, tolerance: float = 1e-10, every: int = 5) -> DataFrame:
     """(origin, destination, value) scaled by turns to row and column totals (and group-pair totals).
 
     ``seed``: origin, destination, value (and group, where ``groups`` has
     group, target); ``rows``: origin, row_target; ``columns``: destination,
-    column_target.  Raises if totals disagree or it does not converge.
+    column_target.  ``every`` so many turns, one plan, the factors are written
+    and the sums looked at.  Raises if totals disagree or it does not converge.
     """
     sums = rows.agg(F.sum("row_target")).first()[0], columns.agg(F.sum("column_target")).first()[0]
-    if abs((sums[0] or 0.0) - (sums[1] or 0.0)) > 1e-9:
+    if abs((sums[0] or 0.0) - (sums[1] or 0.0)) > 1e-9 * max(1.0, abs(sums[0] or 0.0)):
         raise ValueError(f"row and column totals differ: {sums}")
-    keep = ["origin", "destination", "value", *(["group"] if groups is not None else [])]
-    cells = settled(seed.select(*keep).join(rows, "origin").join(columns, "destination"))
-    if groups is not None:
-        cells = settled(cells.join(groups, "group", "left"))
-    scale = lambda df, key, target: df.withColumn("value", F.when(F.col(target).isNull(), F.col("value")).otherwise(F.coalesce(F.col("value") * F.try_divide(F.col(target), F.sum("value").over(Window.partitionBy(key))), F.lit(0.0))))
+    state = Factors(seed, rows, columns, groups)
     for n in range(1, iterations + 1):
-        cells = scale(scale(cells, "origin", "row_target"), "destination", "column_target")
-        cells = scale(cells, "group", "target") if groups is not None else cells
+        for key in state.sides:
+            state.scale(key)
         if n % every == 0 or n == iterations:
-            cells = settled(cells)
-            off = cells.groupBy("origin").agg(F.abs(F.sum("value") - F.first("row_target")).alias("e")).unionAll(cells.groupBy("destination").agg(F.abs(F.sum("value") - F.first("column_target")).alias("e")).select(F.col("destination"), "e"))
-            if (off.agg(F.max("e")).first()[0] or 0.0) <= tolerance:
-                return cells.select("origin", "destination", "value")
+            state.settle()
+            if state.error() <= tolerance:
+                return state.values().select("origin", "destination", "value")
     raise ValueError("balancing did not converge")
 
 
 def balanced_rounds(seed: DataFrame, rows: DataFrame, columns: DataFrame, rounds: int) -> DataFrame:
-    """A stated number of rounds of the same scaling, as one plan."""
-    cells = seed.join(rows, "origin").join(columns, "destination")
+    """A stated number of turns of the same scaling, as one plan."""
+    state = Factors(seed, rows, columns)
     for _ in range(rounds):
-        for key, target in (("origin", "row_target"), ("destination", "column_target")):
-            cells = cells.withColumn("value", F.coalesce(F.col("value") * F.try_divide(F.col(target), F.sum("value").over(Window.partitionBy(key))), F.lit(0.0)))
-    return cells.select("origin", "destination", "value")
+        for key in state.sides:
+            state.scale(key)
+    return state.values().select("origin", "destination", "value")
 
 
 def fit_measures(pairs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Street graphs, shortest paths by relaxation, and traffic assignment.
+"""Street graphs, shortest paths in buckets of cost, and traffic assignment.
 
 Edges: edge_id, u, v, minutes, and further columns.  Loops write their state
 to the checkpoint folder, so executors may come and go.
@@ -6,29 +6,19 @@ to the checkpoint folder, so executors may come and go.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import WALK_KMH, bpr_minutes, first_number, free_flow_minutes, haversine_km, node_key
+from .tables import settled
 
 # Speeds (km/h) and lanes by class of road, and what nobody walks on.
 SPEEDS = {"motorway": 80.0, "trunk": 60.0, "primary": 50.0, "secondary": 40.0, "tertiary": 30.0, "residential": 25.0}
 LANES = {"motorway": 2, "trunk": 2, "primary": 2, "secondary": 1, "tertiary": 1, "residential": 1}
 NOT_WALKED = ("motorway", "motorway_link", "construction", "proposed")
 LANE_CAPACITY, LEAST_KM, BETTER = 650.0, 0.001, 1e-12
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """Checkpointed: lineage ends here.  Only a local session may do without ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="waymark-"))
-    return df.checkpoint()
+#: Tables of final labels that are read side by side, at most; then they become one.
+MOST_TABLES = 16
 
 
 def segments(ways: DataFrame) -> DataFrame:
@@ -81,27 +71,65 @@ def graph_errors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.unionByName(ends).unionByName(twice).distinct()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, cost: Column | None = None, rounds: int = 10_000) -> DataFrame:
-    """(source, node, minutes, via): least costs from each source; via is the last edge.
+def shortest_paths(edges: DataFrame, sources: DataFrame, cost: Column | None = None, most: float = float("inf"), width: float | None = None, rounds: int = 10_000) -> DataFrame:
+    """(source, node, minutes, via): least costs from each source, ``most`` at the most; via is the last edge.
 
-    Relaxation: nodes that improved in a round reach over their edges in the
-    next; it ends when none improves.  Edges with null, negative or infinite
-    cost are closed.
+    ``sources``: node, and most where each source has a bound of its own.
+    Delta-stepping: the open labels less than ``width`` (by default 32 mean
+    costs) above the least one are relaxed until none improves, then they are
+    final and only looked up by what is reached later.  A round joins and
+    writes the open labels, the strip between what is final and what is
+    unknown, never all.  Edges with null, negative or infinite cost are closed.
     """
     arcs = settled(edges.select("edge_id", "u", "v", (F.col("minutes") if cost is None else cost).alias("cost")).filter((F.col("cost") >= 0) & (F.col("cost") < float("inf"))))
-    best = settled(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("minutes"), F.lit(None).cast("string").alias("via")).distinct())
-    front = best
+    width = width or 32 * (arcs.agg(F.avg("cost")).first()[0] or 1.0)
+    bound = F.least(F.col("most"), F.lit(most)) if "most" in sources.columns else F.lit(most)
+    labels = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("minutes"), F.lit(None).cast("string").alias("via"), bound.alias("most")).distinct()
+    open_ = settled(labels.withColumn("fresh", F.lit(True)))
+    final: list[DataFrame] = []
     for _ in range(rounds):
-        reached = front.join(arcs, front["node"] == arcs["u"]).groupBy("source", F.col("v").alias("node")).agg(F.min(F.struct((F.col("minutes") + F.col("cost")).alias("minutes"), F.col("edge_id").alias("via"))).alias("n"))
-        old = best.select("source", "node", F.col("minutes").alias("old"), F.col("via").alias("old_via"))
-        merged = settled(old.join(reached, ["source", "node"], "full").withColumn("better", F.coalesce(F.col("n.minutes") < F.col("old") - BETTER, F.col("old").isNull())))
-        best = merged.select("source", "node", F.when(F.col("better"), F.col("n.minutes")).otherwise(F.col("old")).alias("minutes"), F.when(F.col("better"), F.col("n.via")).otherwise(F.col("old_via")).alias("via"))
-        front = merged.filter("better").select("source", "node", F.col("n.minutes").alias("minutes"), F.col("n.via").alias("via"))
-        if front.isEmpty():
-            return best
+        low, fresh = open_.agg(F.min("minutes"), F.min(F.when(F.col("fresh"), F.col("minutes")))).first()
+        if low is None:
+            done = _union(final) if final else open_
+            return done.select("source", "node", "minutes", "via")
+        if fresh is None or fresh >= low + width:
+            ripe = F.col("minutes") < low + width
+            final.append(settled(open_.filter(ripe).drop("fresh")))
+            final = [settled(_union(final))] if len(final) > MOST_TABLES else final
+            open_ = settled(open_.filter(~ripe))
+            continue
+        front = open_.filter(F.col("fresh") & (F.col("minutes") < low + width))
+        reached = front.join(arcs, front["node"] == arcs["u"]).withColumn("to", F.col("minutes") + F.col("cost")).filter(F.col("to") <= F.col("most"))
+        reached = reached.groupBy("source", F.col("v").alias("node"), "most").agg(F.min(F.struct(F.col("to").alias("minutes"), F.col("edge_id").alias("via"))).alias("n"))
+        if final:
+            reached = settled(reached)
+            known = _union(final).join(reached.select("source", "node"), ["source", "node"], "left_semi").select("source", "node")
+            reached = reached.join(known, ["source", "node"], "left_anti")
+        met = open_.join(reached, ["source", "node", "most"], "full")
+        better = F.coalesce(F.col("n.minutes") < F.col("minutes") - BETTER, F.col("minutes").isNull())
+        still = F.col("fresh") & (F.col("minutes") >= low + width)
+        told = lambda c: F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)
+        open_ = settled(met.select("source", "node", told("minutes"), told("via"), "most", F.coalesce(better | still, F.lit(False)).alias("fresh")))
     raise RuntimeError("shortest paths did not settle")
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionAll(t)
+    return out
+
+
+def walks_between(edges: DataFrame, stops: DataFrame, most: float) -> DataFrame:
+    """(from_stop, to_stop, minutes): least walks between different stops, ``most`` minutes at the most; ``stops``: stop_id, node.
+
+    Stops at one node are no distance apart; each node is searched from once.
+    """
+    paths = shortest_paths(edges, stops.select("node").distinct(), most=most)
+    from_, to = stops.select(F.col("stop_id").alias("from_stop"), F.col("node").alias("source")), stops.select(F.col("stop_id").alias("to_stop"), "node")
+    return paths.join(to, "node").join(from_, "source").filter("from_stop <> to_stop").select("from_stop", "to_stop", "minutes")
+
+
 def isochrone(paths: DataFrame, most: float) -> DataFrame:
     return paths.filter(F.col("minutes") <= most)
 
@@ -109,24 +137,34 @@ def isochrone(paths: DataFrame, most: float) -> DataFrame:
 def all_or_nothing(edges: DataFrame, demand: DataFrame, cost: Column | None = None, rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(edge_id, volume) with all demand on shortest paths, and (unreachable) summed.
 
-    Demand walks back from its destinations along ``via``, all at once.
+    Sums over what lies behind each node of the paths' trees, in as many rounds as the longest path has binary digits.
     """
     wanted = demand.filter(F.col("value") > 0).groupBy("origin", "destination").agg(F.sum("value").alias("value"))
     tree = settled(shortest_paths(edges, wanted.select(F.col("origin").alias("node")).distinct(), cost))
     lost = wanted.join(tree, (F.col("origin") == F.col("source")) & (F.col("destination") == F.col("node")), "left_anti").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("unreachable"))
-    step = tree.filter("via is not null").join(edges.select(F.col("edge_id").alias("via"), "u"), "via").select(F.col("source").alias("origin"), "node", "via", "u")
-    at = settled(wanted.select("origin", F.col("destination").alias("node"), "value"))
-    loads = None
-    for _ in range(rounds):
-        moved = settled(at.join(step, ["origin", "node"]).select("origin", "via", "u", "value"))
-        if moved.isEmpty():
-            break
-        part = moved.groupBy(F.col("via").alias("edge_id")).agg(F.sum("value").alias("volume"))
-        loads = part if loads is None else settled(loads.unionByName(part).groupBy("edge_id").agg(F.sum("volume").alias("volume")))
-        at = moved.groupBy("origin", F.col("u").alias("node")).agg(F.sum("value").alias("value"))
+    loads = _subtree_sums(tree, edges, wanted, rounds).groupBy(F.col("via").alias("edge_id")).agg(F.sum("value").alias("volume"))
     every = edges.select("edge_id")
-    loads = every.withColumn("volume", F.lit(0.0)) if loads is None else every.join(loads, "edge_id", "left").select("edge_id", F.coalesce("volume", F.lit(0.0)).alias("volume"))
-    return loads, lost
+    return every.join(loads, "edge_id", "left").select("edge_id", F.coalesce("volume", F.lit(0.0)).alias("volume")), lost
+
+
+def _subtree_sums(tree: DataFrame, edges: DataFrame, wanted: DataFrame, rounds: int) -> DataFrame:
+    """(via, value) for each node of each tree: what goes through its last edge, to it and to all that lies behind it.
+
+    Path doubling: a node knows the sum of the nodes behind it within 2**k
+    edges, and its ancestor 2**k edges before it; both double in a round.
+    """
+    value = wanted.select(F.col("origin").alias("source"), F.col("destination").alias("node"), "value")
+    parent = edges.select(F.col("edge_id").alias("via"), F.col("u").alias("before"))
+    state = tree.join(parent, "via", "left").join(value, ["source", "node"], "left").select("source", "node", "via", "before", F.coalesce("value", F.lit(0.0)).alias("value"))
+    for _ in range(rounds):
+        state = settled(state)
+        linked = state.filter("before is not null")
+        if linked.isEmpty():
+            return state.filter("via is not null").select("via", "value")
+        sums = linked.groupBy("source", F.col("before").alias("node")).agg(F.sum("value").alias("more"))
+        ahead = state.select("source", F.col("node").alias("before"), F.col("before").alias("next"))
+        state = state.join(sums, ["source", "node"], "left").join(ahead, ["source", "before"], "left").select("source", "node", "via", F.col("next").alias("before"), (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("value"))
+    raise RuntimeError("paths have circles")
 
 
 def user_equilibrium(edges: DataFrame, demand: DataFrame, iterations: int = 25, still: float = 1e-4) -> tuple[DataFrame, DataFrame]:

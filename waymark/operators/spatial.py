@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import grid_corner, haversine_km
-from .network import settled
+from .tables import settled
 
 CELL_DEGREES, RINGS = 0.005, 8
 #: Kilometres of a degree of latitude.
@@ -53,7 +53,7 @@ def nearest(points: DataFrame, places: DataFrame, cell: float = CELL_DEGREES, ri
         safe = F.lit(cell >= 360) | (F.col("km") <= WIDE * cell * DEGREE_KM * F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + (WIDE + 1) * cell))))
         done.append(settled(found.filter(safe).drop("lat")))
         left = settled(left.join(done[-1].select(*key), key, "left_anti"))
-    out = done[0]
+    out = done[0] if done else _best(left, places, cell, 0, 0, by, True)  # nothing to look for, or nowhere
     for part in done[1:]:
         out = out.unionByName(part)
     return out if most_km is None else out.filter(F.col("km") <= most_km)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rescaled_walk
 from . import access, ranking
-from .network import settled
+from .tables import settled
 
 BUFFER_MINUTES = 1.0
 

@@ -614,6 +614,47 @@ def g7(spark, d):
     return demand.balanced_rounds(seed, rows, columns, 4).select("origin", "destination", F.round("value", 6).alias("value"))
 
 
+def _converged_sql(groups: bool) -> str:
+    """Scaling by turns, 150 times: each turn is a step of recursion with a window for each side."""
+    of = ", abs(origin - destination) % 3 AS grp" if groups else ""
+    keys = ["origin", "destination", *(["grp"] if groups else [])]
+    rows, inner = ", ".join(keys if groups else keys[:2]), "SELECT * FROM s"
+    for key in keys:
+        inner = f"SELECT n, {rows}, coalesce(value * target / nullif(sum(value) OVER (PARTITION BY {key}), 0), 0) AS value FROM ({inner}) JOIN t_{key} USING ({key})"
+    target = "seed" if groups else "od"
+    targets = ", ".join(f"t_{key} AS (SELECT {key}, sum(value) * 1.5::DOUBLE AS target FROM {target if key == 'grp' else 'od'} GROUP BY 1)" for key in keys[:2])
+    if groups:  # what the balanced matrix without groups has in each
+        return f"""WITH RECURSIVE {_OD}, seed AS (SELECT 0 AS n, origin, destination{of}, value * exp(-0.05::DOUBLE * abs(origin - destination)) AS value FROM od),
+  whole AS (SELECT sum(value) * 1.5::DOUBLE AS v FROM od), {targets}, t_grp AS (SELECT grp, v * sum(value) / sum(sum(value)) OVER () AS target FROM (SELECT abs(origin - destination) % 3 AS grp, value FROM od), whole GROUP BY grp, v),
+  s AS (SELECT * FROM seed UNION ALL SELECT n + 1, {rows}, value FROM ({inner}) WHERE n < 150) SELECT origin, destination, round(value, 4) AS value FROM s WHERE n = 150"""
+    return f"""WITH RECURSIVE {_OD}, {targets}, s AS (SELECT 0 AS n, origin, destination, value * exp(-0.05::DOUBLE * abs(origin - destination)) AS value FROM od UNION ALL SELECT n + 1, {rows}, value FROM ({inner}) WHERE n < 150)
+  SELECT origin, destination, round(value, 4) AS value FROM s WHERE n = 150"""
+
+
+def _margins(spark, d):
+    """Trips between nations, the seed that distance makes of them, and totals half as large again."""
+    od = network.settled(_od(spark, d))
+    seed = od.withColumn("value", F.col("value") * F.exp(-0.05 * F.abs(F.col("origin") - F.col("destination"))))
+    return od, seed, od.groupBy("origin").agg((F.sum("value") * 1.5).alias("row_target")), od.groupBy("destination").agg((F.sum("value") * 1.5).alias("column_target"))
+
+
+@query("g7_balanced", _converged_sql(False))
+def g7_converged(spark, d):
+    """Scaled by turns until rows and columns have their totals."""
+    _, seed, rows, columns = _margins(spark, d)
+    return demand.balanced(seed, rows, columns, tolerance=1e-6).select("origin", "destination", F.round("value", 4).alias("value"))
+
+
+@query("g8_balanced_groups", _converged_sql(True))
+def g8(spark, d):
+    """The same with a total for each of three groups of pairs too."""
+    od, seed, rows, columns = _margins(spark, d)
+    group = (F.abs(F.col("origin") - F.col("destination")) % 3).alias("group")
+    whole = od.agg(F.sum("value").alias("v"))
+    targets = od.groupBy(group).agg(F.sum("value").alias("own")).crossJoin(whole).select("group", (F.col("v") * 1.5 * F.col("own") / F.col("v")).alias("target"))
+    return demand.balanced(seed.select("*", group), rows, columns, targets, tolerance=1e-6).select("origin", "destination", F.round("value", 4).alias("value"))
+
+
 @query("x15_freight_access", f"WITH {PAIRS} SELECT s_suppkey AS node_id, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta FROM supplier JOIN pairs ON s_suppkey = zone_id WHERE before IS NOT NULL AND after IS NOT NULL")
 def x15(spark, d):
     p = I.pairs(spark, d)
@@ -671,10 +712,41 @@ def g3(spark, d):
 
 @query("g5_isochrone", _PATHS + " SELECT source, count(*) AS nodes FROM best WHERE minutes <= 20 GROUP BY 1")
 def g5(spark, d):
-    found = network.isochrone(network.shortest_paths(_roads(spark, d), _all_nodes(spark, d)), 20.0)
+    found = network.shortest_paths(_roads(spark, d), _all_nodes(spark, d), most=20.0)
     return found.groupBy("source").agg(F.count("*").alias("nodes"))
 
 
+@query("g6_stop_walks", f"""WITH RECURSIVE {_ROADS}, stops AS (SELECT s_nationkey AS stop, min(s_suppkey) AS node FROM supplier GROUP BY 1),
+  best(source, node, minutes) USING KEY (source, node) AS (SELECT node, node, 0::DOUBLE FROM stops
+    UNION SELECT b.source, r.v, min(b.minutes + r.minutes) FROM best b JOIN roads r ON r.u = b.node LEFT JOIN recurring.best o ON o.source = b.source AND o.node = r.v
+    WHERE b.minutes + r.minutes <= 25 AND (o.minutes IS NULL OR b.minutes + r.minutes < o.minutes - 1e-12) GROUP BY ALL)
+  SELECT a.stop AS from_stop, b.stop AS to_stop, round(minutes, 6) AS minutes FROM best JOIN stops a ON a.node = source JOIN stops b ON b.node = best.node WHERE a.stop <> b.stop""")
+def g6(spark, d):
+    """Walks of 25 minutes at the most between the first suppliers of nations."""
+    stops = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("stop_id")).agg(F.min("s_suppkey").alias("node"))
+    return network.walks_between(_roads(spark, d), stops, 25.0).withColumn("minutes", F.round("minutes", 6))
+
+
+def _equilibrium_sql(iterations: int) -> str:
+    """Averages of loads on shortest paths, unrolled."""
+    parts = [_ROADS, _FLOWS, "v0 AS (SELECT edge_id, 0::DOUBLE AS volume FROM roads)"]
+    for n in range(1, iterations + 1):
+        parts += [f"c{n} AS MATERIALIZED (SELECT r.edge_id, u, v, minutes * (1 + 0.15::DOUBLE * pow(volume / 20000.0::DOUBLE, 4)) AS cost FROM roads r JOIN v{n - 1} USING (edge_id))"]
+        parts += [f"""b{n}(source, node, minutes, path) USING KEY (source, node) AS (SELECT s_suppkey, s_suppkey, 0::DOUBLE, []::VARCHAR[] FROM supplier
+    UNION SELECT b.source, r.v, min(b.minutes + r.cost), arg_min(list_append(b.path, r.edge_id), b.minutes + r.cost) FROM b{n} b JOIN c{n} r ON r.u = b.node LEFT JOIN recurring.b{n} o ON o.source = b.source AND o.node = r.v
+    WHERE o.minutes IS NULL OR b.minutes + r.cost < o.minutes - 1e-12 GROUP BY ALL)"""]
+        parts += [f"l{n} AS (SELECT unnest(path) AS edge_id, value FROM flows JOIN b{n} ON origin = source AND destination = node)", f"w{n} AS (SELECT edge_id, sum(value) AS load FROM l{n} GROUP BY 1)"]
+        parts += [f"v{n} AS MATERIALIZED (SELECT edge_id, volume + (coalesce(load, 0) - volume) / {n} AS volume FROM v{n - 1} LEFT JOIN w{n} USING (edge_id))"]
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT edge_id, round(volume, 3) AS volume FROM v{iterations}"
+
+
+@query("g10_user_equilibrium", _equilibrium_sql(2))
+def g10(spark, d):
+    """Two rounds of successive averages; roads hold 20000."""
+    roads = _roads(spark, d).withColumn("capacity", F.lit(20000.0))
+    return network.user_equilibrium(roads, _flows(spark, d), iterations=2)[0].select("edge_id", F.round("volume", 3).alias("volume"))
+
+
 @query("g9_all_or_nothing", _PATHS + f""", {_FLOWS}, routed AS (SELECT unnest(path) AS edge_id, value FROM flows JOIN best ON origin = source AND destination = node)
   SELECT edge_id, round(coalesce(sum(value), 0), 4) AS volume FROM roads LEFT JOIN routed USING (edge_id) GROUP BY 1""")
 def g9(spark, d):
