@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import settled
+
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
@@ -30,6 +32,21 @@ def connections(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
     return ride.filter(F.col("to_stop").isNotNull())
 
 
+def numbered(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """``rows`` with place: 1..n within ``by``, in ``order``.
+
+    Rows are dealt by ranges of both, numbered within each part, and start
+    where the parts before them end; so one key may hold all rows.
+    """
+    parts = settled(rows.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    starts = sizes.select(F.col(by).alias("_by"), F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    met = parts.withColumn("_nth", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order)))
+    met = met.join(starts, met[by].eqNullSafe(starts["_by"]) & (met["_part"] == starts["_at"]))
+    return met.withColumn("place", F.col("_start") + F.col("_nth")).drop("_part", "_nth", "_by", "_at", "_start")
+
+
 def feed_errors(stops: DataFrame, trips: DataFrame, routes: DataFrame, stop_times: DataFrame) -> DataFrame:
     """(error): what is wrong with a feed, each message once."""
     told = lambda df, text, key: df.select(F.concat(F.lit(text), F.col(key).cast("string")).alias("error"))

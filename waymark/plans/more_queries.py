@@ -121,7 +121,7 @@ def u4(spark, d):
 @query("t1_scan_order", f"WITH {RIDES} SELECT trip_id, seq, row_number() OVER (PARTITION BY day ORDER BY dep, arr, trip_id, seq)::INT AS place FROM rides")
 def t1(spark, d):
     c = timetable.connections(I.stop_times(spark, d), I.trips(spark, d)).withColumn("day", F.split("trip_id", ":")[1])
-    return c.select("trip_id", "seq", F.row_number().over(Window.partitionBy("day").orderBy("dep", "arr", "trip_id", "seq")).alias("place"))
+    return timetable.numbered(c, "day", "dep", "arr", "trip_id", "seq").select("trip_id", "seq", F.col("place").cast("int").alias("place"))
 
 
 @query("t2_top_three", f"WITH {_DAY_RANKS} SELECT case_id, id, rank FROM ranks WHERE rank <= 3")

@@ -766,10 +766,14 @@ def t4(spark, d):
     return edges.join(longest, "way", "left_semi").select("edge_id", "way")
 
 
-@query("k2_point_features", f"""WITH {ZONES} SELECT zone_id::VARCHAR AS id, '{{"type":"Feature","id":"' || zone_id::VARCHAR || '","properties":{{"zone_id":' || zone_id::VARCHAR || ',"mesh":"' || mesh || '"}}}}' AS feature FROM zones""")
+@query("k2_point_features", f"""WITH {ZONES} SELECT zone_id::VARCHAR AS id, '{{"type":"Feature","id":"' || zone_id::VARCHAR || '","properties":{{"zone_id":' || zone_id::VARCHAR || ',"mesh":"' || mesh || '"}}}}' AS feature,
+  'Point' AS shape, round(lon, 9) AS lon, round(lat, 9) AS lat FROM zones""")
 def k2(spark, d):
+    """The text of each feature up to its geometry, and the geometry read back from it."""
     f = sinks.point_features(I.zones(spark, d), "zone_id", "zone_id", "mesh")
-    return f.select("id", F.concat(F.regexp_replace("feature", r',"geometry".*$', ""), F.lit("}")).alias("feature"))
+    at = lambda path: F.get_json_object("feature", f"$.geometry.{path}")
+    told = F.concat(F.regexp_replace("feature", r',"geometry".*$', ""), F.lit("}"))
+    return f.select("id", told.alias("feature"), at("type").alias("shape"), F.round(at("coordinates[0]").cast("double"), 9).alias("lon"), F.round(at("coordinates[1]").cast("double"), 9).alias("lat"))
 
 
 @query("k8_stable_id", """SELECT p_partkey, substr(sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size::VARCHAR || '}'), 1, 16) AS id FROM part""")
@@ -875,6 +879,18 @@ def f29(spark, d):
     return routes.select("n_nationkey", timetable.route_name(routes).alias("name"))
 
 
-@query("f30_named_routes", "SELECT n_nationkey::VARCHAR AS route_id FROM nation WHERE contains(n_name, 'AN')")
+@query("f30_named_routes", "SELECT n_nationkey::VARCHAR AS route_id FROM nation WHERE contains(n_name, '1')")
 def f30(spark, d):
-    return timetable.named_routes(table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("route_id"), F.col("n_name").alias("route_long_name")), "AN")
+    return timetable.named_routes(table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("route_id"), F.col("n_name").alias("route_long_name")), "1")
+
+
+@query("j11_registry_matches")
+def j11(spark, d):
+    """Parts as a registry of two kinds, and as places with names spelled another way: who is who, unless two places are too alike."""
+    word = F.translate(F.md5((F.col("p_partkey") / 2).cast("long").cast("string")), "0123456789", "ghijklmnop")
+    name, key = F.concat_ws(" ", F.substring(word, 1, 12), "p_name"), F.col("p_partkey")
+    parts = table(spark, d, "part").select(key, name.alias("name"), F.concat_ws("-", "p_brand", "p_size").alias("address"))
+    official = parts.select((key % 2).cast("int").alias("kind_order"), key.alias("row"), key.alias("official_id"), "name", "address")
+    spelled = F.when(key % 5 == 1, F.upper("name")).when(key % 5 == 2, F.concat(F.lit("old "), "name")).when(key % 5 == 3, F.concat(F.substring("name", 1, 6), F.lit("x"), F.substring("name", 7, 99))).when(key % 5 == 4, F.expr("left(name, length(name) - 1)")).otherwise(F.col("name"))
+    places = parts.select(key.alias("place_id"), spelled.alias("name"), "address")
+    return matching.unambiguous(matching.registry_scores(official, places)).select("official_id", "place_id", F.round("score", 6).alias("score"), "quality")
