@@ -237,3 +237,36 @@ def test_graph_building(spark):
     assert {e.edge_id for e in edges} == {"osm:1:0:fwd", "osm:1:1:fwd", "osm:2:0:fwd", "osm:2:0:rev"}
     assert {(e.speed_kmh, e.capacity) for e in edges if e.edge_id.startswith("osm:1")} == {(30.0, 1300.0)}
     assert {e.edge_id for e in network.walk_edges(ways).collect()} == {"walk:1:0:f", "walk:1:0:r", "walk:1:1:f", "walk:1:1:r"}
+
+
+def test_bounded_paths_and_features(spark):
+    """Costs in buckets: a bound for all and one for each source, zero costs, edges sorted, features drawn."""
+    r = random.Random(9)
+    rows = [(f"e{k}", str(r.randrange(30)), str(r.randrange(30)), float(r.choice([0, 1, 2, 5, 40])), 1.0) for k in range(140)]
+    cost = {}
+    for _, u, v, m, _ in rows:
+        cost[u, v] = min(m, cost.get((u, v), m))
+    far = {(a, b): 0.0 if a == b else cost.get((a, b), math.inf) for a in map(str, range(30)) for b in map(str, range(30))}
+    for k in map(str, range(30)):
+        for a in map(str, range(30)):
+            for b in map(str, range(30)):
+                far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    edges = spark.createDataFrame(rows, "edge_id string, u string, v string, minutes double, capacity double")
+    sources = spark.createDataFrame([("0", 6.0), ("7", 50.0)], "node string, most double")
+    for width in (3.0, None):
+        got = {(x.source, x.node): x.minutes for x in network.shortest_paths(edges, sources, most=20.0, width=width).collect()}
+        assert got == {(s, v): far[s, v] for s, m in (("0", 6.0), ("7", 20.0)) for v in map(str, range(30)) if far[s, v] <= m}
+    stops = spark.createDataFrame([("p", "0"), ("q", "7"), ("w", "7")], "stop_id string, node string")
+    walks = {(x.from_stop, x.to_stop): x.minutes for x in network.walks_between(edges, stops, 20.0).collect()}
+    node = {"p": "0", "q": "7", "w": "7"}
+    assert walks == {(a, b): far[node[a], node[b]] for a in node for b in node if a != b and far[node[a], node[b]] <= 20}
+    assert [x.edge_id for x in network.sorted_edges(edges).limit(3).collect()] == sorted(x[0] for x in rows)[:3]
+    ways = spark.createDataFrame([("way", 1, {"highway": "path", "name": "N"}, [(33.0, 132.0), (33.5, 132.5)]), ("way", 2, {}, [(33.0, 132.0)])], "type string, id long, tags map<string,string>, geometry array<struct<lat:double,lon:double>>")
+    assert [(x.id, x.feature) for x in network.road_features(ways).collect()] == [("osm:1", '{"type":"Feature","id":"osm:1","properties":{"highway":"path","name":"N"},"geometry":{"type":"LineString","coordinates":[[132.0,33.0],[132.5,33.5]]}}')]
+
+
+def test_nearest_of_nothing(spark):
+    kinds = ("point_id long, lat double, lon double", "place_id long, lat double, lon double")
+    points, places = spark.createDataFrame([(1, 33.0, 132.0)], kinds[0]), spark.createDataFrame([(1, 33.0, 132.0)], kinds[1])
+    for p, q in ((points.limit(0), places), (points, places.limit(0)), (points.limit(0), places.limit(0))):
+        assert spatial.nearest(p, q, rings=-1).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import settled
@@ -66,6 +66,46 @@ def feed_errors(stops: DataFrame, trips: DataFrame, routes: DataFrame, stop_time
     return out.distinct()
 
 
+# The columns that a feed has to have.
+FEED_COLUMNS = {
+    "stops.txt": ("stop_id", "stop_name", "stop_lat", "stop_lon"), "routes.txt": ("route_id", "route_short_name", "route_type"), "trips.txt": ("route_id", "service_id", "trip_id"),
+    "stop_times.txt": ("trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence"),
+}
+_WHOLE, _CLOCK = r"^\s*[+-]?\d+\s*$", r"^\s*[+]?\d+\s*:\s*[+]?0*[0-5]?\d\s*:\s*[+]?0*[0-5]?\d\s*$"
+
+
+def contract_errors(cells: DataFrame, feeds: DataFrame) -> DataFrame:
+    """(path, error): all that is wrong with each feed, each message once.
+
+    ``cells``: path, member, row, cells, as :func:`feeds.read_feeds` gives them;
+    ``feeds``: path of every feed, so that empty files are seen.
+    """
+    path = "path"
+    of = lambda member, *columns: cells.filter(F.col("member") == member).select(path, *[F.col("cells")[c].alias(c) for c in columns])
+    told = lambda df, text, key: df.select(path, F.concat(F.lit(text), F.coalesce(key if isinstance(key, Column) else F.col(key), F.lit("?"))).alias("error"))
+    needed = feeds.sparkSession.createDataFrame([(m, list(c)) for m, c in FEED_COLUMNS.items()], "member string, needed array<string>")
+    first = cells.filter("row = 0").select(path, "member", F.map_keys("cells").alias("has"))
+    heads = feeds.select(path).distinct().crossJoin(needed).join(first, [path, "member"], "left")  # a row for each of four files
+    absent = heads.filter("has is not null").select(path, "member", F.explode(F.array_except("needed", "has")).alias("column"))
+    stops, trips, times = of("stops.txt", "stop_id", "stop_lat", "stop_lon"), of("trips.txt", "trip_id", "route_id"), of("stop_times.txt", "trip_id", "stop_id", "stop_sequence", "arrival_time", "departure_time")
+    lat, lon = F.col("stop_lat").try_cast("double"), F.col("stop_lon").try_cast("double")
+    given = lat.isNotNull() & lon.isNotNull()
+    fits = F.coalesce(F.col("arrival_time").rlike(_CLOCK) & F.col("departure_time").rlike(_CLOCK) & F.col("stop_sequence").rlike(_WHOLE), F.lit(False))
+    twice = times.groupBy(path, "trip_id", "stop_sequence").agg(F.count("*").alias("n")).filter("n > 1")
+    unknown = lambda df, other, key: df.join(other.select(path, key).distinct(), [path, key], "left_anti")
+    parts = [
+        told(heads.filter("has is null"), "no rows: ", "member"), told(absent, "missing column: ", F.concat_ws("/", "member", "column")),
+        told(stops.filter(given & ~(lat.between(-90, 90) & lon.between(-180, 180))), "stop out of range: ", "stop_id"), told(stops.filter(~given), "no coordinate: ", "stop_id"),
+        told(unknown(trips, of("routes.txt", "route_id"), "route_id"), "trip without route: ", "trip_id"),
+        told(unknown(times, trips, "trip_id"), "stop time without trip: ", "trip_id"), told(unknown(times, stops, "stop_id"), "stop time without stop: ", "stop_id"),
+        told(times.filter(~fits), "stop time that does not parse: ", F.concat_ws("/", "trip_id", "stop_id")), told(twice, "repeated stop time: ", F.concat_ws("/", "trip_id", "stop_sequence")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def transfer_edges(stop_walk: DataFrame, stop_nodes: DataFrame, most: float = 10.0, buffer: float = 1.0) -> DataFrame:
     """(from_stop, to_stop, walk_minutes, transfer_minutes): stops that walk to each other's nodes in time; ``stop_walk``: stop_id, node, minutes, ``stop_nodes``: stop_id, node."""
     met = stop_walk.withColumnRenamed("stop_id", "from_stop").join(stop_nodes.withColumnRenamed("stop_id", "to_stop"), "node")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import access, demand, equity, matching, network, ranking, scenarios, spatial, sweep, timetable
-from ..sources import sinks
+from ..operators.tables import new_folder
+from ..sources import feeds, sinks
 from . import inputs as I
 from .inputs import FACILITIES, PAIRS, RIDES, SLOTS, ZONES, table
 
@@ -894,3 +895,35 @@ def j11(spark, d):
     spelled = F.when(key % 5 == 1, F.upper("name")).when(key % 5 == 2, F.concat(F.lit("old "), "name")).when(key % 5 == 3, F.concat(F.substring("name", 1, 6), F.lit("x"), F.substring("name", 7, 99))).when(key % 5 == 4, F.expr("left(name, length(name) - 1)")).otherwise(F.col("name"))
     places = parts.select(key.alias("place_id"), spelled.alias("name"), "address")
     return matching.unambiguous(matching.registry_scores(official, places)).select("official_id", "place_id", F.round("score", 6).alias("score"), "quality")
+
+
+@query("q1_feed_contract", f"""WITH {RIDES},
+  st AS (SELECT day, trip_id, user_id, s.ts, e.event_id % 30 AS stop, (seq % 12) AS n, CASE WHEN e.event_id % 97 = 0 THEN '8h' ELSE 'ok' END AS clock FROM stop_times s JOIN events e USING (user_id, ts)),
+  days AS (SELECT DISTINCT day FROM st), tr AS (SELECT DISTINCT day, trip_id, user_id FROM st WHERE user_id % 11 <> 0),
+  found AS (
+    SELECT day, 'stop out of range: ' || n_nationkey AS error FROM days, nation WHERE n_nationkey * 5 > 90 AND n_nationkey <> 7 UNION SELECT day, 'no coordinate: 7' FROM days WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 7)
+    UNION SELECT day, 'trip without route: ' || trip_id FROM tr WHERE user_id % 6 = 5 UNION SELECT day, 'stop time without trip: ' || trip_id FROM st WHERE user_id % 11 = 0
+    UNION SELECT day, 'stop time without stop: ' || stop FROM st WHERE stop NOT IN (SELECT n_nationkey FROM nation)
+    UNION SELECT day, 'stop time that does not parse: ' || trip_id || '/' || stop FROM st WHERE clock <> 'ok' UNION SELECT day, 'repeated stop time: ' || trip_id || '/' || n FROM st GROUP BY day, trip_id, n HAVING count(*) > 1
+    UNION SELECT day, 'missing column: routes.txt/route_type' FROM days)
+  SELECT day::VARCHAR AS feed, error FROM found""")
+def q1_contract(spark, d):
+    """A zipped feed for each service day, written from the tables, read back and checked."""
+    e, n = table(spark, d, "events"), table(spark, d, "nation")
+    rows = e.select(F.to_date("ts").cast("string").alias("feed"), "user_id", "event_id", "ts").withColumn("trip_id", F.concat_ws(":", "user_id", "feed"))
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("trip_id").orderBy("ts", "event_id")))
+    clock = F.when(F.col("event_id") % 97 == 0, "8h").otherwise(F.date_format("ts", "HH:mm:ss"))
+    days = rows.select("feed").distinct()
+    tables = {
+        "agency.txt": days.select("feed", F.lit("a").alias("agency_id")),
+        "stops.txt": days.crossJoin(n).select("feed", F.col("n_nationkey").alias("stop_id"), F.col("n_name").alias("stop_name"), (F.col("n_nationkey") * 5).alias("stop_lat"), F.when(F.col("n_nationkey") == 7, "x").otherwise("132.5").alias("stop_lon")),
+        "routes.txt": days.crossJoin(spark.range(5)).select("feed", F.concat(F.lit("r"), "id").alias("route_id"), F.lit("R").alias("route_short_name")),
+        "trips.txt": rows.filter("user_id % 11 <> 0").select("feed", F.concat(F.lit("r"), F.col("user_id") % 6).alias("route_id"), F.lit("w").alias("service_id"), "trip_id").distinct(),
+        "stop_times.txt": rows.select("feed", "trip_id", clock.alias("arrival_time"), clock.alias("departure_time"), (F.col("event_id") % 30).alias("stop_id"), (F.col("seq") % 12).alias("stop_sequence")),
+    }
+    path = new_folder(spark)
+    feeds.write_feeds(path, tables)
+    feed = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
+    cells = network.settled(feeds.read_feeds(spark, path, members=tuple(timetable.FEED_COLUMNS)))
+    found = timetable.contract_errors(cells, cells.select("path").distinct())
+    return found.select(feed.alias("feed"), "error")
