@@ -98,30 +98,46 @@ def feed_table(cells: DataFrame, member: str, *columns: str) -> DataFrame:
     return cells.filter(F.col("member") == member).select("row", *[F.col("cells")[c].alias(c) for c in columns])
 
 
+def csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV files in any of the known encodings."""
+    return _rows(spark.read.format("binaryFile").load(path), lambda name, content: _csv(name.rsplit("/", 1)[-1], content))
+
+
+def _sheets(content: bytes) -> Iterator[tuple[str, int, dict[int, str]]]:
+    """Rows of every sheet that are not empty: the sheet, the number of the row, and its cells by column."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        shared = []
+        if "xl/sharedStrings.xml" in archive.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+            target = targets[sheet.get(_REL)].lstrip("/")
+            for n, row in enumerate(ElementTree.fromstring(archive.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_MAIN}row")):
+                found = {k: v for k, v in (_cell(c, shared) for c in row.iter(f"{_MAIN}c")) if v.strip()}
+                if found:
+                    yield sheet.get("name"), n, found
+
+
 def workbook(spark: SparkSession, path: str) -> DataFrame:
     """Rows of every sheet (member) of workbooks, below each sheet's first row that is not empty."""
 
     def opened(_: str, content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            shared = []
-            if "xl/sharedStrings.xml" in archive.namelist():
-                shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-            targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
-            for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
-                target = targets[sheet.get(_REL)].lstrip("/")
-                header: dict[int, str] | None = None
-                for n, row in enumerate(ElementTree.fromstring(archive.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_MAIN}row")):
-                    found = {k: v for k, v in (_cell(c, shared) for c in row.iter(f"{_MAIN}c")) if v.strip()}
-                    if not found:
-                        continue
-                    if header is None:
-                        header = found
-                    else:
-                        yield sheet.get("name"), n, {name: found.get(k, "") for k, name in header.items()}
+        header: dict[str, dict[int, str]] = {}
+        for sheet, n, found in _sheets(content):
+            if sheet not in header:
+                header[sheet] = found
+            else:
+                yield sheet, n, {name: found.get(k, "") for k, name in header[sheet].items()}
 
     return _rows(spark.read.format("binaryFile").load(path), opened)
 
 
+def sheets(spark: SparkSession, path: str) -> DataFrame:
+    """(path, member, row, cells): every row of every sheet that is not empty, its cells by number of the column."""
+    rows = _rows(spark.read.format("binaryFile").load(path), lambda _, content: ((s, n, {str(k): v for k, v in found.items()}) for s, n, found in _sheets(content)))
+    return rows.withColumn("cells", F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(e["key"].cast("int").alias("key"), e["value"].alias("value")))))
+
+
 def _cell(cell, shared: list[str]) -> tuple[int, str]:
     column = 0
     for letter in re.match(r"[A-Z]+", cell.get("r"))[0]:
