@@ -277,6 +277,9 @@ def test_pages(spark, folder):
         ("<p hidden>a</p><p HIDDEN=''>b</p><p style='color:red; Display : NONE !important'>c</p><p style=visibility:hidden>d</p>e", "e"),
         ('<p style="display:none;display:block">a</p><p hidden style="display:block">b</p>', "a\n\nb"),
         ('<ol data-x=" start=7" start="3"><li>a</ol>', "3. a"),
+        ("<ol><li>a<li value=5>b<li>c<li value=x>d</ol>", "1. a\n5. b\n6. c\n7. d"),
+        ("<p>a<plaintext>b <i>c</i>\n</plaintext>  d", "a\n\nb <i>c</i>\n</plaintext>  d"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
         ("<table>one <tr><td>cell</td></tr> <b>two</b></table>end", "one two\n\ncell\n\nend"),
         ("<ul><li><table>s<tr><td>c</table></ul>", "- s\n\n  c"),
         ("<table><tr><table><tr><td>inner</td></tr></table></tr></table>", "inner"),

@@ -31,15 +31,15 @@ from .common import load
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
+RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base object audio video canvas datalist rp".split())
 #: Within a drawing or a formula: elements whose text is not shown.
 UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 #: What may stand in a head; all else ends it.
 IN_HEAD = frozenset("base link meta title style script template noscript noframes".split())
 FOREIGN = frozenset(["svg", "math"])
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl menu dir table figure fieldset article section hr".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p plaintext pre search section summary table ul".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre plaintext ul ol dl menu dir table figure fieldset article section hr".split())
 ENDS_P = BLOCK - frozenset("body html legend option optgroup".split())
 LISTS = frozenset("ul ol menu dir".split())
 PARTS = frozenset("thead tbody tfoot".split())
@@ -69,6 +69,8 @@ _ENDS = {
 _P_SCOPE = frozenset("table td th caption button object".split())
 _CELL_SCOPE = frozenset(["table", "td", "th", "caption"])
 _NOTHING: frozenset[str] = frozenset()
+# The most columns and rows that a cell can reach over.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: Cells of more characters do not widen their column.
 MOST_WIDTH = 200
 
@@ -143,7 +145,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str], bool]]:
         tag, (attributes, closed, at) = name[0].lower(), rest
         yield "end" if ends else "start", tag, attributes, closed
         if not ends and tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at) if tag != "plaintext" else None  # which nothing ends
             body = html[at : end.start()] if end else html[at:]
             yield "text", unescape(body) if tag in ("title", "textarea") else body, {}, False
             yield "end", tag, {}, False
@@ -297,9 +299,11 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     return out
 
 
-def _reach(attributes: dict[str, str], name: str) -> int:
+def _reach(attributes: dict[str, str], name: str, most: int) -> int:
+    """How many columns or rows a cell reaches over; of rows, 0 means all that follow."""
     found = _NUMBER.match(attributes.get(name, ""))
-    return min(1000, max(1, int(found[1][:9]))) if found else 1
+    reach = int(found[1][:9]) if found else 1
+    return most if reach == 0 and name == "rowspan" else min(most, max(1, reach))
 
 
 def render(html: str | None) -> str:
@@ -338,7 +342,7 @@ def render(html: str | None) -> str:
             elif tag == "hr" and visible:
                 sheets[-1].text("---", indent, False)
                 sheets[-1].block(2)
-            elif tag == "pre":
+            elif tag in ("pre", "plaintext"):
                 plain += 1
             elif tag in FOREIGN:
                 foreign += 1
@@ -350,6 +354,8 @@ def render(html: str | None) -> str:
             elif tag == "li":
                 mark = "- "
                 if lists and lists[-1][0]:
+                    value = _NUMBER.match(attributes.get("value", ""))
+                    lists[-1][1] = int(value[1]) if value else lists[-1][1]
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
                 sheets[-1].mark = mark if visible else ""
@@ -364,12 +370,12 @@ def render(html: str | None) -> str:
                 tables[-1]["rows"].append([])
             elif tag in ("td", "th", "caption") and tables:
                 sheets.append(Sheet())
-                tables[-1]["reach"].append((_reach(attributes, "colspan"), _reach(attributes, "rowspan")))
+                tables[-1]["reach"].append((_reach(attributes, "colspan", MOST_COLUMNS), _reach(attributes, "rowspan", MOST_ROWS)))
             continue
         states.pop()
         if gone:
             continue
-        if tag == "pre":
+        if tag in ("pre", "plaintext"):
             plain -= 1
         elif tag in FOREIGN:
             foreign -= 1
