@@ -164,7 +164,10 @@ def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
         held, size = [], 0
 
         def sent() -> pa.RecordBatch:
-            cells = np.sort(np.concatenate(held)) >> np.uint64(64 - bits)
+            cells = np.concatenate(held)
+            held.clear()  # one copy of the lot at a time
+            cells.sort()
+            cells >>= np.uint64(64 - bits)
             edges = np.searchsorted(cells, np.arange(1, ranges, dtype=np.uint64) << np.uint64(bits - ranges.bit_length() + 1))
             parts = [(k, packed_cells(part)) for k, part in enumerate(np.split(cells, edges)) if len(part)]
             none = pa.nulls(len(parts), pa.int64())
