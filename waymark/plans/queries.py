@@ -927,3 +927,31 @@ def q1_contract(spark, d):
     cells = network.settled(feeds.read_feeds(spark, path, members=tuple(timetable.FEED_COLUMNS)))
     found = timetable.contract_errors(cells, cells.select("path").distinct())
     return found.select(feed.alias("feed"), "error")
+
+
+# A way is an order, its points are the order's lines; tags follow from the order's key.
+_WAYS_SQL = """pts AS (SELECT l_orderkey AS id, row_number() OVER w - 1 AS i, 33 + (l_suppkey * 37 % 1000) / 1000.0::DOUBLE AS lat, 132 + (l_partkey * 13 % 1000) / 1000.0::DOUBLE AS lon,
+    lead(33 + (l_suppkey * 37 % 1000) / 1000.0::DOUBLE) OVER w AS lat2, lead(132 + (l_partkey * 13 % 1000) / 1000.0::DOUBLE) OVER w AS lon2 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+  seg AS (SELECT *, greatest(0.001::DOUBLE, 6371.0088::DOUBLE * 2 * asin(sqrt(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2)))) AS km FROM pts WHERE lat2 IS NOT NULL)"""
+
+
+def _ways(spark, d):
+    key, line = F.col("l_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey", (33 + F.col("l_suppkey") * 37 % 1000 / 1000.0).alias("lat"), (132 + F.col("l_partkey") * 13 % 1000 / 1000.0).alias("lon"))
+    rows = table(spark, d, "lineitem").groupBy(key.alias("id")).agg(F.transform(F.sort_array(F.collect_list(line)), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("geometry"))
+    nth = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("id") % n + 1).cast("int"))
+    tags = {"highway": nth(5, "primary", "secondary_link", "residential", "track", "motorway"), "oneway": nth(6, "yes", "-1", "no", "", "x", "y"), "maxspeed": nth(4, "40 mph", "none", "", "-")}
+    tags |= {"lanes": nth(3, "2; 3", "", "many"), "foot": nth(8, "no", *["yes"] * 7), "access": nth(9, "private", *["yes"] * 8)}
+    return rows.select(F.lit("way").alias("type"), "id", F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), v)]).alias("tags"), "geometry")
+
+
+@query("g1_road_graph", f"""WITH {_WAYS_SQL}, tagged AS (SELECT *, CASE WHEN id % 4 = 0 THEN 40.0 ELSE [50.0, 40.0, 25.0, 40.0, 80.0][id % 5 + 1] END::DOUBLE AS speed_kmh, CASE WHEN id % 3 = 0 THEN 2.0 ELSE [2.0, 1.0, 1.0, 1.0, 2.0][id % 5 + 1] END::DOUBLE * 650 AS capacity FROM seg),
+  ways AS (SELECT *, unnest(CASE id % 6 WHEN 0 THEN ['fwd'] WHEN 1 THEN ['rev'] ELSE ['fwd', 'rev'] END) AS way, printf('n:%.7f:%.7f', lat, lon) AS a, printf('n:%.7f:%.7f', lat2, lon2) AS b FROM tagged)
+  SELECT 'osm:' || id || ':' || i || ':' || way AS edge_id, CASE way WHEN 'fwd' THEN a ELSE b END AS u, CASE way WHEN 'fwd' THEN b ELSE a END AS v, round(km, 6) AS length_km, speed_kmh, capacity, round(km / speed_kmh * 60, 6) AS minutes FROM ways""")
+def g1(spark, d):
+    return network.road_edges(_ways(spark, d)).withColumns({"length_km": F.round("length_km", 6), "minutes": F.round("minutes", 6)})
+
+
+@query("g2_walk_graph", f"""WITH {_WAYS_SQL}, ways AS (SELECT *, unnest(['f', 'r']) AS way, printf('w:%.7f:%.7f', lat, lon) AS a, printf('w:%.7f:%.7f', lat2, lon2) AS b FROM seg WHERE id % 5 <> 4 AND id % 8 <> 0 AND id % 9 <> 0)
+  SELECT 'walk:' || id || ':' || i || ':' || way AS edge_id, CASE way WHEN 'f' THEN a ELSE b END AS u, CASE way WHEN 'f' THEN b ELSE a END AS v, round(km, 6) AS length_km, round(km / 4.8::DOUBLE * 60, 6) AS minutes FROM ways""")
+def g2(spark, d):
+    return network.walk_edges(_ways(spark, d)).withColumns({"length_km": F.round("length_km", 6), "minutes": F.round("minutes", 6)})
