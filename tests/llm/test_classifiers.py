@@ -64,7 +64,7 @@ def test_a_long_text_leaves_room_for_others(spark, folder, prose, monkeypatch):
     d = folder(documents=rows, labels=labels)
     docs, told = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, told, most_chars=20_000_000)
-    small = toxicity.fit(docs, told, most_chars=1_000_000)  # 1,000 characters of each text
+    small = toxicity.fit(docs, told, most_chars=1_000_000)  # 4,000 characters of each text
     for m in (model, small):
         scores = {i: m.score(t) for i, t, *_ in rows[:100]}
         bad = [s for i, s in scores.items() if i % 4 == 0]

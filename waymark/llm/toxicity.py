@@ -12,7 +12,7 @@ calibrated on labelled documents that the dictionaries have not seen.
 
 The classifier is fitted on at most ``MOST_ROWS`` labelled documents of each
 class and ``MOST_CHARS`` characters of them, those whose hashed ids come first;
-of a long text the first ``MOST_CHARS / SHARE`` characters (16,000) are learned
+of a long text the first ``MOST_CHARS / SHARE`` characters (64,000) are learned
 from.  Everything else covers all rows, and whole texts are scored.
 
 Cases: null text counts as empty, which has no window and the score of that;
@@ -45,7 +45,7 @@ MOST_ROWS = 4000
 #: Characters of their texts, at most.
 MOST_CHARS = 16_000_000
 #: Of these characters one text may have this part.
-SHARE = 1000
+SHARE = 250
 #: Bytes of a window, cut at the next space; so a word is whole.
 WINDOW = 64
 #: Bytes of the content of the ordinary dictionary, and of the toxic one before it is thinned out.
