@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from waymark.llm import language_mix, toxicity
 
 
@@ -27,6 +29,67 @@ def test_language_never_sees_the_held_out(spark, folder, prose):
     assert {r.lang_pred for r in language_mix.op4_language_mix(spark, folder(documents=rows)).collect()} == {"en"}
 
 
+def _dense(model, text):
+    """The same inference with whole tables, a cell of each language at a time."""
+    m, cell, count = len(model.languages), *language_mix.cells_of(text)
+    table = np.tile(model.unseen, (language_mix.CELLS, 1))
+    for c in range(language_mix.CELLS):
+        for k in range(model.start[c], model.start[c + 1]):
+            table[c, model.language[k]] += model.beyond[k]
+    assert np.allclose(table.sum(0), 1)
+    likely = table[cell]
+
+    def expected(some):
+        share = np.full(len(some), 1 / len(some))
+        for _ in range(language_mix.ROUNDS):
+            part = likely[:, some] * share
+            fresh = (count[:, None] * part / part.sum(1, keepdims=True)).sum(0) / count.sum()
+            still, share = np.abs(fresh - share).max() < language_mix.STILL, fresh
+            if still:
+                break
+        return share, (count * np.log(likely[:, some] @ share)).sum()
+
+    levels = [expected([k])[1] for k in range(m)]
+    chosen, best, fine = [int(np.argmax(levels))], max(levels), language_mix.PENALTY * np.log(count.sum())
+    for k in np.argsort(-expected(list(range(m)))[0], kind="stable").tolist():
+        if k not in chosen:
+            level = expected([*chosen, k])[1]
+            if level - fine <= best:
+                break
+            chosen, best = [*chosen, k], level - fine
+    return {model.languages[k]: float(s) for k, s in zip(chosen, expected(chosen)[0], strict=True)}
+
+
+def test_language_against_whole_tables(spark, folder, prose):
+    stems = {"en": ("the", "ing", "ow", "sh"), "fr": ("eau", "ou", "é", "ti"), "de": ("sch", "ei", "ü", "ung")}
+    rows = [(i, prose(i, 60, stems[x]), x, None, None) for i, x in enumerate(list(stems) * 20)]
+    model = language_mix.fit(spark.read.parquet(folder(documents=rows) + "/documents.parquet"))
+    assert model.languages == ["de", "en", "fr"]
+    mixed = " ".join(prose(900 + k, 50, x) for k, x in enumerate(stems.values()))
+    long = " ".join(prose(500 + k, 3000, x) for k, x in enumerate(stems.values()))
+    for text in [*(t for _, t, *_ in rows[:9]), mixed, long, "zzz qqq", "É"]:
+        name, score, mixture = model.infer(text)
+        want = _dense(model, text)
+        assert mixture.keys() == want.keys() and all(abs(mixture[k] - want[k]) < 1e-9 for k in want), text[:40]
+        assert score == mixture[name] == max(mixture.values())
+    assert len(model.infer(long)[2]) == 3
+
+
+def test_any_number_of_languages(spark, folder, prose, monkeypatch):
+    """More languages than a task counts at once; repeated rows and a very long text get results like others."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {f"l{k:03}": tuple(random.Random(k).choice(letters) + random.Random(k + 7).choice(letters) + random.Random(9 * k + j).choice(letters) for j in range(4)) for k in range(300)}
+    rows = [(3 * k + j, prose(3 * k + j, 40, x), own, None, None) for k, (own, x) in enumerate(stems.items()) for j in range(3)]
+    docs = spark.read.parquet(folder(documents=rows) + "/documents.parquet")
+    monkeypatch.setattr(language_mix, "TABLES_AT_ONCE", 16)
+    model = language_mix.fit(docs)
+    assert len(model.languages) == 300 and (np.bincount(model.language, minlength=300) > 0).all()
+    got = [r.language for r in language_mix.with_language(docs.unionAll(docs.limit(5)), model).collect()]
+    assert sum(g.lang_pred == own for g, (_, _, own, *_) in zip(got, rows, strict=False)) > 0.95 * len(rows)
+    assert got[-5:] == got[:5]
+    assert model.infer(prose(77, 100_000, stems["l123"]))[0] == "l123"
+
+
 def _toxic(spark, folder, prose, n=400):
     r, rows, labels = random.Random(1), [], []
     for i in range(n):

@@ -29,8 +29,8 @@ from .common import in_parts, load
 UNKNOWN = "und"
 #: N-grams are three bytes of lower-cased text, hashed to so many cells.
 CELLS = 1 << 16
-#: Languages that a model can tell apart: their tables of half a megabyte each are gathered on the driver and sent to each task.
-MOST_LANGUAGES = 256
+#: Languages that a task counts at once; with more, what it has is passed on first.
+TABLES_AT_ONCE = 64
 #: Added to each cell's count before likelihoods are taken.
 SMOOTHING = 0.5
 #: A further language must raise the log-likelihood by so much times log(n-grams).
@@ -60,27 +60,47 @@ def cells_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return cell[first].astype(np.int64), np.diff(np.append(first, len(cell)))
 
 
-class LanguageModel:
-    """Log-likelihoods (cells x languages), and the inference of mixtures."""
+def expect(mixed, pull, n_languages: int, count: np.ndarray) -> tuple[np.ndarray, float]:
+    """(proportions, log-likelihood) of languages, by expectation-maximisation.
+
+    ``mixed`` gives the cells' likelihoods under proportions, ``pull`` what
+    weights of cells speak for each language.
+    """
+    n, share = count.sum(), np.full(n_languages, 1 / n_languages)
+    for _ in range(ROUNDS):
+        fresh = share * pull(count / mixed(share)) / n
+        still = np.abs(fresh - share).max() < STILL
+        share = fresh
+        if still:
+            break
+    return share, float(count @ np.log(mixed(share)))
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+
+class LanguageModel:
+    """Likelihoods of cells under languages, and the inference of mixtures.
+
+    A language gives each cell that it never had the same likelihood, so only
+    cells that it had are held, by cell: (language, likelihood beyond that of an
+    unseen cell).  That is at most ``CELLS`` entries of 12 bytes for a language,
+    whatever the number of rows learned from.
+    """
+
+    def __init__(self, languages: list[str], cell: np.ndarray, language: np.ndarray, n: np.ndarray):
+        order = np.lexsort((language, cell))
+        cell, language, n = cell[order], language[order], n[order].astype(float)
+        total = np.bincount(language, n, len(languages)) + SMOOTHING * CELLS
         self.languages = languages
-        smooth = counts + SMOOTHING
-        self.likely = (smooth / smooth.sum(0, keepdims=True)).astype(np.float64)
-        self.log = np.log(self.likely)
-
-    @staticmethod
-    def expect(likely: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, float]:
-        """(proportions, log-likelihood) of the languages in the columns of ``likely``."""
-        n, share = count.sum(), np.full(likely.shape[1], 1 / likely.shape[1])
-        for _ in range(ROUNDS):
-            mixed = likely @ share
-            fresh = share * ((count / mixed) @ likely) / n
-            if np.abs(fresh - share).max() < STILL:
-                share = fresh
-                break
-            share = fresh
-        return share, float(count @ np.log(likely @ share))
+        self.unseen = SMOOTHING / total
+        self.start = np.searchsorted(cell, np.arange(CELLS + 1))
+        self.language = language.astype(np.int32)
+        self.beyond = n / total[language]
+
+    def entries(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the cells, language, likelihood beyond that of an unseen cell), of what the languages had of ``cell``."""
+        size = self.start[cell + 1] - self.start[cell]
+        which = np.repeat(np.arange(len(cell)), size)
+        at = np.arange(len(which)) + np.repeat(self.start[cell] - np.append(0, np.cumsum(size)[:-1]), size)
+        return which, self.language[at], self.beyond[at]
 
     def infer(self, text: str | None) -> tuple[str, float, dict[str, float]]:
         """(language, its proportion, proportions of the chosen set)."""
@@ -89,47 +109,63 @@ class LanguageModel:
         cell, count = cells_of(text)
         if not len(cell):
             return UNKNOWN, 0.0, {}
-        alone = count @ self.log[cell]
+        m, many = len(cell), len(self.languages)
+        which, language, beyond = self.entries(cell)
+        alone = count.sum() * np.log(self.unseen) + np.bincount(language, count[which] * np.log1p(beyond / self.unseen[language]), many)
         chosen, share, best = [int(alone.argmax())], np.ones(1), float(alone.max())
-        if len(self.languages) > 1:
-            likely, fine = self.likely[cell], PENALTY * np.log(count.sum())
-            everything, _ = self.expect(likely, count)
+        if many > 1:
+            fine = PENALTY * np.log(count.sum())
+            everything, _ = expect(
+                lambda share: self.unseen @ share + np.bincount(which, beyond * share[language], m),
+                lambda weight: self.unseen * weight.sum() + np.bincount(language, beyond * weight[which], many),
+                many, count,
+            )
             for k in np.argsort(-everything, kind="stable").tolist():
                 if k in chosen:
                     continue
-                wider, level = self.expect(likely[:, [*chosen, k]], count)
+                some = [*chosen, k]
+                likely, place = np.tile(self.unseen[some], (m, 1)), np.full(many, -1)
+                place[some] = np.arange(len(some))
+                held = place[language] >= 0
+                likely[which[held], place[language[held]]] += beyond[held]
+                wider, level = expect(likely.dot, lambda weight, likely=likely: weight @ likely, len(some), count)
                 if level - fine <= best:
                     break
-                chosen, share, best = [*chosen, k], wider, level - fine
+                chosen, share, best = some, wider, level - fine
         top = int(share.argmax())
         return self.languages[chosen[top]], float(share[top]), {self.languages[k]: float(s) for k, s in zip(chosen, share, strict=True)}
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Counts over every row of ``train``; per language a table of ``CELLS`` counts reaches the driver.  More than ``MOST_LANGUAGES`` are refused."""
+    """Counts over every row of ``train``; what reaches the driver is a count for each cell that a language had."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for own, table in tables.items():
+                cell = np.flatnonzero(table)
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(table[cell])], ["lang", "cell", "n"])
+            tables.clear()
+
         for batch in in_parts(batches):
             for data, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cell, count = cells_of(data)
                 if own not in tables:
+                    if len(tables) == TABLES_AT_ONCE:
+                        yield from told()
                     tables[own] = np.zeros(CELLS, np.int64)
+                cell, count = cells_of(data)
                 tables[own][cell] += count
-        for own, table in tables.items():
-            cell = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array([own] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(table[cell])], ["lang", "cell", "n"])
+        yield from told()
 
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    if len(rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     sums = rows.mapInArrow(counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-    names = sums.column("lang").to_pylist()
-    languages = sorted(set(names))
-    table = np.zeros((CELLS, len(languages)))
+    own = sums.column("lang").combine_chunks().dictionary_encode()
+    names = own.dictionary.to_pylist()
+    languages = sorted(names)
     at = {x: k for k, x in enumerate(languages)}
-    table[sums.column("cell").to_numpy(), [at[x] for x in names]] = sums.column("n").to_numpy()
-    return LanguageModel(languages, table)
+    language = np.array([at[x] for x in names], np.int64)[own.indices.to_numpy()] if names else np.empty(0, np.int64)
+    return LanguageModel(languages, sums.column("cell").to_numpy(), language, sums.column("n").to_numpy())
 
 
 def with_language(df: DataFrame, model: LanguageModel, text: str = "text", out: str = "language") -> DataFrame:
