@@ -295,6 +295,26 @@ def test_visible_text_stays(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize("size", [10, 200, 201, 5000])
+def test_columns_stay_aligned_whatever_the_width(size):
+    """What stands right of a cell wider than its column goes to a line below; no row of the table is out of line."""
+    wide = "w" * size
+    lines = html_text.render(f"<table><tr><td>a<td>one<td>x<tr><td>{wide}<td>two<td>y<tr><td>b<td>three<td>z</table>").split("\n")
+    places = {next(line for line in lines if word in line).index(word) for word in ("one", "two", "three")}
+    assert places == {min(size, 200) + 2}
+    assert len({next(line for line in lines if line.endswith(word)).index(word) for word in "xyz"}) == 1
+    assert len(lines) == (3 if size <= 200 else 4) and sum(wide in line for line in lines) == 1
+
+
+def test_reversed_lists():
+    """Counted down from the number of items, or from where they start; lists within have numbers of their own."""
+    got = html_text.render("<ol reversed><li>a<li>b<ol><li>in<li>in2</ol><li hidden>no<li>c</ol><ol REVERSED start=9><li>d<li value=4>e<li>f</ol><ol><li>g<li>h</ol>")
+    assert [line.strip() for line in got.split("\n") if line] == ["3. a", "2. b", "1. in", "2. in2", "1. c", "9. d", "4. e", "3. f", "1. g", "2. h"]
+    assert html_text.render("<p>reversed<ol><li>a<li>b</ol>").endswith("1. a\n2. b")
+    table = html_text.render("<ol reversed><li>x<table><tr><td><ol reversed><li>p<li>q</ol></table><li>y</ol>")
+    assert all(mark in table for mark in ("2. x", "2. p", "1. q", "1. y"))
+
+
 def test_all_words_of_plain_pages_stay(prose):
     for seed in range(20):
         blocks = [prose(seed * 10 + k, 30) for k in range(6)]

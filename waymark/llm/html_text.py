@@ -50,6 +50,7 @@ _KEY = re.compile(r"=?[^\s/>=]*")
 _EQUALS = re.compile(r"\s*=\s*")
 _BARE = re.compile(r"[^\s>]*")
 _NUMBER = re.compile(r"\s*([+-]?\d+)")
+_REVERSED = re.compile("reversed", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: For a start tag: the elements it ends, and those beyond which it does not look.
 _ENDS = {
@@ -71,7 +72,7 @@ _CELL_SCOPE = frozenset(["table", "td", "th", "caption"])
 _NOTHING: frozenset[str] = frozenset()
 # The most columns and rows that a cell can reach over.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
-#: Cells of more characters do not widen their column.
+#: Columns are as wide as their widest cell, but no wider than this.  What stands right of a longer cell goes to a line below, at its column.
 MOST_WIDTH = 200
 
 
@@ -285,7 +286,7 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     width = [0] * len(starts)
     cells = [(bisect_left(starts, a), bisect_left(starts, b), lines) for own in placed for a, b, lines in own]
     for first, end, lines in sorted(cells, key=lambda c: c[1] - c[0]):
-        size = max((len(x) for x in lines if len(x) <= MOST_WIDTH), default=0)
+        size = min(MOST_WIDTH, max(map(len, lines), default=0))
         width[end - 1] += max(0, size - sum(width[first:end]) - 2 * (end - first - 1))
     offset = [0, *accumulate(w + 2 for w in width)]
     out = []
@@ -294,7 +295,11 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             line = ""
             for a, _, lines in own:
                 if n < len(lines) and lines[n]:
-                    line = (f"{line}  " if line else "").ljust(offset[bisect_left(starts, a)]) + lines[n]
+                    place = offset[bisect_left(starts, a)]
+                    if line and len(line) + 2 > place:
+                        out.append(line.rstrip(" "))
+                        line = ""
+                    line = line.ljust(place) + lines[n]
             out.append(line.rstrip(" "))
     return out
 
@@ -307,7 +312,18 @@ def _reach(attributes: dict[str, str], name: str, most: int) -> int:
 
 
 def render(html: str | None) -> str:
-    """The visible text of a page."""
+    """The visible text of a page.
+
+    A reversed list counts down from the number of its items, which are known once the page was laid out.
+    """
+    items: list[int] = []
+    text = _laid_out(html or "", items)
+    return _laid_out(html or "", items, known=True) if items and _REVERSED.search(html) else text
+
+
+def _laid_out(html: str, items: list[int], known: bool = False) -> str:
+    """The visible text; ``items`` takes up, or tells where ``known``, how many numbered items each list has, in the order of lists."""
+    opened = 0
     sheets, tables, lists = [Sheet()], [], []
     # Of each open element: whether it is taken out, whether its text is visible, whether it is closed details.
     states: list[tuple[bool, bool, bool]] = [(False, True, False)]
@@ -318,7 +334,7 @@ def render(html: str | None) -> str:
         """In a table, but in none of its cells: shown before the table, as browsers do."""
         return bool(tables) and len(sheets) == tables[-1]["sheets"]
 
-    for kind, tag, attributes in events(html or ""):
+    for kind, tag, attributes in events(html):
         gone, visible, closed = states[-1]
         if kind == "text":
             if gone or closed or not visible:
@@ -349,15 +365,21 @@ def render(html: str | None) -> str:
             elif tag == "text" and foreign:
                 sheets[-1].block(1)
             elif tag in LISTS:
-                start = _NUMBER.match(attributes.get("start", ""))
-                lists.append([tag == "ol", int(start[1]) if start else 1, indent])
+                start, down = _NUMBER.match(attributes.get("start", "")), known and "reversed" in attributes
+                if not known:
+                    items.append(0)
+                first = int(start[1]) if start else items[opened] if down else 1
+                lists.append([tag == "ol", first, indent, -1 if down else 1, opened])
+                opened += 1
             elif tag == "li":
                 mark = "- "
                 if lists and lists[-1][0]:
                     value = _NUMBER.match(attributes.get("value", ""))
                     lists[-1][1] = int(value[1]) if value else lists[-1][1]
                     mark = f"{lists[-1][1]}. "
-                    lists[-1][1] += 1
+                    lists[-1][1] += lists[-1][3]
+                    if not known:
+                        items[lists[-1][4]] += 1
                 sheets[-1].mark = mark if visible else ""
                 indent = (lists[-1][2] if lists else "") + " " * len(mark)
             elif tag in ("blockquote", "dd"):
