@@ -226,6 +226,8 @@ def test_versions(spark):
     assert state(sinks.rolled_back(v, "1")) == {"1": "active", "2": "archived", "3": "archived", "4": "active"}
     with pytest.raises(ValueError, match="did not pass"):
         sinks.approved(v, "3")
+    with pytest.raises(ValueError, match="did not pass"):
+        sinks.rolled_back(v, "3")
 
 
 def test_graph_building(spark):

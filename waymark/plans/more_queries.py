@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import access, network, ranking, spatial, timetable
-from ..sources import places
+from ..sources import places, sinks, versions
 from ..streaming.events import per_window
 from . import inputs as I
 from .inputs import FACILITIES, PAIRS, RIDES, SLOTS, ZONES, table
@@ -218,3 +218,61 @@ def _elements(spark, d):
 def s9(spark, d):
     found = places.facilities(_elements(spark, d))
     return found.select("place_id", "name", "amenity", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+@query("q8_staged", """SELECT p_partkey, p_brand AS dataset_id, sha256(p_name) AS checksum, p_brand || '-' || substr(sha256(p_name), 1, 12) AS version_id,
+  CASE WHEN p_size > 5 THEN 'passed' ELSE 'failed' END AS validation_status, CASE WHEN p_size > 5 THEN 'validated' ELSE 'candidate' END AS status FROM part""")
+def q8_staged(spark, d):
+    files = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("dataset_id"), F.col("p_name").alias("content"), "p_size")
+    return versions.staged(files, F.col("p_size") > 5).drop("p_size")
+
+
+_LOG = """log AS (SELECT 'd' || (l_partkey % 50)::VARCHAR AS dataset_id, 'p' || l_partkey::VARCHAR AS version_id, l_orderkey * 10 + l_linenumber AS "at", ['stage', 'approve', 'stage', 'rollback'][(l_orderkey + l_linenumber) % 4 + 1] AS action,
+  CASE WHEN l_partkey % 5 <> 0 THEN 'passed' ELSE 'failed' END AS validation_status FROM lineitem),
+seen AS (SELECT *, count(*) FILTER (action = 'stage') OVER (PARTITION BY version_id ORDER BY "at" ROWS UNBOUNDED PRECEDING) > 0 AS known FROM log)"""
+
+
+def _log(spark, d):
+    """Lines of orders as what was done with versions, which are parts."""
+    actions = F.array(*map(F.lit, ("stage", "approve", "stage", "rollback")))
+    return table(spark, d, "lineitem").select(
+        F.concat(F.lit("d"), F.col("l_partkey") % 50).alias("dataset_id"), F.concat(F.lit("p"), "l_partkey").alias("version_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"),
+        F.element_at(actions, ((F.col("l_orderkey") + F.col("l_linenumber")) % 4 + 1).cast("int")).alias("action"), F.when(F.col("l_partkey") % 5 != 0, "passed").otherwise("failed").alias("validation_status"),
+    )
+
+
+@query("q8_lifecycle", f"""WITH {_LOG}, done AS (SELECT * FROM seen WHERE action = 'stage' OR known AND validation_status = 'passed'),
+  own AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY "at" DESC) = 1), staged AS (SELECT version_id, max("at") AS staged_at FROM done WHERE action = 'stage' GROUP BY 1),
+  acts AS (SELECT dataset_id, max("at") AS newest, max("at") FILTER (action = 'rollback') AS back FROM done WHERE action <> 'stage' GROUP BY 1)
+  SELECT dataset_id, version_id, staged_at, validation_status, CASE WHEN action <> 'stage' THEN CASE WHEN "at" = newest THEN 'active' ELSE 'archived' END WHEN back > "at" THEN 'archived' WHEN validation_status = 'passed' THEN 'validated' ELSE 'candidate' END AS status
+  FROM own JOIN staged USING (version_id) LEFT JOIN acts USING (dataset_id)""")
+def q8_lifecycle(spark, d):
+    return versions.lifecycle(_log(spark, d))
+
+
+@query("q8_refused", f"""WITH {_LOG} SELECT dataset_id, version_id, "at", action, CASE WHEN known THEN 'not passed' ELSE 'unknown' END AS reason FROM seen WHERE action <> 'stage' AND NOT (known AND validation_status = 'passed')""")
+def q8_refused(spark, d):
+    return versions.refused(_log(spark, d))
+
+
+@query("k7_manifests", """SELECT '1.0.0' AS schema_version, s_name AS artifact_id, substr('ABCD', s_nationkey % 4 + 1, 1) AS classification, 'm' || (s_suppkey % 3)::VARCHAR AS model_version, '{"limit":' || (s_suppkey % 7)::VARCHAR || '}' AS parameters,
+  0 AS inputs, s_suppkey % 2 AS limitations, CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey END AS random_seed, true AS dated FROM supplier""")
+def k7(spark, d):
+    artifacts = table(spark, d, "supplier").select(
+        F.col("s_name").alias("artifact_id"), F.substring(F.lit("ABCD"), F.col("s_nationkey") % 4 + 1, F.lit(1)).alias("classification"), F.concat(F.lit("m"), F.col("s_suppkey") % 3).alias("model_version"),
+        F.struct((F.col("s_suppkey") % 7).alias("limit")).alias("parameters"), F.when(F.col("s_suppkey") % 2 == 1, F.col("s_suppkey")).alias("random_seed"), F.when(F.col("s_suppkey") % 2 == 1, F.array(F.lit("sampled"))).alias("limitations"),
+    )
+    made = sinks.manifest(artifacts)
+    dated = F.col("generated_at_utc").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00$")
+    return made.select("schema_version", "artifact_id", "classification", "model_version", F.to_json("parameters").alias("parameters"), F.size("input_data_versions").alias("inputs"), F.size("limitations").alias("limitations"), "random_seed", dated.alias("dated"))
+
+
+@query("k9_merged_manifests", """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'map,map,' || CASE WHEN s_suppkey % 3 = 1 THEN 'n' ELSE 'rank' END || ',' END || CASE WHEN s_suppkey % 3 = 2 THEN 'n2' ELSE 'rank,n2' END AS capabilities,
+  's' || (s_nationkey % 2)::VARCHAR || '.json' || CASE WHEN s_nationkey % 2 = 0 THEN ',s1.json' ELSE '' END AS artifacts, 'A1.12' AS analysis_result_stage, 'A1.13' AS ui_release_stage FROM supplier""")
+def k9_merged(spark, d):
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey") % 3
+    has = F.when(k == 1, F.array(F.lit("map"), F.lit("map"), F.lit("n"))).when(k == 2, F.array(F.lit("map"), F.lit("map"), F.lit("rank")))
+    rows = s.select("s_suppkey", F.lit("A1.12").alias("result_stage"), has.alias("ui_capabilities"), F.array(F.concat(F.lit("s"), F.col("s_nationkey") % 2, F.lit(".json"))).alias("artifacts"))
+    merged = sinks.merged_manifests(rows, "A1.12", "A1.13", F.array(F.lit("rank"), F.lit("n2")), F.array(F.lit("s1.json")))
+    return merged.select("s_suppkey", F.array_join("ui_capabilities", ",").alias("capabilities"), F.array_join("artifacts", ",").alias("artifacts"), "analysis_result_stage", "ui_release_stage")

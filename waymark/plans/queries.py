@@ -801,9 +801,9 @@ def q8(spark, d):
     return sinks.approved(_versions(spark, d), "v3").select("dataset_id", "version_id", "status")
 
 
-@query("q8_rolled_back", f"WITH {_VERSIONS} SELECT dataset_id, version_id, CASE WHEN version_id = 'v4' THEN 'active' WHEN dataset_id = (SELECT dataset_id FROM v WHERE version_id = 'v4') THEN 'archived' ELSE status END AS status FROM v")
+@query("q8_rolled_back", f"WITH {_VERSIONS} SELECT dataset_id, version_id, CASE WHEN version_id = 'v6' THEN 'active' WHEN dataset_id = (SELECT dataset_id FROM v WHERE version_id = 'v6') THEN 'archived' ELSE status END AS status FROM v")
 def q8b(spark, d):
-    return sinks.rolled_back(_versions(spark, d), "v4").select("dataset_id", "version_id", "status")
+    return sinks.rolled_back(_versions(spark, d), "v6").select("dataset_id", "version_id", "status")
 
 
 @query("q9_classification", "SELECT n_nationkey, substr('ABCDE', n_nationkey % 5 + 1, 1) AS classification FROM nation WHERE n_nationkey % 5 = 4")

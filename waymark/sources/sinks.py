@@ -48,8 +48,42 @@ def provenance_errors(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.coalesce(F.col("classification").isin(*CLASSES), F.lit(False)))
 
 
+def manifest(artifacts: DataFrame, git_sha: str | None = None) -> DataFrame:
+    """Provenance of each artifact (artifact_id, classification, model_version, parameters); what else it does not have is empty.
+
+    Another classification than those known is an error when the rows are read.
+    """
+    none = {
+        "input_data_versions": F.expr("cast(array() as array<map<string,string>>)"), "scenario_id": F.lit(None).cast("string"),
+        "random_seed": F.lit(None).cast("long"), "limitations": F.expr("cast(array() as array<string>)"),
+    }
+    own = lambda c: F.coalesce(F.col(c), none[c]) if c in artifacts.columns else none[c]
+    right = F.coalesce(F.col("classification").isin(*CLASSES), F.lit(False))
+    return artifacts.select(
+        F.lit("1.0.0").alias("schema_version"), "artifact_id",
+        F.when(right, F.col("classification")).otherwise(F.raise_error(F.lit("classification must be A, B, C, or D"))).alias("classification"),
+        own("input_data_versions").alias("input_data_versions"), "model_version", own("scenario_id").alias("scenario_id"), "parameters",
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("generated_at_utc"),
+        F.lit(git_sha).cast("string").alias("git_sha"), own("random_seed").alias("random_seed"), own("limitations").alias("limitations"),
+    )
+
+
 def ordered_union(a: Column, b: Column) -> Column:
-    return F.array_distinct(F.concat(a, b))
+    """``a`` followed by what else is in ``b``, in its order; null is empty."""
+    some = F.coalesce(a, F.filter(b, lambda _: F.lit(False)))
+    return F.coalesce(F.concat(some, F.array_except(b, some)), some)
+
+
+def merged_manifests(manifests: DataFrame, result_stage: str, ui_release_stage: str, capabilities: Column, artifacts: Column) -> DataFrame:
+    """``manifests`` with capabilities and artifacts added and both stages stated; one that is at another result stage is an error when the rows are read."""
+    same = F.col("result_stage").eqNullSafe(F.lit(result_stage))
+    changed = F.raise_error(F.concat(F.lit(f"manifest result stage changed: expected {result_stage}, got "), F.coalesce("result_stage", F.lit("none"))))
+    return manifests.withColumns({
+        "ui_capabilities": ordered_union(F.col("ui_capabilities"), capabilities),
+        "artifacts": ordered_union(F.col("artifacts"), artifacts),
+        "analysis_result_stage": F.when(same, F.lit(result_stage)).otherwise(changed),
+        "ui_release_stage": F.lit(ui_release_stage),
+    })
 
 
 def approved(versions: DataFrame, version_id: str) -> DataFrame:
@@ -62,8 +96,8 @@ def approved(versions: DataFrame, version_id: str) -> DataFrame:
 
 
 def rolled_back(versions: DataFrame, version_id: str) -> DataFrame:
-    """The version becomes active; every other one of its dataset is archived."""
-    own = versions.filter(F.col("version_id") == version_id).select("dataset_id").first()
-    if own is None:
-        raise ValueError(f"{version_id} is unknown")
+    """The version becomes active; every other one of its dataset is archived.  Raises unless its validation passed."""
+    own = versions.filter(F.col("version_id") == version_id).select("dataset_id", "validation_status").first()
+    if own is None or own.validation_status != "passed":
+        raise ValueError(f"{version_id} is unknown or did not pass")
     return versions.withColumn("status", F.when(F.col("version_id") == version_id, "active").when(F.col("dataset_id") == own.dataset_id, "archived").otherwise(F.col("status")))
