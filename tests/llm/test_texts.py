@@ -107,6 +107,22 @@ def test_frequencies_do_not_depend_on_how_they_are_gathered(spark, folder, prose
     assert len(once[0]) == 17 and known() == once
 
 
+def test_only_shingles_that_may_be_shared_are_sent(spark, folder, prose):
+    """Unlike texts send nearly nothing to the join, like ones what they share at least."""
+    docs = [(i, prose(700 + i, 200), None, None, None) for i in range(100)]
+    read = lambda: spark.read.parquet(folder(documents=docs) + "/documents.parquet").select("doc_id", "text")
+    sent = lambda d: {(r["token"], r["class"]) for r in ngram_join._first_prefixes(d, ngram_join.members(d)[1]).collect()}
+    whole = sum(len(ngram_join.shingles(t)) // 5 for _, t, *_ in docs)
+    assert len(sent(read())) < whole / 10
+    docs += [(1000 + i, t + " end", None, None, None) for i, t, *_ in docs[:20]]
+    orders = ngram_join.members(read())[1]
+    for _, t, *_ in docs[100:]:
+        a, b = ngram_join.shingles(t), ngram_join.shingles(t.removesuffix(" end"))
+        assert orders.shared(np.intersect1d(a, b)).all()
+    tokens = [t for t, _ in sent(read())]
+    assert sum(tokens.count(t) > 1 for t in set(tokens)) >= 20 * 30
+
+
 def test_each_order_leaves_fewer_pairs(spark, folder, prose):
     """Candidates of the first order, then those that pass one and two further ones, then those that are similar."""
     docs = []

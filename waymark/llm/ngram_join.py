@@ -8,7 +8,9 @@ prefixes under all other orders, as narrow arrays; only pairs that share a
 shingle under each order are joined with texts and verified.  All orders put frequent shingles last, each
 breaks ties by a hash of its own.  Frequencies are counted over all documents:
 a task sends its shingles as sorted, packed cells, and each range of cells is
-counted in one place.
+counted in one place.  A bitmap keeps which cells several rows have; shingles of
+other cells can meet nothing and are not sent to the join.  A full bitmap lets
+more shingles through, and loses none.
 
 Documents with equal sets form one class, and only classes are compared.  In a
 group of classes that share a shingle, each is first compared with one hub;
@@ -49,6 +51,8 @@ from .common import discard, in_parts, load, looked_up, mark, settled
 WORDS, LEAST = 5, 80
 #: Shingles known as frequent, at most, and the count from which they are; others are ordered by hash alone.
 FREQUENT, FREQUENT_FROM = 500_000, 16
+#: Bits of the bitmap that tells which shingles several rows have, at most: 32 MB.
+MOST_MARKS = 28
 #: Shingles that a task sorts at once, and about so many that are counted in one place.
 SORTED_AT, COUNTED_AT = 4_000_000, 8_000_000
 #: Classes of a group in a block, where its pairs are compared.
@@ -114,10 +118,15 @@ def class_of(found: np.ndarray) -> int:
 class Orders:
     """Several orders of all shingles: by the class of frequency, then by a hash."""
 
-    def __init__(self, cells: np.ndarray, levels: np.ndarray, bits: int):
+    def __init__(self, cells: np.ndarray, levels: np.ndarray, bits: int, marks: np.ndarray | None = None):
         at = np.argsort(cells)
         self.cells, self.levels = np.append(cells[at], np.uint64(0)), np.append(levels[at], 0)
-        self.shift = np.uint64(64 - bits)
+        self.shift, self.marks = np.uint64(64 - bits), np.full(1, 255, np.uint8) if marks is None else marks
+
+    def shared(self, found: np.ndarray) -> np.ndarray:
+        """False where no other row has the shingle; true where one has, and for some others."""
+        at = found >> np.uint64(64 - 2 - len(self.marks).bit_length())
+        return self.marks[at >> np.uint64(3)] >> (~at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
     def prefix(self, found: np.ndarray, k: int) -> np.ndarray:
         """The first shingles under order ``k``: so many that similar sets share one."""
@@ -158,6 +167,7 @@ def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
     about = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 6)
     ranges = max(32, 1 << math.ceil(math.log2(about / COUNTED_AT))) if about > COUNTED_AT else 32
     bits = min(56, max(32, about.bit_length() + 4))
+    marks = 1 << max(ranges.bit_length() + 2, min(MOST_MARKS, max(16, about.bit_length() - 1)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text_key", "class", "n", "range", "cells"]
@@ -189,21 +199,31 @@ def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
             yield sent()
 
     def often(part: pa.Table) -> pa.Table:
-        cells = np.sort(np.concatenate([unpacked_cells(x) for x in part.column("cells").to_pylist()]))
+        """Frequent cells of a range, and a row with the range and its part of the bitmap."""
+        here = part.column("range")[0].as_py()
+        cells = np.concatenate([unpacked_cells(x) for x in part.column("cells").to_pylist()])
+        cells.sort()
         begin = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
         met = np.diff(np.append(begin, len(cells)))
+        cells = cells[begin]
+        own = np.zeros(marks // ranges, bool)
+        own[(cells[met > 1] >> np.uint64(bits - marks.bit_length() + 1)) % np.uint64(len(own))] = True
         keep = met >= FREQUENT_FROM
-        return pa.table({"cell": pa.array(cells[begin[keep]].view(np.int64)), "met": pa.array(met[keep].astype(np.int64))})
+        frequent = pa.table({"cell": pa.array(cells[keep].view(np.int64)), "met": pa.array(met[keep].astype(np.int64)), "range": pa.nulls(keep.sum(), pa.int64()), "marks": pa.nulls(keep.sum(), pa.binary())})
+        return pa.concat_tables([frequent, pa.Table.from_pylist([{"range": here, "marks": np.packbits(own).tobytes()}], frequent.schema)])
 
     rows = settled(docs.select(F.col("doc_id").cast("long"), "text", text_key()).mapInArrow(read, "doc_id long, text_key long, class long, n long, range long, cells binary"))
-    counts = rows.filter("cells is not null").select("range", "cells").groupBy("range").applyInArrow(often, "cell long, met long")
-    top = counts.orderBy(F.desc("met"), "cell").limit(FREQUENT).toArrow()
+    counts = settled(rows.filter("cells is not null").select("range", "cells").groupBy("range").applyInArrow(often, "cell long, met long, range long, marks binary"))
+    top = counts.filter("met is not null").orderBy(F.desc("met"), "cell").limit(FREQUENT).toArrow()
+    found, size = np.zeros(marks // 8, np.uint8), marks // 8 // ranges
+    for part in counts.filter("marks is not null").select("range", "marks").toLocalIterator():
+        found[part["range"] * size : (part["range"] + 1) * size] = np.frombuffer(part["marks"], np.uint8)
     levels = np.log2(np.maximum(top.column("met").to_numpy(), 1)).astype(np.int64) if len(top) else np.empty(0, np.int64)
-    return rows.filter("n is not null").select("doc_id", "text_key", "class", "n"), Orders(top.column("cell").to_numpy().astype(np.int64).view(np.uint64), levels, bits)
+    return rows.filter("n is not null").select("doc_id", "text_key", "class", "n"), Orders(top.column("cell").to_numpy().astype(np.int64).view(np.uint64), levels, bits, found)
 
 
 def _first_prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
-    """(token, place, class): the first prefix of each class, once a task; the place is the position and the set's size."""
+    """(token, place, class): what the first prefix of each class may share with others, once a task; the place is the position and the set's size."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +235,10 @@ def _first_prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
                 if len(found) and (own := class_of(found)) not in seen:
                     seen.add(own)
                     first = shared.value.prefix(found, 0)
-                    tokens.append(first)
-                    places.append(np.arange(len(first)) << 32 | len(found))
-                    classes.append(np.full(len(first), own, np.int64))
+                    at = np.flatnonzero(shared.value.shared(first))
+                    tokens.append(first[at])
+                    places.append(at << 32 | len(found))
+                    classes.append(np.full(len(at), own, np.int64))
             if tokens:
                 arrays = [np.concatenate(tokens).view(np.int64), np.concatenate(places), np.concatenate(classes)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "place", "class"])
@@ -415,6 +436,12 @@ class Prepared:
         discard(self.docs.sparkSession, since)
         return found
 
+    def labels(self) -> DataFrame:
+        """(class, label): each linked class with the smallest class that links lead to."""
+        links = self.links(hub_pairs(self.shared))
+        more = self.links(cross_pairs(self.shared, settled(components(links))))
+        return settled(components(links.unionAll(more)))
+
 
 def _all_links(own: Prepared) -> DataFrame:
     """(one, other, one_rows, other_rows): every two classes that are similar enough, and the rows of each."""
@@ -449,9 +476,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     then with the smallest key; and for rows without a shingle.
     """
     own = Prepared(docs)
-    rows, links = own.rows, own.links(hub_pairs(own.shared))
-    more = own.links(cross_pairs(own.shared, settled(components(links))))
-    labels = settled(components(links.unionAll(more)))
+    rows, labels = own.rows, own.labels()
     by_row = F.struct("doc_id", "text_key")
     placed = looked_up(rows, labels, "class", by_row).withColumn("label", F.coalesce("label", "class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
