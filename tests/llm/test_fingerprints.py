@@ -63,6 +63,22 @@ def test_classes_against_brute_force(spark, folder, prose, odd):
     assert sorted(((r["doc_id"], r["class_id"]) for r in rows), key=str) == sorted(want, key=str)
 
 
+def test_no_link_is_lost_among_many_alike(spark, folder, prose):
+    """Pairs over the threshold among texts below it, with which they share most of their bands."""
+    base, docs = prose(900, 300).split(), []
+    for k in range(300):
+        words = list(base)
+        words[random.Random(k // 2).randrange(300)] = f"p{k // 2}"
+        for j in random.Random(1000 + k).sample(range(300), 3):
+            words[j] = f"q{k}"
+        docs.append((k, " ".join(words), None, None, None))
+    found = [sets(t) for _, t, *_ in docs]
+    links = [(a, b) for a in range(len(docs)) for b in range(a) if 100 * len(found[a] & found[b]) >= 80 * len(found[a] | found[b])]
+    assert len(links) > 40
+    classes = {r["doc_id"]: r["class_id"] for r in fingerprints.op11_fingerprints(spark, folder(documents=docs)).collect()}
+    assert [(a, b) for a, b in links if classes[a] != classes[b]] == []
+
+
 def test_likeness_estimates_jaccard(prose):
     print_of = lambda t: fingerprints.fingerprint(fingerprints.signature(shingles(t)))
     errors = []

@@ -1,21 +1,15 @@
-"""Document fingerprints by MinHash, and near copies by their bands.
+"""Document fingerprints by MinHash, and the classes of near copies.
 
 A text is a set of hashed word shingles.  Each of many universal hash functions
 x -> a * x + b mod 2**64, a odd, orders that set anew, all of them at once in
 numpy; the least values are the signature.  The fingerprint keeps a byte of
 each (b-bit minwise hashing); the share of equal bytes, less what chance gives,
-estimates the Jaccard similarity.  Some consecutive values together are a band.
-
-Near copies: texts with equal sets are one class; classes that share a band
-meet in a Spark join on bands, keys of many rows dealt into parts; the Jaccard
-similarity of each candidate pair is verified on the whole sets; linked classes
-form components.  Of a group that shares a band each class is compared with one
-hub only, the least under an order of the band's own, so a class meets up to 24
-others of its copies that chance picks, and large groups stay linear.  Pairs of
-similarity 0.8 share a band with probability 0.9999 (24 bands of 5 values), more
-similar ones nearly always.  Two classes that are linked with each other but
-with no hub of theirs can stay apart: classes are what is found this way, and
-``ngram_join`` is the exact join.
+estimates the Jaccard similarity.
+
+Near copies: texts with equal sets are one class; classes of which enough
+shingles are the same are linked, and linked classes form components.  A
+signature can miss a link, whatever its length, so links are those of the exact
+join of ``ngram_join``, none of which is lost.
 
 Texts next to each other by id come together by a range partitioning on id, text
 and place, sent compressed; only the edges of partitions need a second look.
@@ -40,12 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_bytes, load, looked_up, settled
-from .ngram_join import LEAST, class_of, components, mixed, one_text_each, shingles, text_key, verified
+from .common import discard, in_bytes, load, looked_up, mark, settled
+from .ngram_join import Prepared, class_of, mixed, shingles, text_key
 
-#: Bands of a signature, and values of a band.
-BANDS, ROWS = 24, 5
-PERMUTATIONS = BANDS * ROWS
+#: Values of a signature.
+PERMUTATIONS = 120
 #: Shingles that all functions are applied to at once: a megabyte of products.
 AT_ONCE = 1024
 #: Bytes of compressed texts that a task sorts, about.
@@ -53,14 +46,16 @@ TASK_BYTES = 32 << 20
 
 _FACTOR = (mixed(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 _SHIFT = mixed(np.arange(5001, 5001 + PERMUTATIONS, dtype=np.uint64))[:, None]
-_BAND = mixed(np.arange(9001, 9001 + BANDS, dtype=np.uint64))
 
 
 def signature(found: np.ndarray) -> np.ndarray:
     """The least value of each function over the hashed shingles; all ones where there are none."""
     least = np.full(PERMUTATIONS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    room = np.empty((PERMUTATIONS, min(AT_ONCE, len(found))), np.uint64)
     for at in range(0, len(found), AT_ONCE):
-        np.minimum(least, (_FACTOR * found[None, at : at + AT_ONCE] + _SHIFT).min(axis=1), out=least)
+        part = found[None, at : at + AT_ONCE]
+        values = np.multiply(_FACTOR, part, out=room[:, : part.shape[1]])
+        np.minimum(least, np.add(values, _SHIFT, out=values).min(axis=1), out=least)
     return least
 
 
@@ -69,14 +64,6 @@ def fingerprint(least: np.ndarray) -> bytes:
     return mixed(least).astype(np.uint8).tobytes()
 
 
-def bands(least: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of a signature; equal bands of different places have different keys."""
-    own, keys = mixed(least).reshape(BANDS, ROWS), _BAND.copy()
-    for k in range(ROWS):
-        keys = mixed(keys ^ own[:, k])
-    return keys
-
-
 def likeness(one: bytes, other: bytes) -> float:
     """The similarity that two fingerprints tell: 1 if they are equal, about 0 for unlike sets."""
     same = float(np.mean(np.frombuffer(one, np.uint8) == np.frombuffer(other, np.uint8)))
@@ -97,12 +84,12 @@ class _Row:
         self.text = zstandard.ZstdDecompressor().decompress(packed).decode()
         found = shingles(self.text)
         least = signature(found)
-        self.n, self.label = len(found), class_of(found) if len(found) else None
-        self.fingerprint, self.bands = fingerprint(least), bands(least).tobytes() if len(found) else None
+        self.label = class_of(found) if len(found) else None
+        self.fingerprint = fingerprint(least)
 
     def told(self, following: _Row | None = None) -> dict:
         """The columns of the row; those of the comparison where the next row is known."""
-        out = {"doc_id": self.doc_id, "text_key": self.text_key, "n_chars": len(self.text), "fingerprint": self.fingerprint, "class": self.label, "n": self.n, "bands": self.bands}
+        out = {"doc_id": self.doc_id, "text_key": self.text_key, "n_chars": len(self.text), "fingerprint": self.fingerprint, "class": self.label}
         if following is not None:
             changed = edited(self.text, following.text)
             own = self.fingerprint if changed == self.text else fingerprint(signature(shingles(changed)))
@@ -110,7 +97,7 @@ class _Row:
         return out
 
 
-_COLUMNS = "text_key long, n_chars long, fingerprint binary, class long, n long, bands binary, edited_sha256 binary, edited_fingerprint binary, near_edited double, near_next double"
+_COLUMNS = "text_key long, n_chars long, fingerprint binary, class long, edited_sha256 binary, edited_fingerprint binary, near_edited double, near_next double"
 _EDGES = "first int, last int, packed binary"
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
 
@@ -121,10 +108,10 @@ def _batch(rows: list[dict], doc_id: pa.DataType, columns: str) -> pa.RecordBatc
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, text_key, n_chars, fingerprint, class, n, bands, and the comparison with the next row.
+    """For each row of ``docs`` (doc_id, text): doc_id, text_key, n_chars, fingerprint, class, and the comparison with the next row.
 
     The next row is that with the next id; after the last comes the first.
-    Class and bands are null where there are no words.
+    The class is null where there are no words.
     """
     doc_id = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key(), F.monotonically_increasing_id().alias("place"))
@@ -171,37 +158,17 @@ def described(docs: DataFrame) -> DataFrame:
     return found.filter("last is null").drop("first", "last", "packed").unionByName(ends)
 
 
-def band_pairs(rows: DataFrame) -> DataFrame:
-    """(one, other): the classes of ``rows`` (class, n, bands) that share a band, each with the hub of it, where their sizes may be similar enough."""
-    keys = [F.conv(F.hex(F.substring("bands", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(BANDS)]
-    own = rows.filter("bands is not null").select("class", "n", F.explode(F.array(*keys)).alias("token"))
-    first = F.min(F.struct(F.xxhash64("class", "token").alias("order"), "class", "n")).alias("h")
-    hubs = own.groupBy("token").agg(first, F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("rows")).filter("least <> most")
-    hubs = settled(hubs.select("token", F.col("h.class").alias("hub"), F.col("h.n").alias("hub_n"), "rows"))
-    met = looked_up(own, hubs.drop("rows"), "token", F.col("class"), hubs.select("token", F.col("rows").alias("n")), how="inner")
-    big = (F.col("n") * 100 >= F.col("hub_n") * LEAST) & (F.col("hub_n") * 100 >= F.col("n") * LEAST)
-    return met.filter((F.col("class") != F.col("hub")) & big).select(F.least("class", "hub").alias("one"), F.greatest("class", "hub").alias("other")).distinct()
-
-
-def _links(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose whole sets are similar enough."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in in_bytes(batches, 1):
-            texts = [press.compress(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["class", "packed"])
-
-    pairs = settled(pairs)
-    kept = settled(one_text_each(docs, rows, pairs).mapInArrow(packed, "class long, packed binary").dropDuplicates(["class"]))
-    return settled(verified(pairs, kept))
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(class, label): each class of ``docs`` (doc_id, text) that is linked with others, with the smallest class that links lead to."""
+    since = mark()
+    labels = Prepared(docs).labels()
+    discard(docs.sparkSession, since)
+    return labels
 
 
-def with_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` of :func:`described`, of the same ``docs``, with class_id: the smallest id among the near copies that links lead to, its own included."""
-    own = rows.select("doc_id", "text_key", "class", "n", "bands")
-    labels = settled(components(_links(docs, own, band_pairs(own))))
-    least = settled(own.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+def with_classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` of :func:`described` with class_id: the smallest id among the near copies that links lead to, its own included."""
+    least = settled(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     placed = least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     lowest = placed.groupBy("label").agg(F.min("first").alias("class_id"))
     named = settled(placed.join(lowest, "label").filter("n > 1 or not (class_id <=> first)").select("class", "class_id"))
@@ -211,6 +178,7 @@ def with_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found = with_classes(docs, described(docs))
+    labels = near_copies(docs)
+    found = with_classes(described(docs), labels)
     digits = [F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
     return found.select("doc_id", "n_chars", *digits, "near_edited", "near_next", "class_id")
