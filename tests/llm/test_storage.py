@@ -1,7 +1,9 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from waymark.llm import media_chunks, warc
@@ -32,6 +34,29 @@ def test_store_is_written_and_verified(spark, folder, odd):
         media_chunks.with_features(media_chunks.read_back(lists, lost)).collect()
 
 
+def test_few_frames_are_sent(spark, folder):
+    """Chunks that come up once stay where they are cut: what is shuffled is small against what is stored."""
+    docs = [(i, "".join(random.Random(i).choices("0123456789abcdef", k=3000)), None, None, None) for i in range(400)]
+    docs += [(1000 + i, t, None, None, None) for i, t, *_ in docs[:5]]
+    path = folder(documents=docs)
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    moved = lambda: sum(stages().apply(k).shuffleWriteBytes() for k in range(stages().size()))
+    before = moved()
+    rows = media_chunks.op5_media_chunks(spark, path).collect()
+    assert len(rows) == 405 and sum(r.media_bytes for r in rows) > 600_000
+    assert moved() - before < 300_000
+
+
+def test_each_chunk_is_stored_once_with_or_without_marks(spark, folder, odd):
+    docs = spark.read.parquet(folder(documents=odd) + "/documents.parquet").select("doc_id", "text")
+    marks = media_chunks.again(media_chunks.recipes(docs, "text", "doc_id"))
+    met = Counter(hashlib.sha256(c).digest() for _, t, *_ in odd for c in media_chunks.chunks(media_chunks.padded((t or "").encode())))
+    bits = len(marks).bit_length() + 2
+    assert set(np.flatnonzero(np.unpackbits(marks))) == {int.from_bytes(d[:4], "big") >> (32 - bits) for d, n in met.items() if n > 1}
+    told = lambda *marks: sorted((bytes(r.digest), bytes(r.frame), r.whole, r.part) for r in media_chunks.store(docs, "text", *marks).collect())
+    assert told() == told(marks) == told(np.full_like(marks, 255)) and len(told()) == len({r[0] for r in told()})
+
+
 def test_no_payload(spark, folder):
     assert media_chunks.op5_media_chunks(spark, folder(documents=[])).collect() == []
 

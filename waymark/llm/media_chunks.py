@@ -5,6 +5,12 @@ compressed and stored once under its digest, and a payload is an ordered list
 of digests.  Lists and store are written to the shared folder; reading joins
 the lists to the store and verifies every payload.
 
+Few bytes move.  The lists tell which digests come up again, a bitmap keeps
+them, and chunks that it does not name are written where they are cut; only the
+others meet by digest, so that each is stored once.  A full bitmap sends more of
+them there, and changes nothing else.  A payload of a single chunk is read where
+the store has it; only the chunks of longer payloads are sent on.
+
 Cases: null text counts as empty and gives 64 zero bytes; repeated rows share
 one list; a chunk that many payloads hold is stored once, and is sent to each
 distinct payload only, lists that name it dealt into parts; very long texts are
@@ -33,6 +39,10 @@ BLOCK = 64
 #: Bytes of a chunk: at least, about in the mean beyond that, at most.
 SHORTEST, MEAN, LONGEST = 4096, 8192, 65536
 LEVEL = 9
+#: Bits of the bitmap of digests that come up again, at least and at most: 16 MB.
+LEAST_MARKS, MOST_MARKS = 16, 27
+#: Parts of the bitmap that are made apart from each other.
+MARKED_PARTS = 64
 
 #: A number for each byte value: splitmix64 of the byte.
 _x = (np.arange(1, 257, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -92,25 +102,62 @@ def recipes(media: DataFrame, payload: str | Column, *keep: str) -> DataFrame:
     return media.select(*keep, described(F.coalesce(column.cast("binary"), F.lit(b""))).alias("_r")).select(*keep, "_r.*")
 
 
-def store(media: DataFrame, payload: str | Column) -> DataFrame:
-    """Each distinct chunk once: digest, and its compressed bytes."""
+def _place(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:4], "big") >> (32 - bits)
+
+
+def again(lists: DataFrame) -> np.ndarray:
+    """A bitmap of the digests that come up more than once in ``lists``, by their first bits."""
+    n = lists.agg(F.sum(F.size("digests"))).first()[0] or 0
+    bits = min(MOST_MARKS, max(LEAST_MARKS, (16 * n).bit_length()))
+    size = (1 << bits) // MARKED_PARTS
+
+    def marked(part: pa.Table) -> pa.Table:
+        own = np.zeros(size, bool)
+        own[part.column("place").to_numpy() % size] = True
+        return pa.table({"part": part.column("part")[:1], "marks": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    place = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - bits)
+    met = lists.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    places = met.select(place.alias("place")).distinct().withColumn("part", F.floor(F.col("place") / size))
+    found = np.zeros(1 << (bits - 3), np.uint8)
+    for part in places.groupBy("part").applyInArrow(marked, "part long, marks binary").toLocalIterator():
+        found[part["part"] * size // 8 : (part["part"] + 1) * size // 8] = np.frombuffer(part["marks"], np.uint8)
+    return found
 
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
-        for batch in in_parts(batches):
-            digests, frames, seen = [], [], set()
-            for data in batch.column(0).to_pylist():
-                for chunk in chunks(padded(data)):
-                    digest = hashlib.sha256(chunk).digest()
-                    if digest not in seen:
-                        seen.add(digest)
-                        digests.append(digest)
-                        frames.append(press.compress(chunk))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(frames, pa.binary())], ["digest", "frame"])
 
+def store(media: DataFrame, payload: str | Column, marks: np.ndarray | None = None) -> DataFrame:
+    """Each distinct chunk once: digest, its compressed bytes, and whether it is a payload of its own and a part of a longer one.
+
+    ``marks`` is the bitmap of :func:`again` for the same payloads; without it all chunks meet by digest.
+    """
     column = F.col(payload) if isinstance(payload, str) else payload
-    found = media.select(F.coalesce(column.cast("binary"), F.lit(b"")).alias("payload")).mapInArrow(stored, "digest binary, frame binary")
-    return found.dropDuplicates(["digest"])
+    payloads = media.select(F.coalesce(column.cast("binary"), F.lit(b"")).alias("payload"))
+    shared = media.sparkSession.sparkContext.broadcast(marks)
+    bits = 0 if marks is None else len(marks).bit_length() + 2
+
+    def stored(repeated: bool):
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            press, marks = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True), shared.value
+            for batch in in_parts(batches):
+                frames: dict[bytes, list] = {}
+                for data in batch.column(0).to_pylist():
+                    parts = chunks(padded(data))
+                    for chunk in parts:
+                        digest = hashlib.sha256(chunk).digest()
+                        if digest not in frames:
+                            at = 0 if marks is None else _place(digest, bits)
+                            if (marks is None or bool(marks[at >> 3] >> (7 - (at & 7)) & 1)) != repeated:
+                                continue
+                            frames[digest] = [press.compress(chunk), False, False]
+                        frames[digest][1 + (len(parts) > 1)] = True
+                columns = zip(*frames.values(), strict=True) if frames else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((frames, *columns), (pa.binary(), pa.binary(), pa.bool_(), pa.bool_()), strict=True)], ["digest", "frame", "whole", "part"])
+
+        return payloads.mapInArrow(cut, "digest binary, frame binary, whole boolean, part boolean")
+
+    met = stored(True).groupBy("digest").agg(F.first("frame").alias("frame"), F.max("whole").alias("whole"), F.max("part").alias("part"))
+    return met if marks is None else stored(False).unionByName(met)
 
 
 def read_back(lists: DataFrame, chunk_store: DataFrame) -> DataFrame:
@@ -120,7 +167,7 @@ def read_back(lists: DataFrame, chunk_store: DataFrame) -> DataFrame:
     chunks of longer payloads are sent on.
     """
     parts = lists.select("payload_digest", "digests").dropDuplicates(["payload_digest"]).select("payload_digest", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("pos", "digest"))
-    joined = looked_up(parts, chunk_store, "digest", F.col("payload_digest"))
+    joined = looked_up(parts, chunk_store.select("digest", "frame"), "digest", F.col("payload_digest"))
     single = joined.filter("n_chunks = 1").select("payload_digest", F.array("frame").alias("frames"))
     longer = joined.filter("n_chunks > 1").groupBy("payload_digest").agg(F.sort_array(F.collect_list(F.struct("pos", "frame"))).alias("x"))
     return single.unionByName(longer.select("payload_digest", F.col("x.frame").alias("frames")))
@@ -152,8 +199,13 @@ def with_features(read: DataFrame) -> DataFrame:
 def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     lists = settled(recipes(docs, "text", "doc_id"))
-    features = with_features(read_back(lists, settled(store(docs, "text"))))
-    return looked_up(lists.select("doc_id", "n_bytes", "payload_digest"), features, "payload_digest", F.col("doc_id")).drop("payload_digest")
+    chunk_store = settled(store(docs, "text", again(lists)))
+    # The digest of a payload of one chunk is that of the chunk.
+    single = with_features(chunk_store.filter("whole").select(F.col("digest").alias("payload_digest"), F.array("frame").alias("frames")))
+    longer = with_features(read_back(lists.filter(F.size("digests") > 1), chunk_store.filter("part")))
+    found = looked_up(lists.select("doc_id", "n_bytes", "payload_digest"), single.unionByName(longer), "payload_digest", F.col("doc_id"))
+    lost = F.raise_error(F.concat(F.lit("payload "), F.lower(F.hex("payload_digest")), F.lit(" has a chunk that is not in the store")))
+    return found.withColumn("payload_sha256", F.when(F.col("payload_sha256").isNull(), lost).otherwise(F.col("payload_sha256"))).drop("payload_digest")
 
 
 def op5_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
