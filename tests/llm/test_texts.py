@@ -4,12 +4,13 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 import sentencepiece
 
-from waymark.llm import html_text, ngram_join, sentencepiece_codec, source_mix
+from waymark.llm import common, html_text, ngram_join, sentencepiece_codec, source_mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -97,6 +98,29 @@ def test_packed_cells_come_back():
         assert (ngram_join.unpacked_cells(ngram_join.packed_cells(cells)) == cells).all()
 
 
+def test_shingles_of_many_texts_are_held_once():
+    """Small arrays are gathered and sorted in the room of the lot; two copies at a time took twice that."""
+    lot, size = ngram_join.Lot(1 << 20), 1 << 12
+    parts = [np.random.default_rng(k).integers(0, 1 << 63, size, dtype=np.uint64) for k in range(1 << 8)]
+    tracemalloc.start()
+    try:
+        assert all(map(lot.add, parts)) and not lot.add(parts[0]) and lot.add(parts[0][:0])
+        found = lot.sorted()
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
+    assert (found == np.sort(np.concatenate(parts))).all() and lot.size == 0 and lot.add(parts[0])
+
+
+def test_what_tasks_free_is_given_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "given_back", lambda: given.append(1))
+    assert list(common.tidied(lambda x: (yield from x))(iter([1, 2]))) == [1, 2] and given == [1]
+    assert common.tidied(lambda x: x + 1)(1) == 2 and given == [1, 1]
+    monkeypatch.undo()
+    common.given_back()
+
+
 def test_frequencies_do_not_depend_on_how_they_are_gathered(spark, folder, prose, monkeypatch):
     docs = [(k, prose(k, 30) + " " + prose(9_999, 20), None, None, None) for k in range(60)]
     docs = spark.read.parquet(folder(documents=docs) + "/documents.parquet").repartition(7)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_parts, load
+from .common import given_back, in_parts, load, tidied
 
 UNKNOWN = "und"
 #: N-grams are three bytes of lower-cased text, hashed to so many cells.
@@ -159,7 +159,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMod
         yield from told()
 
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    sums = rows.mapInArrow(counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.mapInArrow(tidied(counted), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     own = sums.column("lang").combine_chunks().dictionary_encode()
     names = own.dictionary.to_pylist()
     languages = sorted(names)
@@ -176,6 +176,7 @@ def with_language(df: DataFrame, model: LanguageModel, text: str = "text", out:
     def inferred(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame([shared.value.infer(t) for t in part], columns=["lang_pred", "score", "mixture"])
+        given_back()
 
     return df.withColumn(out, inferred(F.col(text)))
 

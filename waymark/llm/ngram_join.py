@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, in_parts, load, looked_up, mark, settled
+from .common import discard, given_back, in_parts, load, looked_up, mark, settled, tidied
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, LEAST = 5, 80
@@ -62,8 +62,8 @@ MOST_SENT = 1_000_000
 #: Orders that a candidate must pass besides the first.
 FURTHER_ORDERS = 2
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: For each byte, whether it is white space.
+_SPACE = bytes(b in (32, 9, 10, 11, 12, 13) for b in range(256))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,28 +87,47 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return power(np.uint64(_STEP)), power(np.uint64(pow(_STEP, -1, 1 << 64)))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles.
+def placed_shingles(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of a text's shingles in their order, equal ones as often as they occur; and the begin and end of each word.
 
     A word's hash is a difference of running sums over the bytes, so words of
     any length are hashed at once.
     """
-    data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
+    space = np.frombuffer(b" ".join((b"", data, b"")).translate(_SPACE), np.bool_)
+    edge = np.flatnonzero(space[1:] != space[:-1])
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), begin, end
     up, down = _powers(max(17, (len(data) + 1).bit_length()))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    word = mixed((total[end] - total[begin]) * down[begin])
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    step = _BYTE[np.frombuffer(data, np.uint8)]
+    step *= up[: len(data)]
+    np.cumsum(step, out=total[1:])
+    word = total[end]
+    word -= total[begin]
+    word *= down[begin]
+    word = mixed(word)
     if len(word) < WORDS:
-        return mixed(np.array([(word * _PLACE[: len(word)]).sum() + np.uint64(len(word))], np.uint64))
+        return mixed(np.array([(word * _PLACE[: len(word)]).sum() + np.uint64(len(word))], np.uint64)), begin, end
     joined = word[: len(word) - WORDS + 1] * _PLACE[0]
     for k in range(1, WORDS):
         joined += word[k : len(word) - WORDS + 1 + k] * _PLACE[k]
-    return np.unique(mixed(joined))
+    return mixed(joined), begin, end
+
+
+def distinct(found: np.ndarray) -> np.ndarray:
+    """The values in order, each once."""
+    found = np.sort(found)
+    if len(found) < 2:
+        return found
+    fresh = found[1:] != found[:-1]
+    return found if fresh.all() else found[np.append(True, fresh)]
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles."""
+    return distinct(placed_shingles((text or "").encode("utf-8", "replace"))[0])
 
 
 def class_of(found: np.ndarray) -> int:
@@ -140,6 +159,27 @@ class Orders:
         return found[:first] if k == 0 else found[np.argpartition(key, first - 1)[:first]]
 
 
+class Lot:
+    """Room for the shingles of many texts, which are sorted where they lie; nothing is held twice."""
+
+    def __init__(self, most: int):
+        self.room, self.size = np.empty(most, np.uint64), 0
+
+    def add(self, found: np.ndarray) -> bool:
+        """Whether there was room."""
+        if self.size + len(found) > len(self.room):
+            return False
+        self.room[self.size : self.size + len(found)] = found
+        self.size += len(found)
+        return True
+
+    def sorted(self) -> np.ndarray:
+        """What was added; the room is free again once that is done with."""
+        found, self.size = self.room[: self.size], 0
+        found.sort()
+        return found
+
+
 def packed_cells(cells: np.ndarray) -> bytes:
     """Sorted cells as gaps, their bytes of one place together, compressed."""
     gaps = np.diff(cells)
@@ -171,13 +211,11 @@ def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text_key", "class", "n", "range", "cells"]
-        held, size = [], 0
+        lot = Lot(SORTED_AT)
 
-        def sent() -> pa.RecordBatch:
-            cells = np.concatenate(held)
-            held.clear()  # one copy of the lot at a time
-            cells.sort()
-            cells >>= np.uint64(64 - bits)
+        def sent(found: np.ndarray) -> pa.RecordBatch:
+            """Cells of sorted shingles, which are lost."""
+            cells = np.right_shift(found, np.uint64(64 - bits), out=found)
             edges = np.searchsorted(cells, np.arange(1, ranges, dtype=np.uint64) << np.uint64(bits - ranges.bit_length() + 1))
             parts = [(k, packed_cells(part)) for k, part in enumerate(np.split(cells, edges)) if len(part)]
             none = pa.nulls(len(parts), pa.int64())
@@ -189,14 +227,15 @@ def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
                 found = shingles(text)
                 counts.append(len(found))
                 classes.append(class_of(found) if len(found) else None)
-                held.append(found)
-                size += len(found)
-                if size > SORTED_AT:
-                    yield sent()
-                    held, size = [], 0
+                if lot.add(found):
+                    continue
+                if lot.size:
+                    yield sent(lot.sorted())
+                if not lot.add(found):
+                    yield sent(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(len(counts), pa.int64()), pa.nulls(len(counts), pa.binary())], names)
-        if size:
-            yield sent()
+        if lot.size:
+            yield sent(lot.sorted())
 
     def often(part: pa.Table) -> pa.Table:
         """Frequent cells of a range, and a row with the range and its part of the bitmap."""
@@ -204,16 +243,17 @@ def members(docs: DataFrame) -> tuple[DataFrame, Orders]:
         cells = np.concatenate([unpacked_cells(x) for x in part.column("cells").to_pylist()])
         cells.sort()
         begin = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-        met = np.diff(np.append(begin, len(cells)))
+        met = np.diff(begin, append=len(cells))
         cells = cells[begin]
+        del begin
         own = np.zeros(marks // ranges, bool)
         own[(cells[met > 1] >> np.uint64(bits - marks.bit_length() + 1)) % np.uint64(len(own))] = True
         keep = met >= FREQUENT_FROM
         frequent = pa.table({"cell": pa.array(cells[keep].view(np.int64)), "met": pa.array(met[keep].astype(np.int64)), "range": pa.nulls(keep.sum(), pa.int64()), "marks": pa.nulls(keep.sum(), pa.binary())})
         return pa.concat_tables([frequent, pa.Table.from_pylist([{"range": here, "marks": np.packbits(own).tobytes()}], frequent.schema)])
 
-    rows = settled(docs.select(F.col("doc_id").cast("long"), "text", text_key()).mapInArrow(read, "doc_id long, text_key long, class long, n long, range long, cells binary"))
-    counts = settled(rows.filter("cells is not null").select("range", "cells").groupBy("range").applyInArrow(often, "cell long, met long, range long, marks binary"))
+    rows = settled(docs.select(F.col("doc_id").cast("long"), "text", text_key()).mapInArrow(tidied(read), "doc_id long, text_key long, class long, n long, range long, cells binary"))
+    counts = settled(rows.filter("cells is not null").select("range", "cells").groupBy("range").applyInArrow(tidied(often), "cell long, met long, range long, marks binary"))
     top = counts.filter("met is not null").orderBy(F.desc("met"), "cell").limit(FREQUENT).toArrow()
     found, size = np.zeros(marks // 8, np.uint8), marks // 8 // ranges
     for part in counts.filter("marks is not null").select("range", "marks").toLocalIterator():
@@ -243,7 +283,7 @@ def _first_prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
                 arrays = [np.concatenate(tokens).view(np.int64), np.concatenate(places), np.concatenate(classes)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "place", "class"])
 
-    return docs.select("text").mapInArrow(read, "token long, place long, class long")
+    return docs.select("text").mapInArrow(tidied(read), "token long, place long, class long")
 
 
 def one_text_each(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -279,7 +319,7 @@ def shapes(docs: DataFrame, rows: DataFrame, orders: Orders, pairs: DataFrame) -
 
     own = one_text_each(docs, rows, pairs)
     more = "".join(f"further_{k} array<int>, " for k in range(FURTHER_ORDERS))
-    return settled(own.mapInArrow(read, f"class long, {more}packed binary").dropDuplicates(["class"]))
+    return settled(own.mapInArrow(tidied(read), f"class long, {more}packed binary").dropDuplicates(["class"]))
 
 
 def groups(docs: DataFrame, orders: Orders) -> DataFrame:
@@ -304,7 +344,7 @@ def groups(docs: DataFrame, orders: Orders) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tokens, places, classes, hubs, hub_places)], ["token", "place", "class", "hub", "hub_place"])
 
-    met = _first_prefixes(docs, orders).repartition("token").sortWithinPartitions("token", "place", "class").mapInArrow(grouped, "token long, place long, class long, hub long, hub_place long")
+    met = _first_prefixes(docs, orders).repartition("token").sortWithinPartitions("token", "place", "class").mapInArrow(tidied(grouped), "token long, place long, class long, hub long, hub_place long")
     size, pos = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftright(c, 32)
     return met.select("token", "class", size("place").alias("n"), pos("place").alias("pos"), "hub", size("hub_place").alias("hub_n"), pos("hub_place").alias("hub_pos"))
 
@@ -396,6 +436,8 @@ def verified(pairs: DataFrame, kept: DataFrame) -> DataFrame:
 
         for a, b in parts:
             yield pd.Series([linked(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+        whole.cache_clear()
+        given_back()
 
     return _both(pairs, kept, "packed").filter(similar("one_packed", "other_packed")).select("one", "other")
 
