@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import zstandard
 
 from waymark.llm import common, fingerprints
 from waymark.llm.ngram_join import shingles
@@ -99,6 +100,22 @@ def test_long_sets_in_blocks(prose, monkeypatch):
     assert [int(x) for x in fingerprints.signature(found[:200])[:5]] == naive
 
 
+def test_edited_form_is_not_hashed_anew(prose, monkeypatch):
+    """Words that stay are hashed once for both forms, wherever the cut falls; the fingerprints are those of whole texts."""
+    pack, own = zstandard.ZstdCompressor().compress, lambda t: fingerprints.fingerprint(fingerprints.signature(shingles(t)))
+    cases = ["", "a", "a b c d", "a b c d e", "a b c d e f g h", "aa bb cc dd ee ff        ", "A b\x0bc d \u00e9\u00e9\u00e9\u00e9\u00e9\u00e9 \u6587\u5b57 e f g", "x" * 40, " " * 40, "a b c d e " * 40, *[prose(k, 5 + k) for k in range(30)], "    ", "\u3000" * 9]
+    for a in cases:
+        for b in cases:
+            told = fingerprints._Row(1, 1, pack(a.encode())).told(fingerprints._Row(2, 2, pack(b.encode())))
+            assert (told["fingerprint"], told["edited_fingerprint"]) == (own(a), own(fingerprints.edited(a, b))), (a, b)
+    sizes, whole, following = [], prose(1, 4000), prose(2, 4000)
+    rows = [fingerprints._Row(k, k, pack(t.encode())) for k, t in enumerate((whole, following))]
+    hashed = fingerprints.signature
+    monkeypatch.setattr(fingerprints, "signature", lambda found: sizes.append(len(found)) or hashed(found))
+    rows[0].told(rows[1])
+    assert sum(sizes) < 0.4 * len(shingles(whole))
+
+
 def test_nothing_and_one(spark, folder):
     assert fingerprints.op11_fingerprints(spark, folder(documents=[])).collect() == []
     (row,) = fingerprints.op11_fingerprints(spark, folder(documents=[(None, "abcdefgh", None, None, 0)])).collect()

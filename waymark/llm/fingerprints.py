@@ -4,7 +4,9 @@ A text is a set of hashed word shingles.  Each of many universal hash functions
 x -> a * x + b mod 2**64, a odd, orders that set anew, all of them at once in
 numpy; the least values are the signature.  The fingerprint keeps a byte of
 each (b-bit minwise hashing); the share of equal bytes, less what chance gives,
-estimates the Jaccard similarity.
+estimates the Jaccard similarity.  A text and its edited form have most words in
+common: the signature of what both have is made once, and the lesser values of
+it and of the rest are those of either.
 
 Near copies: texts with equal sets are one class; classes of which enough
 shingles are the same are linked, and linked classes form components.  A
@@ -34,18 +36,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, in_bytes, load, looked_up, mark, settled
-from .ngram_join import Prepared, class_of, mixed, shingles, text_key
+from .common import discard, in_bytes, load, looked_up, mark, settled, tidied
+from .ngram_join import WORDS, Prepared, class_of, distinct, mixed, placed_shingles, text_key
 
 #: Values of a signature.
 PERMUTATIONS = 120
-#: Shingles that all functions are applied to at once: a megabyte of products.
-AT_ONCE = 1024
+#: Shingles that all functions are applied to at once: half a megabyte of products.
+AT_ONCE = 512
 #: Bytes of compressed texts that a task sorts, about.
 TASK_BYTES = 32 << 20
 
 _FACTOR = (mixed(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 _SHIFT = mixed(np.arange(5001, 5001 + PERMUTATIONS, dtype=np.uint64))[:, None]
+_UNPACK = zstandard.ZstdDecompressor()
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -66,7 +69,7 @@ def fingerprint(least: np.ndarray) -> bytes:
 
 def likeness(one: bytes, other: bytes) -> float:
     """The similarity that two fingerprints tell: 1 if they are equal, about 0 for unlike sets."""
-    same = float(np.mean(np.frombuffer(one, np.uint8) == np.frombuffer(other, np.uint8)))
+    same = np.count_nonzero(np.frombuffer(one, np.uint8) == np.frombuffer(other, np.uint8)) / len(one)
     return max(0.0, (same - 1 / 256) / (1 - 1 / 256))
 
 
@@ -81,19 +84,31 @@ class _Row:
 
     def __init__(self, doc_id, text_key: int, packed: bytes):
         self.doc_id, self.text_key, self.packed = doc_id, text_key, packed
-        self.text = zstandard.ZstdDecompressor().decompress(packed).decode()
-        found = shingles(self.text)
-        least = signature(found)
-        self.label = class_of(found) if len(found) else None
-        self.fingerprint = fingerprint(least)
+        data = _UNPACK.decompress(packed)
+        self.text = data.decode()
+        found, begin, end = placed_shingles(data)
+        self.label = class_of(distinct(found)) if len(found) else None
+        # Words that end before the last quarter stay when it is replaced, and so do the shingles of such words alone.
+        left = len(edited(self.text, "").encode())
+        alone = max(0, int(np.searchsorted(end, left)) - WORDS + 1)
+        #: The signature of shingles that stay; the byte where those begin that may not.
+        self.stays, self.at, self.alone = signature(found[:alone]), int(begin[alone]) if alone else 0, alone
+        self.fingerprint = fingerprint(np.minimum(self.stays, signature(found[alone:])))
+
+    def edited_fingerprint(self, changed: bytes) -> bytes:
+        """The fingerprint of the text as edited."""
+        rest, begin, _ = placed_shingles(changed[self.at :])
+        # After shingles that stay, too few words for one add nothing.
+        return fingerprint(self.stays if self.alone and len(begin) < WORDS else np.minimum(self.stays, signature(rest)))
 
     def told(self, following: _Row | None = None) -> dict:
         """The columns of the row; those of the comparison where the next row is known."""
         out = {"doc_id": self.doc_id, "text_key": self.text_key, "n_chars": len(self.text), "fingerprint": self.fingerprint, "class": self.label}
         if following is not None:
             changed = edited(self.text, following.text)
-            own = self.fingerprint if changed == self.text else fingerprint(signature(shingles(changed)))
-            out |= {"edited_sha256": hashlib.sha256(changed.encode()).digest(), "edited_fingerprint": own, "near_edited": likeness(self.fingerprint, own), "near_next": likeness(self.fingerprint, following.fingerprint)}
+            data = changed.encode()
+            own = self.fingerprint if changed == self.text else self.edited_fingerprint(data)
+            out |= {"edited_sha256": hashlib.sha256(data).digest(), "edited_fingerprint": own, "near_edited": likeness(self.fingerprint, own), "near_next": likeness(self.fingerprint, following.fingerprint)}
         return out
 
 
@@ -145,9 +160,9 @@ def described(docs: DataFrame) -> DataFrame:
 
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    dealt = rows.mapInArrow(packed, f"{doc_id}, packed binary, text_key long, place long").select("doc_id", "text_key", "packed", "place")
+    dealt = rows.mapInArrow(tidied(packed), f"{doc_id}, packed binary, text_key long, place long").select("doc_id", "text_key", "packed", "place")
     dealt = dealt.repartitionByRange(parts, "doc_id", "text_key", "place").sortWithinPartitions("doc_id", "text_key", "place")
-    found = settled(dealt.mapInArrow(read, f"{doc_id}, {_COLUMNS}, {_EDGES}"))
+    found = settled(dealt.mapInArrow(tidied(read), f"{doc_id}, {_COLUMNS}, {_EDGES}"))
 
     # The last row of a partition meets the first of the next that has rows: a row for each partition.
     lasts = found.filter("last is not null").select("doc_id", "text_key", "packed", "last")
