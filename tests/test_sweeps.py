@@ -115,3 +115,26 @@ def test_a_long_day_streams(spark):
                     label[after[b]] = min(label.get(after[b], 10**12), arr + 120)
         want |= {(z, s): t for s, t in label.items()}
     assert got == want and len(want) > 900
+
+
+def test_zones_alike_are_scanned_once(spark, monkeypatch):
+    """Zones that walk to the same stops in the same time have one scan between them, and each its own row."""
+    df = frames(spark, city(4, zones=6, legs=24))
+    scanned, plain = [], scan.arrivals
+    monkeypatch.setattr(scan, "arrivals", lambda near, *rest: scanned.append(near.select("zone_id").distinct().count()) or plain(near, *rest))
+    cases, starts = spark.createDataFrame([scenarios.STANDARD], scenarios.CASE_SCHEMA), spark.createDataFrame([(28000,)], "start long")
+    lattice = sweep.lattice(cases, starts, df["rides"]).filter("kind = 'baseline'")
+    found = {r.zone_id: r.minutes for r in sweep.evaluated(lattice, **df).collect()}
+    assert len(found) == 12 and scanned[0] <= 6
+    base, _ = sweep.withdrawn_each(sweep.settings(cases, starts), **df)
+    assert found == {r.zone_id: r.minutes for r in base.collect()}
+
+
+def test_zones_are_not_sent_to_all_tasks(spark):
+    """Sizes of derived tables are underestimated; a driver that collects all zones to send them runs out of memory."""
+    zones, direct = spark.range(50).selectExpr("id AS zone_id", "1.0D AS population"), spark.range(50).selectExpr("id AS zone_id", "9.0D AS minutes")
+    labels = spark.createDataFrame([("s", 3, "P", 60)], "scenario string, zone_id long, stop_id string, seconds long")
+    found = access.best_minutes(zones, direct, labels, spark.createDataFrame([("P", 1.0)], "stop_id string, minutes double"), spark.createDataFrame([("s", 0)], "scenario string, start long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [zone_id" not in plan and "SortMergeJoin [zone_id" in plan
+    assert {r.zone_id: r.minutes for r in found.collect()} == {z: 2.0 if z == 3 else 9.0 for z in range(50)}

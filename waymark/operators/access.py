@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import WALK_KMH, rescaled_walk
 from . import scan
 from .scan import NEVER
+from .tables import sent_if_small, settled
 
 
 def scan_fold(connections: Column, start: Column) -> Column:
@@ -59,21 +60,25 @@ def leave_one_out(access: DataFrame, rides: DataFrame, transfers: DataFrame | No
     return scan.without_each(labelled(access, float("inf")), rides, None if transfers is None else _seconds(transfers), egress)
 
 
-def best_minutes(zones: DataFrame, direct: DataFrame, arrivals: DataFrame, egress: DataFrame, starts: DataFrame) -> DataFrame:
+def best_minutes(zones: DataFrame, direct: DataFrame, arrivals: DataFrame, egress: DataFrame, starts: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """(scenario, zone_id, minutes): the better of walking all the way and of riding.
 
     ``direct``: zone_id, minutes; ``egress``: stop_id, minutes to the facility;
     ``starts``: scenario, start, and speed_kmh where walking differs from the
     standard.  Both walks are rescaled to it.  With a column destination in
-    ``direct`` and ``egress``, one row for each destination.
+    ``direct`` and ``egress``, one row for each destination.  ``profiles``:
+    zone_id and the zone, profile, whose arrivals it has, where not its own.
     """
     to = ["destination"] if "destination" in egress.columns else []
     speed = F.col("speed_kmh") if "speed_kmh" in starts.columns else F.lit(WALK_KMH)
-    ride = arrivals.join(egress, "stop_id").join(starts, "scenario")
-    ride = ride.groupBy("scenario", "zone_id", *to).agg(F.min((F.col("seconds") - F.col("start")) / 60.0 + rescaled_walk(F.col("minutes"), speed)).alias("ride"))
-    every = zones.select("zone_id").crossJoin(starts.drop("start"))  # every zone has a row in every scenario
+    ride = arrivals.withColumnRenamed("zone_id", "profile").join(egress, "stop_id").join(starts, "scenario")
+    ride = ride.groupBy("scenario", "profile", *to).agg(F.min((F.col("seconds") - F.col("start")) / 60.0 + rescaled_walk(F.col("minutes"), speed)).alias("ride"))
+    every = zones.select("zone_id")
     every = every.crossJoin(egress.select(*to).distinct()) if to else every
-    met = every.join(direct, ["zone_id", *to], "left").join(ride, ["scenario", "zone_id", *to], "left")
+    # Tables of zones are merged: sizes of derived tables are underestimated, and a driver that sends them to all tasks runs out of memory.
+    every = every.join(direct.hint("merge"), ["zone_id", *to], "left")
+    every = every.withColumn("profile", F.col("zone_id")) if profiles is None else every.join(profiles.hint("merge"), "zone_id", "left")
+    met = every.crossJoin(starts.drop("start")).join(sent_if_small(settled(ride)), ["scenario", "profile", *to], "left")  # every zone has a row in every scenario
     return met.select("scenario", "zone_id", *to, F.least(rescaled_walk(F.col("minutes"), speed), F.col("ride")).alias("minutes"))
 
 

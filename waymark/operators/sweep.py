@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rescaled_walk
 from . import access, ranking
-from .tables import settled
+from .tables import sent_if_small, settled
 
 BUFFER_MINUTES = 1.0
 
@@ -59,14 +59,16 @@ def evaluated(scenarios: DataFrame, zones: DataFrame, walks: DataFrame, transfer
     ``walks``: zone_id, stop_id, walk_minutes; ``transfers``: from_stop,
     to_stop, walk_minutes, both at the standard speed; ``rides``: seq, dep, arr,
     from_stop, to_stop, route_id, trip_id; ``direct`` and ``egress`` as
-    :func:`access.best_minutes` takes them.
+    :func:`access.best_minutes` takes them.  Zones that are :func:`alike` are
+    scanned once.
     """
-    near, changes = _walked(scenarios, walks, transfers)
+    scenarios, profiles = settled(scenarios), settled(alike(walks))
+    near, changes = _walked(scenarios, walks.join(profiles.select(F.col("profile").alias("zone_id")).distinct(), "zone_id", "left_semi"), transfers)
     gone = ((F.col("kind") == "route") & (F.col("id") == F.col("route_id"))) | ((F.col("kind") == "trip") & (F.col("id") == F.col("trip_id")))
     told = scenarios.select("scenario", "start", "kind", "id", *(["day"] if "day" in scenarios.columns else []))
     own = (rides.join(told, "day") if "day" in scenarios.columns else rides.crossJoin(told)).filter(~gone & (F.col("dep") >= F.col("start")))
     labels = access.earliest_arrivals(near, own, changes, most_walk=float("inf"))
-    return access.best_minutes(zones, direct, labels, egress, scenarios.select("scenario", "start", F.col("walk_speed_kmh").alias("speed_kmh")))
+    return access.best_minutes(zones, direct, labels, egress, scenarios.select("scenario", "start", F.col("walk_speed_kmh").alias("speed_kmh")), profiles)
 
 
 def settings(cases: DataFrame, starts: DataFrame) -> DataFrame:
@@ -77,8 +79,9 @@ def settings(cases: DataFrame, starts: DataFrame) -> DataFrame:
 def alike(walks: DataFrame) -> DataFrame:
     """(zone_id, profile): zones that can walk to the same stops in the same time have one scan; the profile is the least of them."""
     list_ = F.to_json(F.sort_array(F.collect_list(F.struct("stop_id", "walk_minutes"))))
-    own = walks.groupBy("zone_id").agg(F.sha2(list_, 256).alias("list"))
-    return own.join(own.groupBy("list").agg(F.min("zone_id").alias("profile")), "list").select("zone_id", "profile")
+    own = settled(walks.groupBy("zone_id").agg(F.sha2(list_, 256).alias("list")))
+    first = sent_if_small(settled(own.groupBy("list").agg(F.min("zone_id").alias("profile"))))
+    return own.join(first, "list").select("zone_id", "profile")
 
 
 def withdrawn_each(settings: DataFrame, zones: DataFrame, walks: DataFrame, transfers: DataFrame | None, rides: DataFrame, direct: DataFrame, egress: DataFrame) -> tuple[DataFrame, DataFrame]:
