@@ -272,3 +272,29 @@ def test_nearest_of_nothing(spark):
     points, places = spark.createDataFrame([(1, 33.0, 132.0)], kinds[0]), spark.createDataFrame([(1, 33.0, 132.0)], kinds[1])
     for p, q in ((points.limit(0), places), (points, places.limit(0)), (points.limit(0), places.limit(0))):
         assert spatial.nearest(p, q, rings=-1).count() == 0
+
+
+def test_paths_in_blocks_equal_joins(spark, monkeypatch):
+    """Blocks of sources tell what the rounds of joins tell, with bounds, unknown nodes, free arcs and closed ones; and take no round of jobs."""
+    arcs = [(f"{u}>{v}", u, v, float((u * 7 + v * 3) % 11)) for u in range(40) for v in {(2 * u + 7) % 40, (3 * u + 1) % 40} if u != v] + [("c", 1, 2, None), ("d", 1, 3, -1.0), ("e", 1, 4, float("inf"))]
+    edges = spark.createDataFrame([(*a, 50.0) for a in arcs], "edge_id string, u long, v long, minutes double, capacity double")
+    sources = spark.createDataFrame([(u, 15.0 if u % 2 else 1000.0) for u in [*range(40), 99]], "node long, most double")
+    wanted = spark.createDataFrame([(o, d, float(o + d)) for o in [*range(40), 99] for d in (0, 5, 17, 99)], "origin long, destination long, value double")
+    jobs = []
+    monkeypatch.setattr(network, "settled", lambda df, plain=network.settled: jobs.append(1) or plain(df))
+
+    def told():
+        jobs.clear()
+        found = {(r.source, r.node): r.minutes for r in network.shortest_paths(edges, sources).collect()}
+        n, (loads, lost) = len(jobs), network.all_or_nothing(edges, wanted)
+        return found, sum(r.volume * c[3] for r in loads.collect() for c in arcs if c[0] == r.edge_id and r.volume), lost.first()[0], n
+
+    monkeypatch.setattr(network.trees, "BLOCK_LABELS", 200)
+    monkeypatch.setattr(network.trees, "BATCH_LABELS", 120)
+    *blocks, few = told()
+    monkeypatch.setattr(network.trees, "MOST_ROWS", 7)
+    assert told()[:3] == tuple(blocks)
+    monkeypatch.setattr(network.trees, "MOST_ARCS", 0)
+    *joins, many = told()
+    assert blocks == joins and blocks[2] > 0 and len(blocks[0]) > 500
+    assert few == 1 < many
