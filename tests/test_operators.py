@@ -298,3 +298,12 @@ def test_paths_in_blocks_equal_joins(spark, monkeypatch):
     *joins, many = told()
     assert blocks == joins and blocks[2] > 0 and len(blocks[0]) > 500
     assert few == 1 < many
+
+
+def test_places_dealt_to_cells_are_not_sent_to_all_tasks(spark):
+    """25 rows of each place look to Spark like one; a driver that collects them runs out of memory."""
+    points, places = spark.range(9).selectExpr("id AS point_id", "id / 10.0D AS lat", "1.0D AS lon"), spark.range(3).selectExpr("id AS place_id", "id / 5.0D AS lat", "1.0D AS lon")
+    plan = spatial._best(points, places, 0.5, 0, spatial.WIDE, [], False)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    got = {r.point_id: r.place_id for r in spatial.nearest(points, places, rings=-1).collect()}
+    assert len(got) == 9 and all(got[p] == min(range(3), key=lambda q, p=p: abs(p / 10 - q / 5)) for p in (0, 2, 4, 5, 8))
