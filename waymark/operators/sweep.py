@@ -145,5 +145,5 @@ def violations(scenarios: DataFrame, minutes: DataFrame) -> DataFrame:
     """(scenario, zone_id, before, after) where a withdrawal would be an improvement; there must be none."""
     told = minutes.join(scenarios.select("scenario", "case_id", "start", "kind"), "scenario")
     base = told.filter("kind = 'baseline'").select("case_id", "start", "zone_id", F.col("minutes").alias("before"))
-    pairs = told.filter("kind <> 'baseline'").withColumnRenamed("minutes", "after").join(base, ["case_id", "start", "zone_id"])
+    pairs = told.filter("kind <> 'baseline'").withColumnRenamed("minutes", "after").join(base.hint("merge"), ["case_id", "start", "zone_id"])
     return access.monotonic_violations(pairs).select("scenario", "zone_id", "before", "after")
